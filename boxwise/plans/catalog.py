@@ -205,3 +205,215 @@ def q_eval_rows(spark, sf_dir):
     outs = T.attempts(spark, sf_dir).where(F.col("attempt") == 0) \
         .select("problem_id", F.col("response").alias("model_solution"))
     return evaluate.eval_rows(items.join(outs, "problem_id"), keys=("problem_id",))
+
+
+# ---------------------------------------------------------------------------
+# 2.2 Prompts, templates, requests
+# ---------------------------------------------------------------------------
+from boxwise.functions import text as TX  # noqa: E402
+from boxwise.operators import prompts as P  # noqa: E402
+from boxwise.operators import requests as R  # noqa: E402
+from boxwise.operators import responses as C  # noqa: E402
+from boxwise.resources import texts  # noqa: E402
+
+NL2 = "chr(10) || chr(10)"
+
+
+@register("instruction_prompt", _with(seeds=O.SEEDS) +
+          f"SELECT problem_id, {O.lit(texts.INSTRUCTION_PROMPT.split('{question}')[0])} || problem || {NL2} "
+          "AS prompt FROM seeds")
+def q_instruction_prompt(spark, sf_dir):
+    return T.seeds(spark, sf_dir).select("problem_id", P.instruction_prompt("problem").alias("prompt"))
+
+
+def _exam_sql(style: str) -> str:
+    fmt = texts.EXAM_STYLES[style]
+    if style == "few_shot":
+        fmt = fmt.replace("{few_shot}", texts.few_shot_text())
+    head, tail = fmt.split("{question}")
+    return f"SELECT item_id, '{style}' AS style, {O.lit(head)} || text || {O.lit(tail)} AS prompt FROM benchmark"
+
+
+@register("exam_prompts", " UNION ALL ".join(_exam_sql(s) for s in texts.EXAM_STYLES))
+def q_exam_prompts(spark, sf_dir):
+    b = T.load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
+    parts = [b.select("item_id", F.lit(s).alias("style"), P.exam_prompt(s, "question").alias("prompt"))
+             for s in texts.EXAM_STYLES]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("render_template", _with(sp=O.SFT_PAIRS) +
+          f"SELECT conv_id, turn, instruction || {NL2} || output AS prompt, instruction AS instruction_text, "
+          f"output AS response_text, instruction || {NL2} AS prompt_wo_response FROM sp")
+def q_render_template(spark, sf_dir):
+    return P.render_template(T.sft_pairs(spark, sf_dir)).drop("instruction", "output")
+
+
+@register("serialize_user_prompt", _with(seeds=O.SEEDS) +
+          "SELECT problem_id, " + O.json_object([("problem", "problem"), ("answer", "answer")]) +
+          " AS user_prompt FROM seeds")
+def q_serialize(spark, sf_dir):
+    s = P.seed_json(T.seeds(spark, sf_dir), add_sol=False, add_ans=True, out="user_prompt")
+    return s.select("problem_id", "user_prompt")
+
+
+@register("serialize_pairs", _with(sp=O.SFT_PAIRS) +
+          "SELECT conv_id, turn, " + O.json_object([("instruction", "instruction"), ("output", "output")]) +
+          " AS line FROM sp")
+def q_serialize_pairs(spark, sf_dir):
+    sp = T.sft_pairs(spark, sf_dir)
+    return sp.select("conv_id", "turn", F.expr(TX.json_object([("instruction", "instruction"),
+                                                               ("output", "output")])).alias("line"))
+
+
+_SEED_JSON3 = O.json_object([("problem", "problem"), ("solution", "solution"), ("answer", "answer")])
+
+
+@register("batch_seeds", _with(seeds=O.SEEDS) +
+          "SELECT batch_id, min(problem_id) AS first_id, string_agg(js, chr(10) ORDER BY k) AS user_prompt FROM ("
+          f"SELECT problem_id, {_SEED_JSON3} AS js, row_number() OVER (ORDER BY problem_id) - 1 AS k, "
+          "CAST(floor((row_number() OVER (ORDER BY problem_id) - 1) / 3) AS BIGINT) AS batch_id FROM seeds) t "
+          "GROUP BY batch_id HAVING count(*) = 3")
+def q_batch_seeds(spark, sf_dir):
+    return P.batch_seeds(T.seeds(spark, sf_dir), 3, add_sol=True, add_ans=True)
+
+
+def _thread_json_sql(roles_contents: list[tuple[str, str]]) -> str:
+    items = [f"'{{\"role\": ' || {O.json_string(r)} || ', \"content\": ' || {O.json_string(c)} || '}}'"
+             for r, c in roles_contents]
+    return "('[' || " + " || ', ' || ".join(items) + " || ']')"
+
+
+_COT = texts.SYSTEM_PROMPTS["cot"]
+_THREAD3 = _thread_json_sql([("'system'", O.lit(_COT)), ("'user'", "problem"), ("'assistant'", "response")])
+
+
+def _threads(spark, sf_dir):
+    a = T.attempts(spark, sf_dir)
+    return R.build_threads(a, "problem", _COT, "response")
+
+
+def _thread_json_col(messages: str = "messages"):
+    return F.expr(f"concat('[', array_join(transform(`{messages}`, m -> concat('{{\"role\": ', "
+                  f"{TX.json_string('m.role')}, ', \"content\": ', {TX.json_string('m.content')}, '}}')), ', '), ']')")
+
+
+@register("build_threads", _with(attempts=O.ATTEMPTS) +
+          f"SELECT problem_id, attempt, 'system,user,assistant' AS roles, {_THREAD3} AS thread_json FROM attempts")
+def q_build_threads(spark, sf_dir):
+    t = _threads(spark, sf_dir)
+    return t.select("problem_id", "attempt",
+                    F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"),
+                    _thread_json_col().alias("thread_json"))
+
+
+@register("reset_threads", _with(attempts=O.ATTEMPTS) +
+          f"SELECT problem_id, attempt, 1::BIGINT AS n_kept, 'system' AS roles, "
+          f"{_thread_json_sql([(chr(39) + 'system' + chr(39), O.lit(_COT))])} AS thread_json FROM attempts")
+def q_reset_threads(spark, sf_dir):
+    t = _threads(spark, sf_dir).withColumn("messages", R.reset_threads("messages"))
+    return t.select("problem_id", "attempt", F.size("messages").cast("bigint").alias("n_kept"),
+                    F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"),
+                    _thread_json_col().alias("thread_json"))
+
+
+@register("role_sequence_check",
+          "SELECT conv_id, turn, role, coalesce(role = lag(role) OVER (PARTITION BY conv_id ORDER BY turn), false) "
+          "AS repeated_role FROM conversations WHERE NOT (role = 'user' AND turn = 2)")
+def q_role_check(spark, sf_dir):
+    c = T.load(spark, sf_dir, "conversations").where(~((F.col("role") == "user") & (F.col("turn") == 2)))
+    return R.role_repeats(c).select("conv_id", "turn", "role", "repeated_role")
+
+
+_BODY_HEAD = ('{"model": "gpt-3.5-turbo", "frequency_penalty": 0.0, "presence_penalty": 0.0, '
+              '"temperature": 0.0, "max_tokens": 4000, "top_p": 1.0, "stream": false, "messages": ')
+_THREAD2 = _thread_json_sql([("'system'", O.lit(_COT)), ("'user'", "problem")])
+
+
+@register("build_requests", _with(attempts=O.ATTEMPTS) +
+          "SELECT problem_id, attempt, substr(md5(concat_ws('|', 'reject_sample', CAST(problem_id AS VARCHAR), "
+          f"CAST(attempt AS VARCHAR))), 1, 10) AS request_id, {O.lit(_BODY_HEAD)} || {_THREAD2} || '}}' AS body_json "
+          "FROM attempts")
+def q_build_requests(spark, sf_dir):
+    a = R.build_threads(T.attempts(spark, sf_dir), "problem", _COT)
+    r = R.build_requests(a, "reject_sample", ["problem_id", "attempt"], model="gpt-3.5-turbo", max_tokens=4000)
+    return r.select("problem_id", "attempt", "request_id", "body_json")
+
+
+# ---------------------------------------------------------------------------
+# 2.3 Responses
+# ---------------------------------------------------------------------------
+_RESOLVE_SQL = _with(log=O.ATTEMPT_LOG) + """, r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY attempt_seq) AS k,
+  coalesce(status = 200, false) OR (status IS NOT NULL AND status <> 200 AND coalesce(contains(body, '400'), false)) AS term FROM log),
+ft AS (SELECT request_id, min(CASE WHEN term THEN k END) AS tk, count(*) AS n FROM r GROUP BY request_id)
+SELECT ft.request_id,
+  CASE WHEN tk <= 3 AND r.status = 200 THEN 'ok' WHEN tk <= 3 THEN 'client_error' WHEN n >= 3 THEN 'failed' ELSE 'incomplete' END AS outcome,
+  CASE WHEN tk <= 3 AND r.status = 200 THEN coalesce(r.body, '') WHEN tk <= 3 THEN chr(92) || 'boxed{' || r.body || '}' END AS content,
+  CAST(CASE WHEN tk <= 3 THEN tk ELSE least(n, 3) END AS BIGINT) AS attempts_used,
+  CAST(CASE WHEN tk <= 3 THEN r.status END AS INT) AS final_status
+FROM ft LEFT JOIN r ON r.request_id = ft.request_id AND r.k = ft.tk"""
+
+
+@register("resolve_attempts", _RESOLVE_SQL.replace("WITH log AS", "WITH log AS", 1))
+def q_resolve(spark, sf_dir):
+    return C.resolve_attempts(T.attempt_log(spark, sf_dir), max_retry=3)
+
+
+@register("join_responses", _with(attempts=O.ATTEMPTS) +
+          "SELECT substr(md5(concat_ws('|', 'reject_sample', CAST(problem_id AS VARCHAR), CAST(attempt AS VARCHAR))), 1, 10) "
+          "AS request_id, problem_id, attempt, response FROM attempts")
+def q_join_responses(spark, sf_dir):
+    a = T.attempts(spark, sf_dir)
+    reqs = a.select("problem_id", "attempt", R.request_id("reject_sample", "problem_id", "attempt").alias("request_id"))
+    resp = a.select(R.request_id("reject_sample", "problem_id", "attempt").alias("request_id"), "response")
+    return C.join_responses(reqs, resp).select("request_id", "problem_id", "attempt", "response")
+
+
+_LINES = ("SELECT batch_id, CAST(i - 1 AS INT) AS line_no, string_split(sc, chr(10))[i] AS line FROM "
+          f"(SELECT batch_id, {O.strip('content')} AS sc FROM candidates) c, "
+          "range(1, len(string_split(sc, chr(10))) + 1) r(i)")
+
+
+@register("split_candidates", _with(candidates=O.CANDIDATES) + _LINES)
+def q_split(spark, sf_dir):
+    return C.split_candidates(T.candidates(spark, sf_dir))
+
+
+@register("validate_candidates", _with(candidates=O.CANDIDATES, lines=_LINES) +
+          f"SELECT batch_id, line_no, line FROM lines WHERE {O.json_reason('line', True, True)} IS NULL")
+def q_validate(spark, sf_dir):
+    v = C.validate_candidates(T.candidates(spark, sf_dir), add_sol=True, add_ans=True)
+    return v.where("valid").select("batch_id", "line_no", "line")
+
+
+@register("rejects", _with(candidates=O.CANDIDATES, lines=_LINES) +
+          f"SELECT batch_id, line_no, line, {O.json_reason('line', False, True)} AS reason FROM lines "
+          f"WHERE {O.json_reason('line', False, True)} IS NOT NULL")
+def q_rejects(spark, sf_dir):
+    v = C.validate_candidates(T.candidates(spark, sf_dir), add_sol=False, add_ans=True)
+    return v.where(~F.col("valid")).select("batch_id", "line_no", "line", "reason")
+
+
+_SINGLE_DOC = f"{O.strip('CASE WHEN batch_id % 2 = 0 THEN string_split(content, chr(10))[1] ELSE content END')}"
+
+
+@register("validate_single", _with(candidates=O.CANDIDATES) +
+          f"SELECT batch_id, {O.json_reason('doc', True, True)} IS NULL AS valid, {O.json_reason('doc', True, True)} "
+          f"AS reason FROM (SELECT batch_id, {_SINGLE_DOC} AS doc FROM candidates)")
+def q_validate_single(spark, sf_dir):
+    c = T.candidates(spark, sf_dir).withColumn(
+        "content", F.when(F.col("batch_id") % 2 == 0, F.split("content", "\n")[0]).otherwise(F.col("content")))
+    return C.validate_single(c).select("batch_id", "valid", "reason")
+
+
+@register("generation_yield", _with(candidates=O.CANDIDATES, lines=_LINES) +
+          f"SELECT sum(CASE WHEN {O.json_reason('line', False, True)} IS NULL THEN 1 ELSE 0 END)::BIGINT AS valid, "
+          "(count(DISTINCT batch_id) * 5)::BIGINT AS max_valid, "
+          f"round(sum(CASE WHEN {O.json_reason('line', False, True)} IS NULL THEN 1 ELSE 0 END) / "
+          "(count(DISTINCT batch_id) * 5), 4) AS yield FROM lines")
+def q_yield(spark, sf_dir):
+    v = C.validate_candidates(T.candidates(spark, sf_dir), add_sol=False, add_ans=True)
+    return C.generation_yield(v, 5, "batch_id")

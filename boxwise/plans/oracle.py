@@ -218,3 +218,42 @@ def verdict(g: str, m: str) -> str:
               f"WHEN NOT contains({m}, ',') AND NOT contains({g}, ',') THEN {rat_eq(rational(m), rational(g))} "
               f"ELSE {tuple_eq} END)")
     return f"(({answer_set(m)} = {answer_set(g)}) OR coalesce({second}, false))"
+
+
+# ---------------------------------------------------------------------------
+# JSON text as Python's json.dumps writes it, and JSON validity checks
+# ---------------------------------------------------------------------------
+
+def _esc_printable(t: str) -> str:
+    return f"replace(replace({t}, '\\', '\\\\'), '\"', '\\\"')"
+
+
+def json_string(x: str) -> str:
+    short = " ".join(f"WHEN t = chr({ord(k)}) THEN '{v}'" for k, v in
+                     [("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")])
+    other = (f"CASE {short} WHEN unicode(t) < 65536 THEN printf('\\u%04x', unicode(t)) "
+             "ELSE printf('\\u%04x\\u%04x', 55296 + ((unicode(t) - 65536) >> 10), "
+             "56320 + ((unicode(t) - 65536) & 1023)) END")
+    slow = (f"array_to_string(list_transform(regexp_extract_all({x}, '[ -~]+|(?s:.)'), lambda t: "
+            f"CASE WHEN regexp_matches(t, '^[ -~]') THEN {_esc_printable('t')} ELSE {other} END), '')")
+    return f"('\"' || CASE WHEN regexp_full_match({x}, '[ -~]*') THEN {_esc_printable(x)} ELSE {slow} END || '\"')"
+
+
+def json_object(fields: list[tuple[str, str]]) -> str:
+    parts = []
+    for i, (k, e) in enumerate(fields):
+        parts.append(lit(("" if i == 0 else ", ") + f'"{k}": '))
+        parts.append(json_string(e))
+    return "('{' || " + " || ".join(parts) + " || '}')"
+
+
+def json_reason(d: str, add_sol: bool, add_ans: bool) -> str:
+    w = f"('[' || {d} || ']')"
+    arms = [f"WHEN NOT coalesce(json_valid({w}), false) OR json_array_length({w}) <> 1 THEN 'not_json'",
+            f"WHEN json_type({d}) <> 'OBJECT' THEN 'not_object'",
+            f"WHEN coalesce(json_type({d}, '$.problem'), '') <> 'VARCHAR' THEN 'problem_not_string'"]
+    if add_sol:
+        arms.append(f"WHEN coalesce(json_type({d}, '$.solution'), '') <> 'VARCHAR' THEN 'solution_not_string'")
+    if add_ans:
+        arms.append(f"WHEN coalesce(json_type({d}, '$.answer'), '') <> 'VARCHAR' THEN 'answer_not_string'")
+    return "(CASE " + " ".join(arms) + " END)"
