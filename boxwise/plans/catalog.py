@@ -417,3 +417,204 @@ def q_validate_single(spark, sf_dir):
 def q_yield(spark, sf_dir):
     v = C.validate_candidates(T.candidates(spark, sf_dir), add_sol=False, add_ans=True)
     return C.generation_yield(v, 5, "batch_id")
+
+
+# ---------------------------------------------------------------------------
+# 2.6 Training rows (instruction pairs from `conversations`)
+# ---------------------------------------------------------------------------
+from boxwise.operators import ordinal  # noqa: E402
+from boxwise.operators import packing as PK  # noqa: E402
+from boxwise.operators import sft  # noqa: E402
+from boxwise.operators import tokens as TK  # noqa: E402
+
+VOCAB = 2000
+MAXLEN = 64
+PAT = O.lit(TK.TOKEN_PATTERN)
+
+
+def _pairs(spark, sf_dir, blank_every=None):
+    sp = T.sft_pairs(spark, sf_dir, blank_every)
+    return sp.select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), "instruction", "output")
+
+
+def _vocab(spark, sf_dir):
+    return TK.build_vocab(_pairs(spark, sf_dir), ["instruction", "output"], VOCAB)
+
+
+def _src_sql(blank_every=None):
+    return (f"SELECT conv_id * 1000 + turn AS pair_id, instruction, output FROM ({O.sft_pairs(blank_every)}) s0")
+
+
+_VOCAB_SQL = (
+    "SELECT token, (row_number() OVER (ORDER BY n DESC, token) + 2)::INT AS id, n FROM ("
+    "SELECT token, count(*)::BIGINT AS n FROM ("
+    f"SELECT unnest(regexp_extract_all(instruction, {PAT})) AS token FROM src UNION ALL "
+    f"SELECT unnest(regexp_extract_all(output, {PAT})) AS token FROM src) w "
+    f"GROUP BY token ORDER BY n DESC, token LIMIT {VOCAB - 3}) v")
+
+
+def _rendered_sql(text_expr: str) -> str:
+    return (f"SELECT pair_id, instruction, output, instruction || {NL2} || output AS prompt, "
+            f"instruction || {NL2} AS pwr, {text_expr} AS txt FROM src")
+
+
+def _enc_sql(limit: int | None) -> str:
+    keep = "tk.pos IS NOT NULL" + (f" AND tk.pos <= {limit - 1}" if limit else "")
+    return (
+        "toks AS (SELECT pair_id, i AS pos, t[i] AS token FROM "
+        f"(SELECT pair_id, regexp_extract_all(txt, {PAT}) AS t FROM rendered) r, range(1, len(t) + 1) q(i)),\n"
+        "enc AS (SELECT r.pair_id, any_value(r.instruction) AS instruction, any_value(r.pwr) AS pwr, "
+        f"list_concat([1], coalesce(list(coalesce(v.id, 0) ORDER BY tk.pos) FILTER (WHERE {keep}), [])) AS ids "
+        "FROM rendered r LEFT JOIN toks tk ON tk.pair_id = r.pair_id LEFT JOIN vocab v ON v.token = tk.token "
+        "GROUP BY r.pair_id)\n")
+
+
+def _t_with(text_expr: str, limit: int | None, blank_every=None) -> str:
+    return (f"WITH src0 AS ({_src_sql()}),\nsrc AS ({_src_sql(blank_every)}),\n"
+            f"vocab AS ({_VOCAB_SQL.replace('FROM src', 'FROM src0')}),\n"
+            f"rendered AS ({_rendered_sql(text_expr)}),\n" + _enc_sql(limit))
+
+
+def _eos(ids: str, limit: int | None) -> str:
+    cond = f"{ids}[-1] <> 2" + (f" AND len({ids}) < {limit}" if limit else "")
+    return f"(CASE WHEN {cond} THEN list_append({ids}, 2) ELSE {ids} END)"
+
+
+def _ones(ids: str) -> str:
+    return f"list_transform({ids}, lambda x: 1)"
+
+
+def _mask(ids: str, k: str) -> str:
+    return f"list_concat(list_transform(range({k}), lambda x: -100), {ids}[{k} + 1:])"
+
+
+_K = f"least(len(regexp_extract_all(pwr, {PAT})) + 1, {MAXLEN})"
+
+
+@register("build_vocab", f"WITH src AS ({_src_sql()}) {_VOCAB_SQL}")
+def q_build_vocab(spark, sf_dir):
+    return _vocab(spark, sf_dir)
+
+
+@register("encode", _t_with("prompt", MAXLEN) + "SELECT pair_id, ids AS input_ids FROM enc")
+def q_encode(spark, sf_dir):
+    r = P.render_template(_pairs(spark, sf_dir))
+    e = TK.encode(r, "prompt", _vocab(spark, sf_dir), "pair_id", "input_ids", MAXLEN, vocab_size=VOCAB)
+    return e.select("pair_id", "input_ids")
+
+
+@register("labels_full", _t_with("prompt", MAXLEN) +
+          f"SELECT pair_id, {_eos('ids', MAXLEN)} AS input_ids, {_ones(_eos('ids', MAXLEN))} AS attention_mask, "
+          f"{_eos('ids', MAXLEN)} AS labels FROM enc")
+def q_labels_full(spark, sf_dir):
+    return sft.map_dataset(_pairs(spark, sf_dir), _vocab(spark, sf_dir), "pair_id", "wo_ignore", MAXLEN,
+                           vocab_size=VOCAB)
+
+
+@register("labels_masked", _t_with("prompt", MAXLEN) +
+          f"SELECT pair_id, x AS input_ids, {_ones('x')} AS attention_mask, {_mask('x', _K)} AS labels "
+          f"FROM (SELECT *, {_eos('ids', MAXLEN)} AS x FROM enc) e")
+def q_labels_masked(spark, sf_dir):
+    return sft.map_dataset(_pairs(spark, sf_dir), _vocab(spark, sf_dir), "pair_id", "ignore", MAXLEN,
+                           vocab_size=VOCAB)
+
+
+_MIX_SQL = (_t_with("CASE WHEN instruction = '' THEN output ELSE prompt END", MAXLEN, blank_every=5) +
+            f"SELECT pair_id, x AS input_ids, {_ones('x')} AS attention_mask, "
+            f"CASE WHEN instruction = '' THEN x ELSE {_mask('x', _K)} END AS labels, len(x)::INT AS length FROM ("
+            f"SELECT *, {_eos('y', MAXLEN)} AS x FROM (SELECT *, CASE WHEN instruction = '' THEN ids[2:] "
+            f"ELSE ids END AS y FROM enc) e1) e2")
+
+
+@register("labels_mix", _MIX_SQL)
+def q_labels_mix(spark, sf_dir):
+    return sft.map_dataset(_pairs(spark, sf_dir, 5), _vocab(spark, sf_dir), "pair_id", "mix", MAXLEN,
+                           vocab_size=VOCAB)
+
+
+@register("encode_concat", _t_with("prompt", None) + f"SELECT pair_id, {_eos('ids', None)} AS input_ids FROM enc")
+def q_encode_concat(spark, sf_dir):
+    return sft.encode_concat(_pairs(spark, sf_dir), _vocab(spark, sf_dir), "pair_id", vocab_size=VOCAB)
+
+
+PACK_ROWS = 50
+_PACK_SQL = (_t_with("prompt", None) + f""",
+rows AS (SELECT pair_id, {_eos('ids', None)} AS x, row_number() OVER (ORDER BY pair_id) - 1 AS ord FROM enc),
+rb AS (SELECT *, CAST(floor(ord / {PACK_ROWS}) AS BIGINT) AS batch_id, len(x) AS n FROM rows),
+ro AS (SELECT *, sum(n) OVER (PARTITION BY batch_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS start FROM rb),
+st AS (SELECT batch_id, start + i - 1 AS p, x[i] AS id FROM ro, range(1, len(x) + 1) q(i))
+SELECT batch_id, CAST(floor(p / {MAXLEN}) AS BIGINT) AS block_no, list(id ORDER BY p) AS input_ids,
+  list_transform(list(id ORDER BY p), lambda z: 1) AS attention_mask, list(id ORDER BY p) AS labels
+FROM st GROUP BY batch_id, floor(p / {MAXLEN})""")
+
+
+@register("pack_blocks", _PACK_SQL)
+def q_pack_blocks(spark, sf_dir):
+    e = sft.encode_concat(_pairs(spark, sf_dir), _vocab(spark, sf_dir), "pair_id", vocab_size=VOCAB)
+    return PK.pack_blocks(e, "input_ids", "pair_id", MAXLEN, PACK_ROWS)
+
+
+@register("chunk_overflow", _t_with("prompt", None) +
+          f"SELECT pair_id, c AS chunk_no, CASE WHEN c = (len(ids) - 1) // {MAXLEN} AND len(ch) < {MAXLEN} "
+          f"AND ch[-1] <> 2 THEN list_append(ch, 2) ELSE ch END AS chunk FROM ("
+          f"SELECT pair_id, ids, c, ids[c * {MAXLEN} + 1:(c + 1) * {MAXLEN}] AS ch FROM enc, "
+          f"range(0, (len(ids) - 1) // {MAXLEN} + 1) q(c)) t")
+def q_chunk_overflow(spark, sf_dir):
+    r = P.render_template(_pairs(spark, sf_dir))
+    e = TK.encode(r, "prompt", _vocab(spark, sf_dir), "pair_id", "ids", None, vocab_size=VOCAB)
+    return PK.chunk_overflow(e, "ids", MAXLEN, keep=("pair_id",))
+
+
+_ROWS_FULL = f"SELECT pair_id, {_eos('ids', MAXLEN)} AS x FROM enc"
+
+
+@register("pad_batches", _t_with("prompt", MAXLEN) + f""",
+rf AS ({_ROWS_FULL}),
+rb AS (SELECT *, CAST(floor((row_number() OVER (ORDER BY pair_id) - 1) / 8) AS BIGINT) AS batch_id FROM rf),
+bw AS (SELECT *, CAST(ceil(max(len(x)) OVER (PARTITION BY batch_id) / 8) * 8 AS INT) AS w FROM rb)
+SELECT pair_id, batch_id,
+  list_concat(list_transform(range(w - len(x)), lambda z: 0), x) AS input_ids,
+  list_concat(list_transform(range(w - len(x)), lambda z: 0), list_transform(x, lambda z: 1)) AS attention_mask,
+  list_concat(list_transform(range(w - len(x)), lambda z: -100), x) AS labels FROM bw""")
+def q_pad_batches(spark, sf_dir):
+    rows = sft.map_dataset(_pairs(spark, sf_dir), _vocab(spark, sf_dir), "pair_id", "wo_ignore", MAXLEN,
+                           vocab_size=VOCAB)
+    rows = ordinal.with_ordinal(rows, ["pair_id"], "_o").withColumn(
+        "batch_id", F.floor(F.col("_o") / 8).cast("bigint")).drop("_o")
+    return PK.pad_batches(rows, "batch_id")
+
+
+@register("length_batches", _MIX_SQL.replace(
+    "SELECT pair_id, x AS input_ids", "SELECT pair_id, len(x)::INT AS length, CAST(floor((row_number() OVER "
+    "(ORDER BY len(x) DESC, pair_id) - 1) / 8) AS BIGINT) AS batch_id, x AS input_ids", 1)
+          .replace("SELECT pair_id, len(x)::INT AS length, CAST", "SELECT pair_id, length, batch_id FROM (SELECT pair_id, len(x)::INT AS length, CAST", 1)
+          + ") lb")
+def q_length_batches(spark, sf_dir):
+    rows = sft.map_dataset(_pairs(spark, sf_dir, 5), _vocab(spark, sf_dir), "pair_id", "mix", MAXLEN,
+                           vocab_size=VOCAB)
+    return PK.length_batches(rows, "pair_id", "length", 8).select("pair_id", "length", "batch_id")
+
+
+_SPLIT_SQL = (f"SELECT pair_id, CASE WHEN row_number() OVER (ORDER BY md5('42|' || CAST(pair_id AS VARCHAR)), pair_id) "
+              f"<= 50 THEN 'test' ELSE 'train' END AS split FROM ({_src_sql()}) s")
+
+
+@register("train_test_split", _SPLIT_SQL)
+def q_split(spark, sf_dir):
+    return sft.train_test_split(_pairs(spark, sf_dir), 50, 42, "pair_id").select("pair_id", "split")
+
+
+@register("split_counts", f"SELECT split, count(*)::BIGINT AS rows FROM ({_SPLIT_SQL}) t GROUP BY split")
+def q_split_counts(spark, sf_dir):
+    return sft.split_counts(sft.train_test_split(_pairs(spark, sf_dir), 50, 42, "pair_id"))
+
+
+@register("subsample", f"SELECT pair_id FROM ({_src_sql()}) s ORDER BY md5('7|' || CAST(pair_id AS VARCHAR)), pair_id LIMIT 100")
+def q_subsample(spark, sf_dir):
+    return sft.subsample(_pairs(spark, sf_dir), 100, 7, "pair_id").select("pair_id")
+
+
+@register("shuffle_rows", f"SELECT pair_id, row_number() OVER (ORDER BY md5('7|' || CAST(pair_id AS VARCHAR)), pair_id) - 1 "
+          f"AS row_order FROM ({_src_sql()}) s")
+def q_shuffle(spark, sf_dir):
+    return sft.shuffle_rows(_pairs(spark, sf_dir), 7, "pair_id").select("pair_id", "row_order")
