@@ -28,3 +28,10 @@ def accuracy(scored: DataFrame, correct_col: str = "correct", by: tuple[str, ...
                   F.count(F.lit(1)).alias("total"))
     return out.select(*by, F.coalesce("num_correct", F.lit(0)).cast("bigint").alias("num_correct"),
                       "total", F.round(F.try_divide("num_correct", "total"), 4).alias("accuracy"))
+
+
+def exam_answers(questions: DataFrame, provider, style: str = "few_shot",
+                 question: str = "question") -> DataFrame:
+    """V5: questions with their prompt and the provider's answer (not scored)."""
+    from boxwise.operators.prompts import exam_prompts
+    return provider(exam_prompts(questions, style, question))

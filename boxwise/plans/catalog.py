@@ -618,3 +618,112 @@ def q_subsample(spark, sf_dir):
           f"AS row_order FROM ({_src_sql()}) s")
 def q_shuffle(spark, sf_dir):
     return sft.shuffle_rows(_pairs(spark, sf_dir), 7, "pair_id").select("pair_id", "row_order")
+
+
+# ---------------------------------------------------------------------------
+# 2.5 Augmentation jobs (replayed generations, synthetic solver)
+# ---------------------------------------------------------------------------
+from boxwise.operators import providers as PV  # noqa: E402
+from boxwise.plans import augment as AG  # noqa: E402
+
+GEN_MODEL = "gpt-4-1106-preview"
+
+
+def _replay_candidates(spark, sf_dir):
+    return PV.replay(T.candidates(spark, sf_dir), "first_id", "batch_id", "content")
+
+
+def _composer():
+    return PV.synthetic(lambda: PV.compose_one_step("problem", "answer"))
+
+
+def _gen_sql(add_sol: bool) -> str:
+    return (f"SELECT batch_id AS parent_id, line_no, line, batch_id * 100 + line_no AS problem_id, "
+            "json_extract_string(line, '$.problem') AS problem, json_extract_string(line, '$.solution') AS solution, "
+            f"json_extract_string(line, '$.answer') AS answer FROM lines WHERE {O.json_reason('line', add_sol, True)} IS NULL")
+
+
+@register("question_bootstrapping", _with(candidates=O.CANDIDATES, lines=_LINES) + _gen_sql(False))
+def q_qb(spark, sf_dir):
+    return AG.question_bootstrapping(T.seeds(spark, sf_dir), _replay_candidates(spark, sf_dir))
+
+
+@register("similar_problems", _with(candidates=O.CANDIDATES, lines=_LINES) + _gen_sql(True))
+def q_similar(spark, sf_dir):
+    return AG.similar_problems(T.seeds(spark, sf_dir), _replay_candidates(spark, sf_dir))
+
+
+def _compose_sql(src: str, it: int) -> str:
+    nxt = "CAST(TRY_CAST(answer AS BIGINT) + 1 AS VARCHAR)"
+    prob = "problem || ' Then add 1 to the result.'"
+    sol = f"'Add one: $' || chr(92) || 'boxed{{' || {nxt} || '}}$.'"
+    doc = O.json_object([("problem", prob), ("solution", sol), ("answer", nxt)])
+    return (f"SELECT {it} AS iteration, problem_id, problem_id AS parent_id, {prob} AS problem, {sol} AS solution, "
+            f"{nxt} AS answer, {doc} AS line FROM {src} WHERE TRY_CAST(answer AS BIGINT) IS NOT NULL")
+
+
+_IQC_CTES = dict(seeds=O.SEEDS, iqc0=_compose_sql("seeds", 0), iqc1=_compose_sql("iqc0", 1))
+
+
+@register("compose_iterations", _with(**_IQC_CTES) + "SELECT * FROM iqc0 UNION ALL SELECT * FROM iqc1")
+def q_compose(spark, sf_dir):
+    rounds = AG.compose_iterations(T.seeds(spark, sf_dir), _composer(), rounds=2)
+    return rounds[0].unionByName(rounds[1])
+
+
+def _solver(problems):
+    return T.synthetic_attempts(problems)
+
+
+@register("answer_augmentation", _with(**O.scored_ctes("aa", O.SEEDS)) +
+          O.kept_sql("aa", "answer_augmentation", MODEL))
+def q_answer_aug(spark, sf_dir):
+    return AG.answer_augmentation(T.seeds(spark, sf_dir), _solver, MODEL)
+
+
+_GEN_QB = _gen_sql(False).replace("FROM lines", "FROM lines", 1)
+_CORPUS_CTES = dict(
+    candidates=O.CANDIDATES, lines=_LINES, seeds=O.SEEDS,
+    qbp=_gen_sql(False), simp=_gen_sql(True), iqc0=_compose_sql("seeds", 0), iqc1=_compose_sql("iqc0", 1),
+    **O.scored_ctes("aa", "SELECT * FROM seeds"), **O.scored_ctes("qb", "SELECT * FROM qbp"),
+    **O.scored_ctes("sim", "SELECT * FROM simp"), **O.scored_ctes("i0", "SELECT * FROM iqc0"),
+    **O.scored_ctes("i1", "SELECT * FROM iqc1"))
+_CORPUS_SQL = " UNION ALL ".join([
+    O.kept_sql("aa", "answer_augmentation", MODEL), O.kept_sql("qb", "question_bootstrapping", MODEL),
+    O.kept_sql("sim", "similar_problems", MODEL), O.kept_sql("i0", "compose_iter0", MODEL),
+    O.kept_sql("i1", "compose_iter1", MODEL)])
+
+
+def _corpus(spark, sf_dir):
+    seeds = T.seeds(spark, sf_dir)
+    rep = _replay_candidates(spark, sf_dir)
+    rounds = AG.compose_iterations(seeds, _composer(), rounds=2)
+    parts = [
+        AG.answer_augmentation(seeds, _solver, MODEL),
+        AG.verified_solutions(AG.question_bootstrapping(seeds, rep), _solver, MODEL, "question_bootstrapping"),
+        AG.verified_solutions(AG.similar_problems(seeds, rep), _solver, MODEL, "similar_problems"),
+        AG.verified_solutions(rounds[0], _solver, MODEL, "compose_iter0"),
+        AG.verified_solutions(rounds[1], _solver, MODEL, "compose_iter1"),
+    ]
+    return AG.assemble_corpus(parts)
+
+
+@register("assemble_corpus", _with(**_CORPUS_CTES) + _CORPUS_SQL)
+def q_corpus(spark, sf_dir):
+    return _corpus(spark, sf_dir)
+
+
+@register("to_instruction_pairs", _with(**_CORPUS_CTES) +
+          f"SELECT subset, problem_id, {O.lit(texts.INSTRUCTION_PROMPT.split('{question}')[0])} || problem || {NL2} "
+          f"AS instruction, solution AS output FROM ({_CORPUS_SQL}) c")
+def q_pairs(spark, sf_dir):
+    return AG.to_instruction_pairs(_corpus(spark, sf_dir))
+
+
+@register("exam_answers", "SELECT item_id, text AS question, 'Answer: ' || CAST(length(text) AS VARCHAR) AS answer "
+          "FROM benchmark")
+def q_exam_answers(spark, sf_dir):
+    from boxwise.operators import evaluate as EV
+    b = T.load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
+    provider = PV.synthetic(lambda: F.concat(F.lit("Answer: "), F.length("question").cast("string")), "answer")
+    return EV.exam_answers(b, provider, "few_shot").select("item_id", "question", "answer")

@@ -257,3 +257,27 @@ def json_reason(d: str, add_sol: bool, add_ans: bool) -> str:
     if add_ans:
         arms.append(f"WHEN coalesce(json_type({d}, '$.answer'), '') <> 'VARCHAR' THEN 'answer_not_string'")
     return "(CASE " + " ".join(arms) + " END)"
+
+
+# ---------------------------------------------------------------------------
+# Scoring chain over any problem table (problem_id, problem, answer)
+# ---------------------------------------------------------------------------
+
+def attempts_over(problems_sql: str) -> str:
+    return (ATTEMPTS.replace(f"WITH s AS ({SEEDS})", f"WITH s AS ({problems_sql})", 1)
+            .replace("CAST(s.answer AS BIGINT)", "TRY_CAST(s.answer AS BIGINT)"))
+
+
+def scored_ctes(prefix: str, problems_sql: str) -> dict[str, str]:
+    a, e, n = f"{prefix}_att", f"{prefix}_ext", f"{prefix}_norm"
+    return {
+        a: attempts_over(problems_sql),
+        e: f"SELECT problem_id, attempt, problem, answer, response, {extract_answer('response')} AS model_answer FROM {a}",
+        n: f"SELECT *, {normalize('answer')} AS gold_norm, {normalize('model_answer')} AS model_norm FROM {e}",
+        f"{prefix}_scored": f"SELECT *, {verdict('gold_norm', 'model_norm')} AS correct FROM {n}",
+    }
+
+
+def kept_sql(prefix: str, subset: str, model: str, num_sample: int = 3) -> str:
+    return (f"SELECT '{subset}' AS subset, problem_id, problem, response AS solution, answer, '{model}' AS source "
+            f"FROM {prefix}_scored WHERE attempt < {num_sample} AND correct")

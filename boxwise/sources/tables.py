@@ -40,14 +40,18 @@ def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attempts(spark: SparkSession, sf_dir: str, per_seed: int = 4) -> DataFrame:
-    """Logged model outputs: ``per_seed`` attempts per seed in 10 answer forms.
+    """Logged model outputs: ``per_seed`` attempts per seed in 10 answer forms."""
+    return synthetic_attempts(seeds(spark, sf_dir), per_seed)
 
-    The fan-out is a generator (``explode(sequence)``), not a join.
-    """
-    s = seeds(spark, sf_dir).select("problem_id", "problem", "answer")
+
+def synthetic_attempts(problems: DataFrame, per_seed: int = 4) -> DataFrame:
+    """A deterministic solver for any (problem_id, problem, answer) table: the
+    same 10 answer forms as ``attempts``. The fan-out is a generator
+    (``explode(sequence)``), not a join."""
+    s = problems.select("problem_id", "problem", "answer")
     x = s.select("*", F.explode(F.sequence(F.lit(0), F.lit(per_seed - 1))).alias("attempt"))
     form = ((F.col("problem_id") + F.col("attempt")) % 10).cast("int")
-    n = F.col("answer").cast("bigint")
+    n = F.col("answer").try_cast("bigint")
     a = F.col("answer")
     forms = [
         F.concat(F.lit(f"so ${BS}boxed{{"), a, F.lit("}$.")),
