@@ -727,3 +727,116 @@ def q_exam_answers(spark, sf_dir):
     b = T.load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
     provider = PV.synthetic(lambda: F.concat(F.lit("Answer: "), F.length("question").cast("string")), "answer")
     return EV.exam_answers(b, provider, "few_shot").select("item_id", "question", "answer")
+
+
+# ---------------------------------------------------------------------------
+# 2.1 Sources and sinks (round trips through the checkpoint folder)
+# ---------------------------------------------------------------------------
+from boxwise.session import scratch_path  # noqa: E402
+from boxwise.sources import exam as EX  # noqa: E402
+from boxwise.sources import jsonl as JL  # noqa: E402
+from boxwise.sources import splits as SP  # noqa: E402
+
+SEED_SCHEMA = "problem_id BIGINT, problem STRING, solution STRING, answer STRING"
+
+
+@register("scan_jsonl", _with(seeds=O.SEEDS) +
+          "SELECT problem_id, problem, answer FROM (SELECT *, row_number() OVER (ORDER BY problem_id) - 1 AS k, "
+          "count(*) OVER () AS n FROM seeds) t WHERE k >= 100 AND k < n - 100")
+def q_scan_jsonl(spark, sf_dir):
+    """Seeds written as JSON lines (some followed by a blank line), read back
+    with blank lines skipped and the Python slice [100:-100] applied."""
+    path = scratch_path(spark, "seeds-jsonl")
+    s = T.seeds(spark, sf_dir)
+    line = F.to_json(F.struct("problem_id", "problem", "solution", "answer"))
+    line = F.when(F.col("problem_id") % 7 == 0, F.concat(line, F.lit("\n  "))).otherwise(line)
+    JL.write_text_lines(s.orderBy("problem_id").select(line.alias("l")), "l", path)
+    out = JL.read_jsonl(spark, path, SEED_SCHEMA, start=100, end=-100)
+    return out.select("problem_id", "problem", "answer")
+
+
+_EXAM_Q = "CASE WHEN item_id % 2 = 0 THEN text || chr(10) || 'Explain \"why\", briefly.' ELSE text END"
+
+
+@register("scan_exam_csv", f"SELECT {_EXAM_Q} AS question FROM benchmark")
+def q_scan_exam(spark, sf_dir):
+    path = scratch_path(spark, "exam-csv")
+    b = T.load(spark, sf_dir, "benchmark")
+    q = F.when(F.col("item_id") % 2 == 0, F.concat("text", F.lit('\nExplain "why", briefly.'))).otherwise(F.col("text"))
+    EX.write_exam_csv(b.select(q.alias("question")), path)
+    return EX.read_exam_csv(spark, path)
+
+
+@register("load_splits", _SPLIT_SQL)
+def q_load_splits(spark, sf_dir):
+    root = scratch_path(spark, "splits")
+    SP.write_splits(sft.train_test_split(_pairs(spark, sf_dir), 50, 42, "pair_id"), root)
+    parts = SP.load_splits(spark, root)
+    return parts["train"].select("pair_id", F.lit("train").alias("split")).unionByName(
+        parts["test"].select("pair_id", F.lit("test").alias("split")))
+
+
+_KEPT = _with(**_SCORED_CTES) + (f"SELECT problem, response AS solution, answer, '{MODEL}' AS source "
+                                 "FROM scored WHERE attempt < 3 AND correct")
+
+
+@register("append_jsonl", _KEPT + " UNION ALL " + _KEPT.split("\n")[-1])
+def q_append(spark, sf_dir):
+    """Verified solutions appended twice to one JSONL folder (a rerun adds rows)."""
+    path = scratch_path(spark, "rej-sample-jsonl")
+    kept = sampling.reject_sample(scored_attempts(spark, sf_dir), 3, 3).select(
+        "problem", F.col("response").alias("solution"), "answer", F.lit(MODEL).alias("source"))
+    kept = cut_lineage(kept)
+    JL.append_jsonl(kept, path)
+    JL.append_jsonl(kept, path)
+    return spark.read.schema("problem STRING, solution STRING, answer STRING, source STRING").json(path)
+
+
+@register("export_exam", "SELECT 'Answer: ' || CAST(length(text) AS VARCHAR) AS answer, text AS question FROM benchmark")
+def q_export_exam(spark, sf_dir):
+    csv_path, json_path = scratch_path(spark, "exam-out-csv"), scratch_path(spark, "exam-out-jsonl")
+    b = T.load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
+    provider = PV.synthetic(lambda: F.concat(F.lit("Answer: "), F.length("question").cast("string")), "answer")
+    from boxwise.operators import evaluate as EV
+    EX.export_exam(EV.exam_answers(b, provider), csv_path, json_path)
+    return spark.read.schema("answer STRING, question STRING").json(json_path)
+
+
+# ---------------------------------------------------------------------------
+# 2.7 Streaming and SQL functions
+# ---------------------------------------------------------------------------
+from boxwise.functions.registry import register_sql_functions  # noqa: E402
+from boxwise.session import cut_lineage  # noqa: E402
+from boxwise.streaming import verify_stream as WS  # noqa: E402
+
+
+@register("stream_verify", _with(**_SCORED_CTES) + "SELECT problem_id, attempt, model_answer, correct FROM scored")
+def q_stream_verify(spark, sf_dir):
+    """Attempts land as two JSON drops; the stream verifies both, appending."""
+    src, sink, ck = (scratch_path(spark, n) for n in ("stream-src", "stream-sink", "stream-ckpt"))
+    a = T.attempts(spark, sf_dir)
+    a.where(F.col("attempt") < 2).write.mode("append").json(src)
+    a.where(F.col("attempt") >= 2).write.mode("append").json(src)
+    schema = "problem_id BIGINT, problem STRING, answer STRING, attempt INT, response STRING"
+    WS.run_verify_stream(spark, src, sink, ck, schema, keep=("problem_id", "attempt"))
+    return spark.read.parquet(sink)
+
+
+@register("stream_yield", _with(candidates=O.CANDIDATES, lines=_LINES) +
+          f"SELECT 'question_bootstrapping' AS task, sum(CASE WHEN {O.json_reason('line', False, True)} IS NULL "
+          "THEN 1 ELSE 0 END)::BIGINT AS valid, count(*)::BIGINT AS lines FROM lines")
+def q_stream_yield(spark, sf_dir):
+    src, ck = scratch_path(spark, "yield-src"), scratch_path(spark, "yield-ckpt")
+    c = T.candidates(spark, sf_dir).select(F.lit("question_bootstrapping").alias("task"), "batch_id", "content")
+    c.where(F.col("batch_id") % 2 == 0).write.mode("append").json(src)
+    c.where(F.col("batch_id") % 2 == 1).write.mode("append").json(src)
+    name = "yield_" + src.rsplit("-", 1)[-1]
+    return WS.run_yield_stream(spark, src, ck, name)
+
+
+@register("sql_functions", _with(**_SCORED_CTES) + "SELECT problem_id, attempt, model_answer, correct FROM scored")
+def q_sql_functions(spark, sf_dir):
+    register_sql_functions(spark)
+    T.attempts(spark, sf_dir).createOrReplaceTempView("bw_attempts")
+    return spark.sql("SELECT problem_id, attempt, model_answer, bw_answers_match(answer, model_answer) AS correct "
+                     "FROM (SELECT *, bw_extract_answer(response) AS model_answer FROM bw_attempts)")
