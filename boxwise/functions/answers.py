@@ -330,3 +330,108 @@ def col_rational(name: str) -> Column:
 
 def col_verdict(gold_norm: str, model_norm: str) -> Column:
     return F.expr(verdict(_q(gold_norm), _q(model_norm)))
+
+
+# ---------------------------------------------------------------------------
+# Staged forms for DataFrame jobs
+#
+# Same results as the nested templates above, laid out for the optimizer:
+# * each regex step is guarded by a substring test that any match needs, so
+#   most answers skip most regexes; a guard reads its input twice, which
+#   keeps the step in its own projection (computed once, inside codegen);
+# * higher-order functions (the brace fold, the mixed-number rewrite) are
+#   not code-generated and would pull a whole projection out of codegen, so
+#   they run only behind a Generate, only for rows that need them.
+# ---------------------------------------------------------------------------
+
+# A box whose braces nest at most 4 deep, matched without a fold.
+_BOX_FAST = (r'^(\{(?:[^{}]++|\{(?:[^{}]++|\{(?:[^{}]++|\{[^{}]*+\})*+\})*+\})*+\})')
+
+
+def _guard(x: str, needle: str, expr: str) -> str:
+    return f"(CASE WHEN contains({x}, {sql_str(needle)}) THEN {expr} ELSE {x} END)"
+
+
+def normalize_head_steps() -> list:
+    """Steps of ``normalize_head`` as functions of the previous value."""
+    def eq_split(x):
+        p0 = f"substring_index({x}, '=', 1)"
+        xyz = " + ".join(f"CAST(contains({p0}, '{v}') AS INT)" for v in ("y", "x", "z"))
+        return _guard(x, "=", f"(CASE WHEN ({xyz}) >= 2 THEN {x} ELSE substring_index({x}, '=', -1) END)")
+
+    def removals(x):
+        s = x
+        for expr in REMOVED_EXPRESSIONS:
+            s = f"replace({s}, {sql_str(expr)}, '')"
+        for before, after in SUBSTITUTIONS:
+            s = f"replace({s}, {sql_str(before)}, {sql_str(after)})"
+        return s
+
+    def rx(needle, pattern, repl):
+        return lambda x: _guard(x, needle, _rx(x, pattern, repl))
+
+    return [
+        eq_split,
+        rx("/", r'(?U)([\\\w]*)/([\\\w]*)', r'\\frac{$1}{$2}'),
+        removals,
+        lambda x: f"(CASE WHEN startswith({x}, '.') THEN {_rx(x, r'(?U)^(\.\d)', '0$1')} ELSE {x} END)",
+        rx(".", r'(?d)(?<!\.)\.$', ''),
+        rx("\\text{(", r'(?d)(\\text\{\()(.*?)(\)\})', '$2'),
+        rx("\\text{", r'(?d)(\\text\{)(.*?)(\})', '$2'),
+        rx("\\textbf{", r'(?d)(\\textbf\{)(.*?)(\})', '$2'),
+        rx("\\overline{", r'(?d)(\\overline\{)(.*?)(\})', '$2'),
+        rx("\\boxed{", r'(?d)(\\boxed\{)(.*)(\})', '$2'),
+        rx("frac", r'(?U)(frac)([^{])(\d)', 'frac{$2}{$3}'),
+        rx("sqrt", r'(sqrt)([^{])', 'sqrt{$2}'),
+        lambda x: _guard(x, "frac", _rx(_rx(x, r'(?U)frac\{(\d+)\}(\d+)', 'frac{$1}{$2}'),
+                                        r'(?U)frac(\d+)\{(\d+)\}', 'frac{$1}{$2}')),
+    ]
+
+
+def box_fast(t: str) -> str:
+    """Balanced box content for nesting up to 4 deep, else ''."""
+    return f"regexp_extract({t}, {sql_str(_BOX_FAST)}, 1)"
+
+
+def raw_answer_fast(x: str, t: str, box: str) -> str:
+    """The cascade given ``t`` (text after the last 'boxed') and ``box``
+    (``box_fast(t)``); null where the brace fold is needed."""
+    arms = [f"WHEN contains({x}, 'boxed') THEN (CASE WHEN {t} = '' THEN '' "
+            f"WHEN left({t}, 1) = '{{' THEN (CASE WHEN {box} <> '' THEN substr({box}, 2, char_length({box}) - 2) END) "
+            f"ELSE {py_strip(f'substring_index({t}, {sql_str(chr(36))}, 1)')} END)"]
+    for phrase in ANSWER_PHRASES:
+        arms.append(f"WHEN contains({x}, {sql_str(phrase)}) THEN "
+                    f"{py_strip(f'substring_index({x}, {sql_str(phrase)}, -1)')}")
+    arms.append(f"ELSE coalesce(try_element_at(regexp_extract_all({x}, {sql_str(LAST_NUMBER)}, 0), -1), '')")
+    return "(CASE " + " ".join(arms) + " END)"
+
+
+def strip_guarded(x: str) -> str:
+    """``py_strip`` that only trims when an end character is white space
+    (reads ``x`` several times: stage it)."""
+    ws = sql_str(PY_WHITESPACE)
+    return (f"(CASE WHEN {x} = '' THEN {x} WHEN instr({ws}, left({x}, 1)) > 0 OR instr({ws}, right({x}, 1)) > 0 "
+            f"THEN {py_strip(x)} ELSE {x} END)")
+
+
+def clean_answer_steps() -> list:
+    """``clean_answer`` as staged steps without regexes."""
+    return [
+        lambda p: f"(CASE WHEN endswith({p}, '.') THEN substr({p}, 1, char_length({p}) - 1) ELSE {p} END)",
+        lambda p: f"(CASE WHEN endswith({p}, '/') THEN substr({p}, 1, char_length({p}) - 1) ELSE {p} END)",
+        lambda p: f"(CASE WHEN startswith({p}, ':') THEN substr({p}, 2) ELSE {p} END)",
+        strip_guarded,
+    ]
+
+
+def raw_answer_staged(x: str, t: str, box: str) -> str:
+    """Cascade given ``t`` (text after the last 'boxed', null without one)
+    and ``box`` (fast box match, null unless ``t`` opens with a brace)."""
+    arms = [f"WHEN {t} IS NOT NULL THEN (CASE WHEN {t} = '' THEN '' "
+            f"WHEN {box} IS NOT NULL THEN (CASE WHEN {box} <> '' THEN substr({box}, 2, char_length({box}) - 2) END) "
+            f"ELSE {py_strip(f'substring_index({t}, {sql_str(chr(36))}, 1)')} END)"]
+    for phrase in ANSWER_PHRASES:
+        arms.append(f"WHEN contains({x}, {sql_str(phrase)}) THEN "
+                    f"{py_strip(f'substring_index({x}, {sql_str(phrase)}, -1)')}")
+    arms.append(f"ELSE coalesce(try_element_at(regexp_extract_all({x}, {sql_str(LAST_NUMBER)}, 0), -1), '')")
+    return "(CASE " + " ".join(arms) + " END)"

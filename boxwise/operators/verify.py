@@ -19,10 +19,25 @@ from boxwise.functions import answers as A
 
 def extract_answers(df: DataFrame, output_col: str = "response", out: str = "model_answer",
                     method_col: str | None = None) -> DataFrame:
-    """A3: add the final answer extracted from ``output_col``."""
+    """A3: add the final answer extracted from ``output_col``.
+
+    Staged: the cascade with a regex for boxes nested up to 4 deep runs in
+    codegen; only boxes it cannot match (deeper or unbalanced) take the
+    brace fold, behind a Generate.
+    """
     if method_col:
         df = df.withColumn(method_col, A.col_extraction_method(output_col))
-    return df.withColumn(out, A.col_extract_answer(output_col))
+    x = f"`{output_col}`"
+    df = df.withColumn("_bw_t", F.expr(f"CASE WHEN contains({x}, 'boxed') THEN substring_index({x}, 'boxed', -1) END"))
+    df = df.withColumn("_bw_box", F.expr(f"CASE WHEN left(_bw_t, 1) = '{{' THEN {A.box_fast('_bw_t')} END"))
+    df = df.withColumn("_bw_raw", F.expr(A.raw_answer_staged(x, "_bw_t", "_bw_box")))
+    slow = F.expr(f"CASE WHEN _bw_raw IS NULL AND {x} IS NOT NULL THEN substr(_bw_t, 2, "
+                  f"{A.brace_content_length('substr(_bw_t, 2)')}) ELSE _bw_raw END")
+    df = bind(df, _bw_ans=slow).drop("_bw_t", "_bw_box", "_bw_raw")
+    for step in A.clean_answer_steps():
+        df = df.withColumn("_bw_ans", F.expr(step("_bw_ans")))
+    return df.withColumnRenamed("_bw_ans", out) if out not in df.columns else \
+        df.withColumn(out, F.col("_bw_ans")).drop("_bw_ans")
 
 
 def extraction_method_counts(df: DataFrame, output_col: str = "response") -> DataFrame:
@@ -42,16 +57,33 @@ def bind(df: DataFrame, **exprs) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[e.alias(k) for k, e in exprs.items()]))))
 
 
+def _staged_head(df: DataFrame, col: str, tmp: str) -> DataFrame:
+    df = df.withColumn(tmp, F.col(col))
+    for step in A.normalize_head_steps():
+        df = df.withColumn(tmp, F.expr(step(f"`{tmp}`")))
+    return df
+
+
+def _tail_exprs(head: str) -> tuple:
+    """(fast, slow) for the tail: the mixed-number rewrite only where the
+    pattern can match (it needs a HOF, so it runs behind a Generate)."""
+    h = f"`{head}`"
+    needs = f"(contains({h}, '\\\\frac{{') AND {h} RLIKE {A.sql_str(A.MIXED_NUMBER)})"
+    return needs, f"replace(CASE WHEN {needs} THEN {A.mixed_numbers(h)} ELSE {h} END, '$', '')"
+
+
 def normalize(df: DataFrame, col: str, out: str) -> DataFrame:
-    """A5: head in one projection, tail (which reads it several times) bound after it."""
-    df = df.withColumn(f"_{out}_head", A.col_normalize_head(col))
-    return bind(df, **{out: A.col_normalize_tail(f"_{out}_head")}).drop(f"_{out}_head")
+    """A5 as staged projections; the tail is bound behind a Generate."""
+    df = _staged_head(df, col, f"_{out}_head")
+    _, tail = _tail_exprs(f"_{out}_head")
+    return bind(df, **{out: F.expr(tail)}).drop(f"_{out}_head")
 
 
 def normalize_pair(df: DataFrame, gold_col: str, model_col: str) -> DataFrame:
-    df = df.withColumn("_g_head", A.col_normalize_head(gold_col)) \
-           .withColumn("_m_head", A.col_normalize_head(model_col))
-    df = bind(df, gold_norm=A.col_normalize_tail("_g_head"), model_norm=A.col_normalize_tail("_m_head"))
+    df = _staged_head(_staged_head(df, gold_col, "_g_head"), model_col, "_m_head")
+    _, g_tail = _tail_exprs("_g_head")
+    _, m_tail = _tail_exprs("_m_head")
+    df = bind(df, gold_norm=F.expr(g_tail), model_norm=F.expr(m_tail))
     return df.drop("_g_head", "_m_head")
 
 
@@ -63,7 +95,7 @@ def _verdict_columns(df: DataFrame, gold_col: str, model_col: str, out: str,
 
 
 def verify_answers(df: DataFrame, gold_col: str = "answer", model_col: str = "model_answer",
-                   out: str = "correct", plan: str = "narrow",
+                   out: str = "correct", plan: str = "distinct",
                    keep_normalized: bool = False) -> DataFrame:
     """A10: boolean verdict (never null) comparing gold and model answers."""
     if plan == "narrow":

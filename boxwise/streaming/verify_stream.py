@@ -20,7 +20,8 @@ def verified_stream(spark: SparkSession, source_dir: str, schema: StructType | s
                     output_col: str = "response", gold_col: str = "answer") -> DataFrame:
     src = spark.readStream.schema(schema).json(source_dir)
     src = verify.extract_answers(src, output_col, "model_answer")
-    return verify.verify_answers(src, gold_col, "model_answer", "correct")
+    # per-row plan: a streaming dedup joined back to its own stream is not supported
+    return verify.verify_answers(src, gold_col, "model_answer", "correct", plan="narrow")
 
 
 def run_verify_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,

@@ -71,3 +71,29 @@ def test_locate_box(spark):
     df = spark.createDataFrame([("ab \\boxed{xy} c",), ("no box",)], "s string")
     got = [r.r for r in df.select(F.expr(A.locate_box("s")).alias("r")).collect()]
     assert got[0].pos == 11 and got[0].len == 2 and got[1] is None
+
+
+def test_staged_dataframe_path_matches_golden(spark):
+    """The staged DataFrame path (guards, Generate-bound folds) gives the
+    same answers as the nested templates."""
+    from boxwise.operators import verify
+    rows = [(i, v) for i, (v, _) in enumerate(EXTRACT)] + [(100, "\\boxed{a{b{c{d{e}}}}}f}")]
+    df = spark.createDataFrame(rows, "i int, s string")
+    got = {r.i: r.model_answer for r in verify.extract_answers(df, "s").collect()}
+    for i, (_, o) in enumerate(EXTRACT):
+        assert got[i] == o
+    assert got[100] == "a{b{c{d{e}}}}"
+    df = spark.createDataFrame([(i, v) for i, (v, _) in enumerate(NORMALIZE)] + [(99, "sqrtfrac1{2}")],
+                               "i int, s string")
+    got = {r.i: r.n for r in verify.normalize(df, "s", "n").collect()}
+    for i, (_, o) in enumerate(NORMALIZE):
+        assert got[i] == o
+    assert got[99] == "sqrt{f}rac1{2}"
+
+
+def test_verdict_plans_agree(spark):
+    from boxwise.operators import verify
+    df = spark.createDataFrame([(i, g, m) for i, (g, m, _) in enumerate(COMPARE)], "i int, answer string, model_answer string")
+    for plan in ("narrow", "distinct"):
+        got = {r.i: r.correct for r in verify.verify_answers(df, plan=plan).collect()}
+        assert [got[i] for i in range(len(COMPARE))] == [v for _, _, v in COMPARE]
