@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxwise.functions.answers import sql_str
+from boxwise.operators import ordinal
 
 PAD_ID = 0
 UNK_ID = 0
@@ -52,8 +53,15 @@ def build_vocab(df: DataFrame, text_cols: list[str], vocab_size: int) -> DataFra
         t = df.select(F.explode(tokens(c)).alias("token"))
         toks = t if toks is None else toks.unionByName(t)
     counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.orderBy(F.desc("n"), F.asc("token")).limit(vocab_size - FIRST_ID)
-    w = Window.orderBy(F.desc("n"), F.asc("token"))
+    order = [F.desc("n"), F.asc("token")]
+    keep = vocab_size - FIRST_ID
+    if keep > ordinal.TOP_N_IN_MEMORY:
+        # a large cap: number all distinct tokens without a single-task window
+        top = ordinal.first_n(counts, order, keep, name="_r")
+        return top.select("token", (F.col("_r") + FIRST_ID).cast("int").alias("id"), "n")
+    top = counts.orderBy(*order).limit(keep)
+    # the window sees at most `keep` rows (the cap), so one task is enough
+    w = Window.orderBy(*order)
     return top.select("token", (F.row_number().over(w) + FIRST_ID - 1).cast("int").alias("id"), "n")
 
 
