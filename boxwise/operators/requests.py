@@ -7,6 +7,7 @@ parameter set and a deterministic 10-character id, so reruns agree.
 
 from __future__ import annotations
 
+import json
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,16 +33,42 @@ def message(role: str, content: str | Column) -> Column:
     return F.struct(F.lit(role).alias("role"), c.cast("string").alias("content"))
 
 
+def _message_json(role: str, content: Column | str, literal: bool) -> Column:
+    """One message as Python's json.dumps writes it; constants are escaped
+    once here instead of on every row."""
+    head = F.lit('{"role": ' + json.dumps(role) + ', "content": ')
+    if literal:
+        return F.lit('{"role": ' + json.dumps(role) + ', "content": ' + json.dumps(content) + "}")
+    return F.concat(head, F.expr(json_string(f"`{content}`")), F.lit("}"))
+
+
 def build_threads(df: DataFrame, user_col: str, system_prompt: str | None = None,
                   assistant_col: str | None = None, out: str = "messages") -> DataFrame:
-    """[system?] + user [+ assistant] in order."""
-    msgs = []
+    """[system?] + user [+ assistant] in order.
+
+    Also adds ``<out>_json``, the thread as JSON text, built from the known
+    parts so request bodies need no per-row loop over the array.
+    """
+    msgs, parts = [], []
     if system_prompt:
         msgs.append(message("system", F.lit(system_prompt)))
+        parts.append(_message_json("system", system_prompt, True))
     msgs.append(message("user", user_col))
+    parts.append(_message_json("user", user_col, False))
     if assistant_col:
         msgs.append(message("assistant", assistant_col))
-    return df.withColumn(out, F.array(*msgs))
+        parts.append(_message_json("assistant", assistant_col, False))
+    pieces = [F.lit("[")]
+    for i, p in enumerate(parts):
+        pieces += ([F.lit(", ")] if i else []) + [p]
+    return df.withColumn(out, F.array(*msgs)).withColumn(f"{out}_json", F.concat(*pieces, F.lit("]")))
+
+
+def thread_json(messages: str = "messages") -> Column:
+    """Any thread column as JSON text (a per-row loop over the array)."""
+    return F.expr(
+        f"concat('[', array_join(transform(`{messages}`, m -> concat('{{\"role\": ', "
+        f"{json_string('m.role')}, ', \"content\": ', {json_string('m.content')}, '}}')), ', '), ']')")
 
 
 def reset_threads(messages: str = "messages", keep_system: bool = True) -> Column:
@@ -92,14 +119,11 @@ def build_requests(df: DataFrame, task: str, key_cols: list[str], params: Reques
         f'"top_p": {_py_float(p.top_p)}',
         f'"stream": {"true" if p.stream else "false"}',
     ])
-    msg_json = F.expr(
-        f"concat('[', array_join(transform(`{messages}`, m -> concat('{{\"role\": ', "
-        f"{json_string('m.role')}, ', \"content\": ', {json_string('m.content')}, '}}')), ', '), ']')")
+    msg_json = F.col(f"{messages}_json") if f"{messages}_json" in df.columns else thread_json(messages)
     body = F.concat(F.lit("{" + head + ', "messages": '), msg_json, F.lit("}"))
     return df.select("*", request_id(task, *key_cols).alias("request_id"),
                      params_col.alias("params"), body.alias("body_json"))
 
 
 def json_dumps_str(s: str) -> str:
-    import json
     return json.dumps(s)

@@ -297,8 +297,7 @@ def _threads(spark, sf_dir):
 
 
 def _thread_json_col(messages: str = "messages"):
-    return F.expr(f"concat('[', array_join(transform(`{messages}`, m -> concat('{{\"role\": ', "
-                  f"{TX.json_string('m.role')}, ', \"content\": ', {TX.json_string('m.content')}, '}}')), ', '), ']')")
+    return R.thread_json(messages)
 
 
 @register("build_threads", _with(attempts=O.ATTEMPTS) +
@@ -307,7 +306,7 @@ def q_build_threads(spark, sf_dir):
     t = _threads(spark, sf_dir)
     return t.select("problem_id", "attempt",
                     F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"),
-                    _thread_json_col().alias("thread_json"))
+                    F.col("messages_json").alias("thread_json"))
 
 
 @register("reset_threads", _with(attempts=O.ATTEMPTS) +
