@@ -63,9 +63,9 @@ def q_extract_box(spark, sf_dir):
 @register("locate_box", _with(attempts=O.ATTEMPTS) +
           "SELECT problem_id, attempt, "
           "CASE WHEN contains(response, '\\boxed') AND left(string_split(response, '\\boxed')[-1], 1) = '{' "
-          "THEN length(response) - length(string_split(response, '\\boxed')[-1]) + 2 END AS box_pos, "
+          "THEN CAST(length(response) - length(string_split(response, '\\boxed')[-1]) + 2 AS INT) END AS box_pos, "
           "CASE WHEN contains(response, '\\boxed') AND left(string_split(response, '\\boxed')[-1], 1) = '{' "
-          "THEN length(" + O.extract_box("response") + ") END AS box_len FROM attempts")
+          "THEN CAST(length(" + O.extract_box("response") + ") AS INT) END AS box_len FROM attempts")
 def q_locate_box(spark, sf_dir):
     a = T.attempts(spark, sf_dir).withColumn("_loc", A.col_locate_box("response"))
     return a.select("problem_id", "attempt", F.col("_loc.pos").alias("box_pos"),
