@@ -17,6 +17,7 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from boxwise.session import cut_lineage
 
@@ -41,8 +42,12 @@ def with_ordinal(df: DataFrame, order_cols: list[str | Column], name: str = "ord
     if presorted:
         ranged = df
     else:
-        ranged = df.repartitionByRange(_num_partitions(df, partitions), *order_cols) \
-                   .sortWithinPartitions(*order_cols)
+        # A hash of the whole row breaks ties, so a key shared by a large part
+        # of the rows is still spread over several range partitions.
+        hashable = [F.col(f.name) for f in df.schema.fields
+                    if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+        keys = list(order_cols) + ([F.xxhash64(*hashable)] if hashable else [])
+        ranged = df.repartitionByRange(_num_partitions(df, partitions), *keys).sortWithinPartitions(*keys)
     ranged = cut_lineage(ranged)
     pos = ranged.select("*", F.spark_partition_id().alias("_part"),
                         F.monotonically_increasing_id().alias("_mid"))

@@ -130,3 +130,17 @@ def test_ordinal_same_for_any_partitioning(spark, parts):
     assert got == [(i, i) for i in range(1000)]
     top = ordinal.first_n(df, [F.col("k")], 10, name="o").collect()
     assert sorted(r.k for r in top) == list(range(10))
+
+
+def test_ordinal_spreads_a_hot_key(spark):
+    """A third of the rows share one order key: they still land in several
+    range partitions and the numbering stays a permutation."""
+    df = spark.range(0, 3000).select(F.when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.col("id")).alias("k"),
+                                     F.col("id"))
+    o = ordinal.with_ordinal(df, ["k"], partitions=8)
+    parts = o.select(F.spark_partition_id().alias("p"), "k").where("k = 5").select("p").distinct().count()
+    assert parts > 1
+    got = [r.ordinal for r in o.orderBy("ordinal").collect()]
+    assert got == list(range(3000))
+    ks = [r.k for r in o.orderBy("ordinal").collect()]
+    assert ks == sorted(ks)
