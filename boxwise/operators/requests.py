@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxwise.functions.text import json_string
+from boxwise.operators.sequence import previous_row
 
 
 # The reference's request parameter defaults.
@@ -86,13 +87,11 @@ def last_role_is_assistant(messages: str = "messages") -> Column:
 def role_repeats(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role") -> DataFrame:
     """P10 on a message table: turns whose role equals the previous turn's.
 
-    One window per conversation; a long conversation is sorted and streamed
-    in its task (the frame is one row back), never collected.
+    The previous turn comes from ``sequence.previous_row`` (chunked windows),
+    so one very long conversation is not a single window partition.
     """
-    w = Window.partitionBy(conv).orderBy(turn)
-    prev = F.lag(role).over(w)
-    return df.withColumn("prev_role", prev).withColumn(
-        "repeated_role", F.coalesce(F.col(role) == F.col("prev_role"), F.lit(False)))
+    d = previous_row(df, conv, turn, [role], prefix="_p_").withColumnRenamed(f"_p_{role}", "prev_role")
+    return d.withColumn("repeated_role", F.coalesce(F.col(role) == F.col("prev_role"), F.lit(False)))
 
 
 def request_id(task: str, *cols: str) -> Column:

@@ -112,11 +112,11 @@ def sft_pairs(spark: SparkSession, sf_dir: str, blank_every: int | None = None)
     ``blank_every=k`` blanks the instruction where ``conv_id % k = 0`` (to
     exercise the empty-instruction branch of mixed mode).
     """
-    from pyspark.sql import Window
-    c = load(spark, sf_dir, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    t = c.select("conv_id", "turn", "role", F.col("text").alias("output"),
-                 F.lag("text").over(w).alias("instruction"), F.lag("role").over(w).alias("prev"))
+    from boxwise.operators.sequence import previous_row
+    c = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    t = previous_row(c, "conv_id", "turn", ["text", "role"])
+    t = t.select("conv_id", "turn", "role", F.col("text").alias("output"),
+                 F.col("prev_text").alias("instruction"), F.col("prev_role").alias("prev"))
     t = t.where((F.col("role") == "assistant") & (F.col("prev") == "user"))
     instr = F.col("instruction")
     if blank_every:

@@ -144,3 +144,15 @@ def test_ordinal_spreads_a_hot_key(spark):
     assert got == list(range(3000))
     ks = [r.k for r in o.orderBy("ordinal").collect()]
     assert ks == sorted(ks)
+
+
+def test_previous_row_matches_lag(spark):
+    from pyspark.sql import Window
+    from boxwise.operators.sequence import previous_row
+    df = spark.range(0, 5000).select((F.col("id") % 3).alias("k"), (F.col("id") * 7 % 5000).alias("t"),
+                                     F.col("id").cast("string").alias("v"))
+    df = df.where(F.col("k") != 2).unionByName(df.where("k = 2").limit(5))
+    got = previous_row(df, "k", "t", ["v"], chunk=64)
+    want = df.withColumn("prev_v", F.lag("v").over(Window.partitionBy("k").orderBy("t")))
+    assert sorted(tuple(r) for r in got.select("k", "t", "prev_v").collect()) == \
+        sorted(tuple(r) for r in want.select("k", "t", "prev_v").collect())
