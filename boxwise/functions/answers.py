@@ -214,7 +214,7 @@ def normalize_answer(x: str) -> str:
 # ---------------------------------------------------------------------------
 
 def answer_set(x: str) -> str:
-    return f"array_sort(array_distinct(split({x}, ',', -1)))"
+    return f"sort_array(array_distinct(split({x}, ',', -1)))"
 
 
 def set_equal(a: str, b: str) -> str:

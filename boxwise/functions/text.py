@@ -31,8 +31,8 @@ def json_string(x: str) -> str:
     pieces = f"regexp_extract_all({x}, '(?s)[ -~]+|.', 0)"
     slow = (f"array_join(transform({pieces}, t -> CASE WHEN t RLIKE '^[ -~]' THEN "
             f"{_escape_printable('t')} ELSE {other} END), '')")
-    return (f"concat('\"', CASE WHEN {x} RLIKE '^[ -~]*\\\\z' THEN {_escape_printable(x)} "
-            f"ELSE {slow} END, '\"')")
+    return (f"coalesce(concat('\"', CASE WHEN {x} RLIKE '^[ -~]*\\\\z' THEN {_escape_printable(x)} "
+            f"ELSE {slow} END, '\"'), 'null')")
 
 
 def json_object(fields: list[tuple[str, str]]) -> str:

@@ -236,7 +236,8 @@ def json_string(x: str) -> str:
              "56320 + ((unicode(t) - 65536) & 1023)) END")
     slow = (f"array_to_string(list_transform(regexp_extract_all({x}, '[ -~]+|(?s:.)'), lambda t: "
             f"CASE WHEN regexp_matches(t, '^[ -~]') THEN {_esc_printable('t')} ELSE {other} END), '')")
-    return f"('\"' || CASE WHEN regexp_full_match({x}, '[ -~]*') THEN {_esc_printable(x)} ELSE {slow} END || '\"')"
+    return (f"coalesce('\"' || CASE WHEN regexp_full_match({x}, '[ -~]*') THEN {_esc_printable(x)} ELSE {slow} END "
+            f"|| '\"', 'null')")
 
 
 def json_object(fields: list[tuple[str, str]]) -> str:

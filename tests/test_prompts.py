@@ -74,3 +74,8 @@ def test_threads_and_requests(spark):
     assert body["messages"] == [{"role": "system", "content": "SYS"}, {"role": "user", "content": "p1"}]
     assert body["model"] == "gpt-4-1106-preview" and body["max_tokens"] == 2048 and body["stream"] is False
     assert len(r.request_id) == 10
+
+
+def test_json_null_like_python(spark):
+    df = spark.createDataFrame([(None,)], "s string")
+    assert df.select(F.expr(json_string("s")).alias("j")).collect()[0].j == json.dumps(None)
