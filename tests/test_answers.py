@@ -97,3 +97,16 @@ def test_verdict_plans_agree(spark):
     for plan in ("narrow", "distinct"):
         got = {r.i: r.correct for r in verify.verify_answers(df, plan=plan).collect()}
         assert [got[i] for i in range(len(COMPARE))] == [v for _, _, v in COMPARE]
+
+
+def test_sql_functions(spark):
+    from boxwise.functions.registry import register_sql_functions
+    names = register_sql_functions(spark)
+    assert "bw_extract_answer" in names
+    spark.createDataFrame([(i, v) for i, (v, _) in enumerate(EXTRACT)], "i int, s string") \
+        .createOrReplaceTempView("bw_ex")
+    got = {r.i: r.a for r in spark.sql("SELECT i, bw_extract_answer(s) AS a FROM bw_ex").collect()}
+    assert [got[i] for i in range(len(EXTRACT))] == [o for _, o in EXTRACT]
+    r = spark.sql("SELECT bw_answers_match('1/2', '\\\\frac{2}{4}') AS m, bw_normalize_answer('10\\\\%') AS n, "
+                  "bw_json_string('a\"b') AS j").collect()[0]
+    assert r.m is True and r.n == "10" and r.j == '"a\\"b"'
