@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 
 def reject_sample(attempts: DataFrame, num_sample_1q: int = 3, max_valid_1q: int = 3,
-                  key: str = "problem_id", attempt_col: str = "attempt",
+                  key: str | list[str] = "problem_id", attempt_col: str = "attempt",
                   correct_col: str = "correct") -> DataFrame:
     """V1: the attempts a sequential sampler would keep."""
     a = attempts.where(F.col(attempt_col) < num_sample_1q)
@@ -28,7 +28,8 @@ def reject_sample(attempts: DataFrame, num_sample_1q: int = 3, max_valid_1q: int
         return a.where(F.col(correct_col) & (F.col(attempt_col) == 0))
     if max_valid_1q >= num_sample_1q:
         return a.where(F.col(correct_col))
-    w = (Window.partitionBy(key).orderBy(attempt_col)
+    keys = [key] if isinstance(key, str) else list(key)
+    w = (Window.partitionBy(*keys).orderBy(attempt_col)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     running = F.sum(F.col(correct_col).cast("int")).over(w)
     return (a.withColumn("_kept_so_far", running)
