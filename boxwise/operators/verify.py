@@ -23,7 +23,7 @@ def extract_answers(df: DataFrame, output_col: str = "response", out: str = "mod
 
     Staged: the cascade with a regex for boxes nested up to 4 deep runs in
     codegen; only boxes it cannot match (deeper or unbalanced) take the
-    brace fold, behind a Generate.
+    brace fold, in a projection of its own.
     """
     if method_col:
         df = df.withColumn(method_col, A.col_extraction_method(output_col))
@@ -31,9 +31,12 @@ def extract_answers(df: DataFrame, output_col: str = "response", out: str = "mod
     df = df.withColumn("_bw_t", F.expr(f"CASE WHEN contains({x}, 'boxed') THEN substring_index({x}, 'boxed', -1) END"))
     df = df.withColumn("_bw_box", F.expr(f"CASE WHEN left(_bw_t, 1) = '{{' THEN {A.box_fast('_bw_t')} END"))
     df = df.withColumn("_bw_raw", F.expr(A.raw_answer_staged(x, "_bw_t", "_bw_box")))
+    # The fold reads _bw_t and _bw_raw twice, so this projection is never
+    # merged with its neighbours: only it leaves codegen (and its CASE only
+    # runs the fold for boxes the regex could not match).
     slow = F.expr(f"CASE WHEN _bw_raw IS NULL AND {x} IS NOT NULL THEN substr(_bw_t, 2, "
                   f"{A.brace_content_length('substr(_bw_t, 2)')}) ELSE _bw_raw END")
-    df = bind(df, _bw_ans=slow).drop("_bw_t", "_bw_box", "_bw_raw")
+    df = df.withColumn("_bw_ans", slow).drop("_bw_t", "_bw_box", "_bw_raw")
     for step in A.clean_answer_steps():
         df = df.withColumn("_bw_ans", F.expr(step("_bw_ans")))
     return df.withColumnRenamed("_bw_ans", out) if out not in df.columns else \
