@@ -839,3 +839,13 @@ def q_sql_functions(spark, sf_dir):
     T.attempts(spark, sf_dir).createOrReplaceTempView("bw_attempts")
     return spark.sql("SELECT problem_id, attempt, model_answer, bw_answers_match(answer, model_answer) AS correct "
                      "FROM (SELECT *, bw_extract_answer(response) AS model_answer FROM bw_attempts)")
+
+
+@register("extract_answer_documents",
+          f"SELECT doc_id, {O.extraction_method('text')} AS method, {O.extract_answer('text')} AS model_answer "
+          "FROM documents")
+def q_extract_documents(spark, sf_dir):
+    """A3/A4 over whole long texts (the `documents` table, up to 20,000 words)."""
+    d = T.load(spark, sf_dir, "documents").select("doc_id", "text")
+    d = verify.extract_answers(d, "text", "model_answer", "method")
+    return d.select("doc_id", "method", "model_answer")
