@@ -110,3 +110,14 @@ def test_sql_functions(spark):
     r = spark.sql("SELECT bw_answers_match('1/2', '\\\\frac{2}{4}') AS m, bw_normalize_answer('10\\\\%') AS n, "
                   "bw_json_string('a\"b') AS j").collect()[0]
     assert r.m is True and r.n == "10" and r.j == '"a\\"b"'
+
+
+def test_locate_box_reference_position(spark):
+    """The reference counts from the first box but measures the last one."""
+    s = "a \\boxed{1} b \\boxed{22}"
+    df = spark.createDataFrame([(s,)], "s string")
+    ours = df.select(F.expr(A.locate_box("s")).alias("r")).collect()[0].r
+    ref = df.select(F.expr(A.locate_box("s", reference_position=True)).alias("r")).collect()[0].r
+    assert s[ours.pos - 1:ours.pos - 1 + ours.len] == "22"
+    # 0-based: find('\\boxed') + len('\\boxed') + after_box.find(a), with after_box = '{22}'
+    assert ref.pos - 1 == s.find("\\boxed") + len("\\boxed") + "{22}".find("22") and ref.len == 2
