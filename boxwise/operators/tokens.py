@@ -48,10 +48,9 @@ def build_vocab(df: DataFrame, text_cols: list[str], vocab_size: int) -> DataFra
     map-side); the cut is a top-(vocab_size-3) whose size is the parameter."""
     if vocab_size <= FIRST_ID:
         raise ValueError("vocab_size must exceed the 3 reserved ids")
-    toks = None
-    for c in text_cols:
-        t = df.select(F.explode(tokens(c)).alias("token"))
-        toks = t if toks is None else toks.unionByName(t)
+    # one pass over the source: the token arrays of all text columns together
+    all_tokens = F.concat(*[F.coalesce(tokens(c), F.array().cast("array<string>")) for c in text_cols])
+    toks = df.select(F.explode(all_tokens).alias("token"))
     counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     order = [F.desc("n"), F.asc("token")]
     keep = vocab_size - FIRST_ID
