@@ -60,3 +60,22 @@ def test_stream_verify_equals_batch(spark):
     batch = verify.verify_answers(verify.extract_answers(a, "response", "model_answer"))
     want = sorted(tuple(r) for r in batch.select("problem_id", "attempt", "model_answer", "correct").collect())
     assert streamed == want
+
+
+def test_line_order_across_splits_and_files(spark):
+    d = tempfile.mkdtemp(prefix="bw-lines-")
+    want = []
+    for f in ("part-a.jsonl", "part-b.jsonl"):
+        rows = [json.dumps({"problem": f"{f}-{i}", "answer": str(i)}) for i in range(300)]
+        want += [json.loads(r)["problem"] for r in rows]
+        with open(os.path.join(d, f), "w") as fh:
+            fh.write("\n".join(rows) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        df = jsonl.read_jsonl(spark, d, "problem string, answer string")
+        assert spark.read.text(d).rdd.getNumPartitions() > 4
+        got = [r.problem for r in df.orderBy("line_no").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == want
