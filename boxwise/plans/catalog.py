@@ -356,7 +356,7 @@ SELECT ft.request_id,
 FROM ft LEFT JOIN r ON r.request_id = ft.request_id AND r.k = ft.tk"""
 
 
-@register("resolve_attempts", _RESOLVE_SQL.replace("WITH log AS", "WITH log AS", 1))
+@register("resolve_attempts", _RESOLVE_SQL)
 def q_resolve(spark, sf_dir):
     return C.resolve_attempts(T.attempt_log(spark, sf_dir), max_retry=3)
 
@@ -680,7 +680,6 @@ def q_answer_aug(spark, sf_dir):
     return AG.answer_augmentation(T.seeds(spark, sf_dir), _solver, MODEL)
 
 
-_GEN_QB = _gen_sql(False).replace("FROM lines", "FROM lines", 1)
 _CORPUS_CTES = dict(
     candidates=O.CANDIDATES, lines=_LINES, seeds=O.SEEDS,
     qbp=_gen_sql(False), simp=_gen_sql(True), iqc0=_compose_sql("seeds", 0), iqc1=_compose_sql("iqc0", 1),
