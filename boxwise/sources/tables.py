@@ -18,7 +18,13 @@ BS = "\\"
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table. A scan with fewer splits than the cluster has cores
+    (a small file is one Parquet row group, hence one task) is spread
+    round-robin first, so the CPU-heavy text work that follows is not done
+    by one task; a large table already has many splits and is left alone."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _s(c) -> Column:
