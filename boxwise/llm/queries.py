@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from boxwise.llm import bpe, exact_dedup, mixing, sharding, toxicity
+from boxwise.llm import bpe, exact_dedup, mixing, near_dedup, sharding, suffix_dedup, toxicity
 from boxwise.llm.common import table
 
 QUERIES = {}
@@ -60,6 +60,17 @@ def op4_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query
+def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicate_classes(table(spark, sf_dir, "documents")).select(
+        "doc_id", "class_id", "class_size", "kept")
+
+
 @query
 def op7_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
