@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from boxwise.llm import bpe, exact_dedup, mixing, near_dedup, sharding, suffix_dedup, toxicity
+from boxwise.llm import bpe, exact_dedup, mixing, near_dedup, sharding, suffix_dedup, toxicity, wrapper
 from boxwise.llm.common import table
 
 QUERIES = {}
@@ -21,6 +21,11 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+@query
+def op2_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 @query
 def op3_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
