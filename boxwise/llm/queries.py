@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from boxwise.llm import bpe, exact_dedup, mixing, near_dedup, sharding, suffix_dedup, toxicity, wrapper
+from boxwise.llm import ann, bpe, exact_dedup, mixing, near_dedup, sharding, suffix_dedup, toxicity, wrapper
 from boxwise.llm.common import table
 
 QUERIES = {}
@@ -88,6 +88,11 @@ def op8_flow_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", F.col("source_sizes")[0].alias("source_size"), F.col("targets")[0].alias("target"), "taken")
 
 
+@query
+def op9_balanced_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op10_golomb_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents")).select(
