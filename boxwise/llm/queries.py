@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from boxwise.llm import ann, bpe, exact_dedup, mixing, near_dedup, sharding, suffix_dedup, toxicity, wrapper
+from boxwise.llm import ann, bpe, exact_dedup, mixing, near_dedup, sharding, suffix_dedup, toxicity, url_lists, wrapper
 from boxwise.llm.common import table
 
 QUERIES = {}
@@ -21,6 +21,52 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+# Captures and list entries that the tables hold by rule: a page's fetch day
+# follows its id, a host's list entries follow a hash of its name.
+ENTRY_RULES = [  # list, pattern, action, day after 2024-01-01, condition; r is the hash
+    ("block", "host", "add", "r % 300", "r % 3 = 0"),
+    ("block", "host", "remove", "r % 300 + 90 + r % 50", "r % 6 = 0"),
+    ("block", "host", "add", "r % 300 + 400", "r % 12 = 0"),
+    ("block", "substring(host, {dot} + 1)", "add", "r % 500", "r % 5 = 0 AND length(host) - length(replace(host, '.', '')) >= 3"),
+    ("allow", "concat(host, '/en')", "add", "r % 400", "r % 2 = 0"),
+    ("allow", "concat(host, '/en')", "remove", "r % 400 + 200", "r % 4 = 0"),
+    ("block", "concat(host, '/de')", "add", "r % 100", "r % 7 < 3"),
+]
+
+
+@query
+def op1_temporal_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    hosts = pages.select(url_lists.host_and_path(F.col("url"))[0].alias("host")).where("host <> ''").distinct().withColumn(
+        "r", F.conv(F.substring(F.md5("host"), 1, 6), 16, 10).cast("int"))
+    rules = [F.when(F.expr(when), F.struct(
+        F.lit(name).alias("list"), F.expr(pattern.format(dot="locate('.', host)")).alias("pattern"), F.lit(action).alias("action"),
+        F.expr(f"date_add(DATE '2024-01-01', {day})").alias("day"))) for name, pattern, action, day, when in ENTRY_RULES]
+    entries = hosts.select(F.inline(F.array_compact(F.array(*rules))))
+    captures = pages.withColumn("fetched", F.expr("date_add(DATE '2024-01-01', CAST(pmod(page_id, 730) AS INT))"))
+    return url_lists.judge_captures(captures, entries).withColumnRenamed("id", "page_id")
+
+
+ORACLE["op1_temporal_url_lists"] = r"""
+WITH c AS (SELECT page_id, url, DATE '2024-01-01' + (((page_id % 730) + 730) % 730)::INT AS fetched, row_number() OVER () AS uid,
+    regexp_replace(regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '\.+$', ''), '^www\.', '') AS host,
+    regexp_replace(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+', '/', 'g') AS path FROM pages),
+h AS (SELECT host, ('0x' || substr(md5(host), 1, 6))::INT AS r FROM (SELECT DISTINCT host FROM c) WHERE host <> ''),
+e AS (""" + " UNION ALL ".join(
+    f"SELECT '{name}' AS list, {pattern.format(dot='strpos(host, chr(46))')} AS pattern, '{action}' AS action, "
+    f"DATE '2024-01-01' + ({day})::INT AS day FROM h WHERE {when}" for name, pattern, action, day, when in ENTRY_RULES) + r"""),
+d AS (SELECT list, pattern, day, bool_or(action = 'add') AS is_on FROM e GROUP BY ALL),
+s AS (SELECT *, coalesce(lag(is_on) OVER w, false) AS was FROM d WINDOW w AS (PARTITION BY list, pattern ORDER BY day)),
+i AS (SELECT list, pattern, day AS since, lead(day) OVER (PARTITION BY list, pattern ORDER BY day) AS until, is_on FROM s WHERE is_on <> was),
+m AS (SELECT c.uid, i.list, i.pattern, i.since, row_number() OVER (PARTITION BY c.uid ORDER BY length(i.pattern) DESC, i.list) AS k
+  FROM c JOIN i ON i.is_on AND c.fetched >= i.since AND (i.until IS NULL OR c.fetched < i.until) AND c.host <> ''
+   AND (c.host = i.pattern OR ends_with(c.host, '.' || i.pattern) OR starts_with(c.host || c.path || '/', i.pattern || '/')))
+SELECT c.page_id, c.url, c.fetched, CASE m.list WHEN 'allow' THEN 'allow' WHEN 'block' THEN 'block' ELSE 'none' END AS verdict,
+  m.list, m.pattern, m.since
+FROM c LEFT JOIN m ON c.uid = m.uid AND m.k = 1
+"""
+
+
 @query
 def op2_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.extract_main_text(table(spark, sf_dir, "pages"))
