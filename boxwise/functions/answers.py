@@ -7,8 +7,9 @@ bodies (``boxwise.functions.registry``) and plain ``spark.sql``. No Python UDF
 is involved: every step is a built-in string, regex, array or decimal
 expression, so it runs inside whole-stage codegen where Spark allows it.
 
-Regexes follow Python's ``re`` defaults: ``(?U)`` gives Unicode ``\\w``/``\\d``
-and ``(?d)`` makes ``\\n`` the only line end for ``.`` and ``$``.
+Regexes follow Python's ``re`` defaults: ``(?U)`` gives Unicode ``\\d``, word
+characters are spelled out (Java's ``\\w`` lacks superscripts and fractions and
+has combining marks), and ``(?d)`` makes ``\\n`` the only line end for ``.`` and ``$``.
 
 Callers should pass column names (or cheap expressions): several templates
 use their input more than once, and the DataFrame helpers stage deep
@@ -49,6 +50,8 @@ REMOVED_EXPRESSIONS = [
 # Phrases of the extraction cascade, in order of precedence.
 ANSWER_PHRASES = ['The answer is:', 'The answer is ', 'the answer is ']
 LAST_NUMBER = r'(?U)-?\d*\.?\d+'
+# Python's \\w: letters, all kinds of numbers, underscore.
+SLASH = r'([\\\p{L}\p{N}_]*)/([\\\p{L}\p{N}_]*)'
 MIXED_NUMBER = r'(?U)(\d+)\\frac\{(\d+)\}\{(\d+)\}'
 
 # Names of the extraction rules (A4 reports these).
@@ -165,7 +168,7 @@ def normalize_head(x: str) -> str:
     p0 = f"substring_index({x}, '=', 1)"
     xyz = " + ".join(f"CAST(contains({p0}, '{v}') AS INT)" for v in ("y", "x", "z"))
     s = f"(CASE WHEN ({xyz}) >= 2 THEN {x} ELSE substring_index({x}, '=', -1) END)"
-    s = _rx(s, r'(?U)([\\\w]*)/([\\\w]*)', r'\\frac{$1}{$2}')
+    s = _rx(s, SLASH, r'\\frac{$1}{$2}')
     for expr in REMOVED_EXPRESSIONS:
         s = f"replace({s}, {sql_str(expr)}, '')"
     for before, after in SUBSTITUTIONS:
@@ -284,8 +287,8 @@ def second_chance(gold_norm: str, model_norm: str) -> str:
 
 def verdict(gold_norm: str, model_norm: str) -> str:
     """A10 on normalized strings: set arm, else second chance, null -> false."""
-    return (f"({set_equal(model_norm, gold_norm)} OR "
-            f"coalesce({second_chance(gold_norm, model_norm)}, false))")
+    return (f"coalesce({set_equal(model_norm, gold_norm)} OR "
+            f"coalesce({second_chance(gold_norm, model_norm)}, false), false)")
 
 
 # ---------------------------------------------------------------------------
@@ -296,10 +299,6 @@ def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def col_extract_answer(name: str) -> Column:
-    return F.expr(extract_answer(_q(name)))
-
-
 def col_extraction_method(name: str) -> Column:
     return F.expr(extraction_method(_q(name)))
 
@@ -312,14 +311,6 @@ def col_locate_box(name: str, reference_position: bool = False) -> Column:
     return F.expr(locate_box(_q(name), reference_position))
 
 
-def col_normalize_head(name: str) -> Column:
-    return F.expr(normalize_head(_q(name)))
-
-
-def col_normalize_tail(name: str) -> Column:
-    return F.expr(normalize_tail(_q(name)))
-
-
 def col_set_equal(a: str, b: str) -> Column:
     return F.expr(set_equal(_q(a), _q(b)))
 
@@ -372,7 +363,7 @@ def normalize_head_steps() -> list:
 
     return [
         eq_split,
-        rx("/", r'(?U)([\\\w]*)/([\\\w]*)', r'\\frac{$1}{$2}'),
+        rx("/", SLASH, r'\\frac{$1}{$2}'),
         removals,
         lambda x: f"(CASE WHEN startswith({x}, '.') THEN {_rx(x, r'(?U)^(\.\d)', '0$1')} ELSE {x} END)",
         rx(".", r'(?d)(?<!\.)\.$', ''),
@@ -393,19 +384,6 @@ def box_fast(t: str) -> str:
     return f"regexp_extract({t}, {sql_str(_BOX_FAST)}, 1)"
 
 
-def raw_answer_fast(x: str, t: str, box: str) -> str:
-    """The cascade given ``t`` (text after the last 'boxed') and ``box``
-    (``box_fast(t)``); null where the brace fold is needed."""
-    arms = [f"WHEN contains({x}, 'boxed') THEN (CASE WHEN {t} = '' THEN '' "
-            f"WHEN left({t}, 1) = '{{' THEN (CASE WHEN {box} <> '' THEN substr({box}, 2, char_length({box}) - 2) END) "
-            f"ELSE {py_strip(f'substring_index({t}, {sql_str(chr(36))}, 1)')} END)"]
-    for phrase in ANSWER_PHRASES:
-        arms.append(f"WHEN contains({x}, {sql_str(phrase)}) THEN "
-                    f"{py_strip(f'substring_index({x}, {sql_str(phrase)}, -1)')}")
-    arms.append(f"ELSE coalesce(try_element_at(regexp_extract_all({x}, {sql_str(LAST_NUMBER)}, 0), -1), '')")
-    return "(CASE " + " ".join(arms) + " END)"
-
-
 def strip_guarded(x: str) -> str:
     """``py_strip`` that only trims when an end character is white space
     (reads ``x`` several times: stage it)."""

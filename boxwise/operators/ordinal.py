@@ -4,11 +4,10 @@
 
 1. range-partition on the order key and sort inside each partition (one
    shuffle; the sampled bounds balance the partitions);
-2. write the ranged frame to the checkpoint folder, so later passes see the
-   same partitions in the same order even after executor loss;
-3. count rows per partition (a tiny result: one row per partition), turn the
-   counts into offsets on the driver, and add ``offset[partition] + position``
-   in a narrow projection.
+2. write the rows with their partition and their place in it to the shared
+   folder, so both are fixed even after executor loss;
+3. count rows per partition (one row each), turn the counts into offsets, and
+   add ``offset[partition] + position`` through a broadcast of that table.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ from pyspark.sql import types as T
 from boxwise.session import cut_lineage
 
 # Above this many rows a first-n selection numbers all rows instead of
-# keeping n rows per task in a top-n heap.
+# keeping n rows per task in a top-n heap. Both give the same rows.
 TOP_N_IN_MEMORY = 100_000
 
 
@@ -48,17 +47,14 @@ def with_ordinal(df: DataFrame, order_cols: list[str | Column], name: str = "ord
                     if not isinstance(f.dataType, (T.MapType, T.VariantType))]
         keys = list(order_cols) + ([F.xxhash64(*hashable)] if hashable else [])
         ranged = df.repartitionByRange(_num_partitions(df, partitions), *keys).sortWithinPartitions(*keys)
-    ranged = cut_lineage(ranged)
-    pos = ranged.select("*", F.spark_partition_id().alias("_part"),
-                        F.monotonically_increasing_id().alias("_mid"))
-    pos = pos.withColumn("_pos", F.col("_mid") - F.shiftleft(F.col("_part").cast("bigint"), 33))
-    counts = dict(pos.groupBy("_part").count().collect())
-    n_parts = ranged.rdd.getNumPartitions()
-    sizes = [counts.get(i, 0) for i in range(n_parts)]
-    offsets = [0] + list(accumulate(sizes))[:-1]
-    offset = F.element_at(F.array(*[F.lit(o).cast("bigint") for o in offsets] or [F.lit(0).cast("bigint")]),
-                          F.col("_part") + 1)
-    return pos.withColumn(name, offset + F.col("_pos")).drop("_part", "_mid", "_pos")
+    pos = ranged.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_mid"))
+    pos = cut_lineage(pos.withColumn("_pos", F.col("_mid") - F.shiftleft(F.col("_part").cast("bigint"), 33)), "ordinal")
+    sizes = sorted(pos.groupBy("_part").count().collect())  # one row per partition
+    starts = [0, *accumulate(n for _, n in sizes)]
+    offsets = df.sparkSession.createDataFrame(
+        [(part, start) for (part, _), start in zip(sizes, starts)], "_part int, _offset bigint")
+    return pos.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_offset") + F.col("_pos")).select(
+        *df.columns, name)
 
 
 def first_n(df: DataFrame, order_cols: list[str | Column], n: int, name: str | None = None) -> DataFrame:

@@ -41,6 +41,22 @@ def synthetic(expr: Callable[[], Column], out: str = "content") -> Provider:
     return run
 
 
+PROVIDERS: dict[str, Provider] = {}
+
+
+def register_provider(name: str, provider: Provider) -> None:
+    """Make a provider known by name; the named jobs take either."""
+    PROVIDERS[name] = provider
+
+
+def get_provider(provider: str | Provider) -> Provider:
+    if callable(provider):
+        return provider
+    if provider not in PROVIDERS:
+        raise KeyError(f"unknown provider {provider!r}; registered: {sorted(PROVIDERS)}")
+    return PROVIDERS[provider]
+
+
 def compose_one_step(problem: str = "problem", answer: str = "answer") -> Column:
     """A deterministic "composer": the parent problem plus one more step,
     answered with parent answer + 1, as the JSON a model would return.

@@ -2,7 +2,7 @@
 
 A thread is ``array<struct<role: string, content: string>>``; building and
 resetting threads are narrow projections. Requests carry the reference's
-parameter set and a deterministic 10-character id, so reruns agree.
+parameter set and a deterministic id, so reruns agree.
 """
 
 from __future__ import annotations
@@ -95,8 +95,14 @@ def role_repeats(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
 
 
 def request_id(task: str, *cols: str) -> Column:
-    """Deterministic 10-character id from the task and the row's keys."""
-    return F.substring(F.md5(F.concat_ws("|", F.lit(task), *[F.col(c).cast("string") for c in cols])), 1, 10)
+    """Deterministic id from the task and the row's keys: a whole digest, as
+    responses are joined on it. ``short_id`` is for display."""
+    return F.md5(F.concat_ws("|", F.lit(task), *[F.col(c).cast("string") for c in cols]))
+
+
+def short_id(request_id: str = "request_id") -> Column:
+    """The first 10 characters, the length that the service's log shows."""
+    return F.substring(request_id, 1, 10)
 
 
 def _py_float(v: float) -> str:

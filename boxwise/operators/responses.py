@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxwise.functions.answers import py_strip
+from boxwise.operators.verify import bind
 
 
 def _terminal(status: str, body: str):
@@ -66,48 +67,64 @@ def join_responses(requests: DataFrame, responses: DataFrame, key: str = "reques
     return requests.join(responses, key, how)
 
 
-def split_candidates(df: DataFrame, content_col: str = "content", out: str = "line") -> DataFrame:
-    """Strip the response, one row per line (``line_no`` from 0)."""
+def split_candidates(df: DataFrame, content_col: str = "content", out: str = "line",
+                     outer: bool = False) -> DataFrame:
+    """Strip the response, one row per line (``line_no`` from 0). A missing
+    response has no lines; ``outer`` keeps it as one row without a line."""
     stripped = F.expr(py_strip(f"`{content_col}`"))
-    return df.select("*", F.posexplode(F.split(stripped, "\n", -1)).alias("line_no", out)).drop(content_col)
+    each = F.posexplode_outer if outer else F.posexplode
+    return df.select("*", each(F.split(stripped, "\n", -1)).alias("line_no", out)).drop(content_col)
 
 
-def json_checks(doc_col: str, add_sol: bool, add_ans: bool) -> tuple:
-    """(parsed, reason) columns for 'one JSON object with string fields'.
+def _wrapped(doc_col: str, tail: str, size: int):
+    """The document parsed as ``[doc<tail>]``, null unless that is an array of
+    ``size`` elements."""
+    v = F.try_parse_json(F.concat(F.lit("["), F.col(doc_col), F.lit(tail + "]")))
+    return F.when(F.array_size(F.try_variant_get(v, "$", "array<variant>")) == size, v)
 
-    The document is wrapped as ``[doc]`` before ``try_parse_json`` so text
-    after a complete object is rejected (as Python's parser does); the wrapped
-    array must hold exactly one element. Types are read with
-    ``schema_of_variant`` because ``variant_get(..., 'string')`` would cast.
+
+def parsed_document(df: DataFrame, doc_col: str) -> DataFrame:
+    """``df`` with ``_one`` and ``_two``, null unless the document is one JSON value."""
+    return bind(df, _one=_wrapped(doc_col, "", 1), _two=_wrapped(doc_col, ",0", 2))
+
+
+def json_reason(one: str, two: str, add_sol: bool, add_ans: bool):
+    """Why a document is not one JSON object with string fields, null if it is.
+
+    ``one`` and ``two`` are the document parsed as ``[doc]`` and ``[doc,0]``:
+    Spark's parser ignores what follows a complete value, so a document could
+    close one wrapper itself, but not both in the right way. Types are read
+    with ``schema_of_variant`` because ``variant_get(..., 'string')`` would cast.
     """
-    v = F.try_parse_json(F.concat(F.lit("["), F.col(doc_col), F.lit("]")))
-    n = F.array_size(F.try_variant_get(v, "$", "array<variant>"))
+    v = F.col(one)
     obj = F.schema_of_variant(F.variant_get(v, "$[0]", "variant"))
 
     def is_str(field):
         return F.coalesce(F.schema_of_variant(F.variant_get(v, f"$[0].{field}", "variant")) == "STRING",
                           F.lit(False))
 
-    reason = F.when(v.isNull() | (F.coalesce(n, F.lit(0)) != 1), F.lit("not_json"))
+    reason = F.when(v.isNull() | F.col(two).isNull(), F.lit("not_json"))
     reason = reason.when(~F.coalesce(obj.startswith("OBJECT"), F.lit(False)), F.lit("not_object"))
     reason = reason.when(~is_str("problem"), F.lit("problem_not_string"))
     if add_sol:
         reason = reason.when(~is_str("solution"), F.lit("solution_not_string"))
     if add_ans:
         reason = reason.when(~is_str("answer"), F.lit("answer_not_string"))
-    return v, reason
+    return reason
 
 
 def validate(df: DataFrame, doc_col: str, add_sol: bool, add_ans: bool) -> DataFrame:
-    """Add ``valid`` and ``reason`` (null when valid) for each document."""
-    _, reason = json_checks(doc_col, add_sol, add_ans)
-    return df.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull())
+    """Add ``valid`` and ``reason`` (null when valid) for each document. Each step
+    sits behind a Generate, so a later filter does not repeat the parsing."""
+    df = parsed_document(df, doc_col)
+    df = bind(df, reason=json_reason("_one", "_two", add_sol, add_ans)).drop("_one", "_two")
+    return df.withColumn("valid", F.col("reason").isNull())
 
 
 def validate_candidates(df: DataFrame, add_sol: bool = False, add_ans: bool = True,
-                        content_col: str = "content") -> DataFrame:
+                        content_col: str = "content", outer: bool = False) -> DataFrame:
     """C4: valid lines of multi-line responses, raw line kept (extra keys too)."""
-    return validate(split_candidates(df, content_col), "line", add_sol, add_ans)
+    return validate(split_candidates(df, content_col, outer=outer), "line", add_sol, add_ans)
 
 
 def validate_single(df: DataFrame, add_sol: bool = True, add_ans: bool = True,
@@ -127,7 +144,8 @@ def problem_fields(df: DataFrame, doc_col: str) -> DataFrame:
 def generation_yield(validated: DataFrame, per_unit: int, unit_col: str,
                      by: tuple[str, ...] = ()) -> DataFrame:
     """Valid outputs against the maximum possible (``per_unit`` per
-    batch, 1 per seed, or the per-question cap)."""
+    batch, 1 per seed, or the per-question cap). Validate with ``outer=True``,
+    so that units without a response count too."""
     g = validated.groupBy(*by) if by else validated.groupBy()
     out = g.agg(F.sum(F.col("valid").cast("bigint")).alias("valid"),
                 F.countDistinct(unit_col).alias("units"))

@@ -62,10 +62,3 @@ def attempts_consumed(attempts: DataFrame, num_sample_1q: int = 3, max_valid_1q:
         used = F.coalesce(stop + 1, F.least(F.col("_logged"), F.lit(num_sample_1q))).cast("bigint")
         kept = F.least(F.col("_n_correct"), F.lit(cap)).cast("bigint")
     return agg.select(key, used.alias("attempts_used"), kept.alias("kept"))
-
-
-def with_source(kept: DataFrame, model: str, response_col: str = "response") -> DataFrame:
-    """Verified-solution rows: problem, solution (model text), answer, source."""
-    return kept.select("*", F.col(response_col).alias("solution"), F.lit(model).alias("source")) \
-        if "solution" not in kept.columns else \
-        kept.withColumn("solution", F.col(response_col)).withColumn("source", F.lit(model))

@@ -80,39 +80,39 @@ def _prompt_ids_len(text: str, max_len: int) -> Column:
 def map_dataset(df: DataFrame, vocab: DataFrame, key: str, mode: str = "mix",
                 max_len: int = DEFAULT_MAX_LEN, template: dict | None = None,
                 instruction: str = "instruction", output: str = "output",
-                vocab_size: int | None = None, batch_rows: int = packing.BATCH_ROWS) -> DataFrame:
-    """Training rows for one mode; other modes fail up front."""
+                batch_rows: int = packing.BATCH_ROWS, shuffle: str | int | None = None) -> DataFrame:
+    """Training rows for one mode; other modes fail up front. With a
+    ``shuffle`` seed the rows get a random global order first: ``row_order`` in
+    the result, and the order in which ``concat`` packs them."""
     if mode not in MODES:
         raise ValueError(f"train mode must be one of {MODES}, got {mode!r}")
+    extra: tuple[str, ...] = ()
+    if shuffle is not None:
+        df, extra = shuffle_rows(df, shuffle, key), ("row_order",)
     r = prompts.render_template(df, template, instruction, output)
     if mode == "concat":
-        e = tokens.encode(r, "prompt", vocab, key, "ids", None, vocab_size=vocab_size)
-        e = e.withColumn("ids", append_eos("ids", None))
-        return packing.pack_blocks(e, "ids", key, max_len, batch_rows)
+        e = tokens.encode(r, "prompt", vocab, key, "ids", keep=extra).withColumn("ids", append_eos("ids", None))
+        return packing.pack_blocks(e, "ids", key, max_len, batch_rows, *extra)
+    k = _prompt_ids_len("prompt_wo_response", max_len)
     if mode == "mix":
         empty = F.col(instruction) == ""
-        r = r.withColumn("_text", F.when(empty, F.col("response_text")).otherwise(F.col("prompt")))
-        e = tokens.encode(r, "_text", vocab, key, "ids", max_len, vocab_size=vocab_size)
-        e = e.withColumn("ids", F.when(empty, F.slice("ids", 2, max_len)).otherwise(F.col("ids")))
-        e = e.withColumn("input_ids", append_eos("ids", max_len))
-        k = _prompt_ids_len("prompt_wo_response", max_len)
-        labels = F.when(empty, F.col("input_ids")).otherwise(masked_labels("input_ids", k))
-        return e.select(key, "input_ids", ones_like("input_ids").alias("attention_mask"),
-                        labels.alias("labels"), F.size("input_ids").alias("length"))
-    e = tokens.encode(r, "prompt", vocab, key, "ids", max_len, vocab_size=vocab_size)
-    e = e.withColumn("input_ids", append_eos("ids", max_len))
-    if mode == "wo_ignore":
-        labels = F.col("input_ids")
+        r = r.withColumn("_text", F.when(empty, F.col("response_text")).otherwise(F.col("prompt"))) \
+             .withColumn("_empty", empty).withColumn("_k", F.when(empty, F.lit(0)).otherwise(k))
+        e = tokens.encode(r, "_text", vocab, key, "ids", max_len, keep=(*extra, "_k", "_empty"))
+        e = e.withColumn("ids", F.when(F.col("_empty"), F.slice("ids", 2, max_len)).otherwise(F.col("ids")))
     else:
-        labels = masked_labels("input_ids", _prompt_ids_len("prompt_wo_response", max_len))
-    return e.select(key, "input_ids", ones_like("input_ids").alias("attention_mask"), labels.alias("labels"))
+        r = r.withColumn("_k", k if mode == "ignore" else F.lit(0))
+        e = tokens.encode(r, "prompt", vocab, key, "ids", max_len, keep=(*extra, "_k"))
+    e = e.withColumn("input_ids", append_eos("ids", max_len))
+    length = [F.size("input_ids").alias("length")] if mode == "mix" else []
+    return e.select(key, *extra, "input_ids", ones_like("input_ids").alias("attention_mask"),
+                    masked_labels("input_ids", F.col("_k")).alias("labels"), *length)
 
 
-def encode_concat(df: DataFrame, vocab: DataFrame, key: str, template: dict | None = None,
-                  vocab_size: int | None = None) -> DataFrame:
+def encode_concat(df: DataFrame, vocab: DataFrame, key: str, template: dict | None = None) -> DataFrame:
     """Whole prompt, no truncation, EOS added if missing."""
     r = prompts.render_template(df, template)
-    e = tokens.encode(r, "prompt", vocab, key, "ids", None, vocab_size=vocab_size)
+    e = tokens.encode(r, "prompt", vocab, key, "ids")
     return e.select(key, append_eos("ids", None).alias("input_ids"))
 
 

@@ -4,12 +4,11 @@ The reference loads a pretrained subword tokenizer. Here tokens are regex
 words and single symbols, counted over the corpus: ids 0 (pad/unknown),
 1 (BOS), 2 (EOS), then 3... by (count desc, token asc) up to ``vocab_size``.
 
-Encoding plan (one shuffle of the rows, none of the tokens):
-rows are hash-partitioned on their key; tokens are exploded with their
-position (only the key travels with them), looked up in the broadcast
-vocabulary (its size is bounded by ``vocab_size`` and checked), and
-regrouped by key -- the partitioning already satisfies both the regrouping
-and the join back to the rows, so neither adds an exchange.
+Encoding plan: tokens are exploded with their position; only the key and the
+few narrow columns a caller asks for travel with them. They are looked up in
+the vocabulary -- broadcast when its counted rows are few enough, else a join
+whose frequent tokens are spread over salted copies of their vocabulary rows --
+and regrouped by key. The text itself is never shuffled or joined back.
 """
 
 from __future__ import annotations
@@ -28,8 +27,9 @@ FIRST_ID = 3
 IGNORE_INDEX = -100
 # Letters/digits/underscore runs, or one other non-space character.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_ \t\n\x0B\f\r]"
-# Largest vocabulary shipped to every task as a broadcast hash table.
-MAX_BROADCAST_VOCAB = 2_000_000
+# Largest vocabulary (rows, counted) shipped to every task; a larger one is joined.
+MAX_BROADCAST_VOCAB = 500_000
+SALTS = 16  # copies of each vocabulary row in that join
 
 
 def tokens(text: str) -> Column:
@@ -43,16 +43,20 @@ def token_count(text: str | Column) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), 0))
 
 
-def build_vocab(df: DataFrame, text_cols: list[str], vocab_size: int) -> DataFrame:
-    """T4: (token, id, n). Counting is a partial aggregate (hot tokens combine
-    map-side); the cut is a top-(vocab_size-3) whose size is the parameter."""
-    if vocab_size <= FIRST_ID:
+def build_vocab(df: DataFrame, text_cols: list[str], vocab_size: int | None = None) -> DataFrame:
+    """T4: (token, id, n) of every token, or with ``vocab_size`` of the most
+    frequent ones. Counting is a partial aggregate (hot tokens combine map-side);
+    ids come from a global ordinal, or from a top-n where a size is given."""
+    if vocab_size is not None and vocab_size <= FIRST_ID:
         raise ValueError("vocab_size must exceed the 3 reserved ids")
     # one pass over the source: the token arrays of all text columns together
     all_tokens = F.concat(*[F.coalesce(tokens(c), F.array().cast("array<string>")) for c in text_cols])
     toks = df.select(F.explode(all_tokens).alias("token"))
     counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     order = [F.desc("n"), F.asc("token")]
+    if vocab_size is None:
+        numbered = ordinal.with_ordinal(counts, order, "_r")
+        return numbered.select("token", (F.col("_r") + FIRST_ID).cast("int").alias("id"), "n")
     keep = vocab_size - FIRST_ID
     if keep > ordinal.TOP_N_IN_MEMORY:
         # a large cap: number all distinct tokens without a single-task window
@@ -64,26 +68,28 @@ def build_vocab(df: DataFrame, text_cols: list[str], vocab_size: int) -> DataFra
     return top.select("token", (F.row_number().over(w) + FIRST_ID - 1).cast("int").alias("id"), "n")
 
 
-def _vocab_side(vocab: DataFrame, vocab_size: int | None) -> DataFrame:
+def _looked_up(toks: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Tokens with their vocabulary id (null if unknown)."""
     v = vocab.select("token", "id")
-    if vocab_size is not None and vocab_size <= MAX_BROADCAST_VOCAB:
-        return F.broadcast(v)
-    return v
-
-
-def encode(df: DataFrame, text_col: str, vocab: DataFrame, key: str, out: str = "input_ids",
-           max_len: int | None = None, add_bos: bool = True, vocab_size: int | None = None,
-           partitions: int | None = None) -> DataFrame:
-    """T5: add ``out`` = [BOS] + token ids, truncated to ``max_len`` ids."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.repartition(n, key)
-    toks = rows.select(key, F.posexplode(tokens(text_col)).alias("_pos", "token"))
+    if v.limit(MAX_BROADCAST_VOCAB + 1).count() <= MAX_BROADCAST_VOCAB:
+        return toks.join(F.broadcast(v), "token", "left")
+    v = v.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    toks = toks.withColumn("_salt", F.pmod(F.coalesce(F.col("_pos"), F.lit(0)), F.lit(SALTS)))
+    return toks.join(v, ["token", "_salt"], "left").drop("_salt")
+
+
+def encode(df: DataFrame, text_col: str, vocab: DataFrame, key: str | list[str], out: str = "input_ids",
+           max_len: int | None = None, add_bos: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """T5: (key columns, ``keep`` columns, ``out`` = [BOS] + token ids, truncated
+    to ``max_len`` ids). The key columns together identify a row; ``keep`` is for
+    narrow columns of it."""
+    keys = [key] if isinstance(key, str) else list(key)
+    rows = df.select(*keys, *keep, tokens(text_col).alias("_tokens"))
     if max_len is not None:
-        toks = toks.where(F.col("_pos") < max_len - (1 if add_bos else 0))
-    toks = toks.join(_vocab_side(vocab, vocab_size), "token", "left")
-    ids = toks.groupBy(key).agg(F.array_sort(F.collect_list(
-        F.struct("_pos", F.coalesce(F.col("id"), F.lit(UNK_ID)).alias("id")))).alias("_ids"))
-    joined = rows.join(ids, key, "left")
-    body = F.coalesce(F.transform("_ids", lambda x: x["id"]), F.array().cast("array<int>"))
+        rows = rows.withColumn("_tokens", F.slice("_tokens", 1, max_len - (1 if add_bos else 0)))
+    toks = rows.select(*keys, *keep, F.posexplode_outer("_tokens").alias("_pos", "token"))
+    known = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce(F.col("id"), F.lit(UNK_ID)).alias("id")))
+    grouped = _looked_up(toks, vocab).groupBy(*keys, *keep).agg(F.array_sort(F.collect_list(known)).alias("_ids"))
+    body = F.transform("_ids", lambda x: x["id"])
     full = F.concat(F.array(F.lit(BOS_ID)), body) if add_bos else body
-    return joined.withColumn(out, full.cast("array<int>")).drop("_ids")
+    return grouped.select(*keys, *keep, full.cast("array<int>").alias(out))

@@ -2,11 +2,11 @@
 
 Two plans are offered for the verdict:
 
-* ``distinct`` (default): every distinct (gold, model) pair once, joined
-  back -- a broadcast while the pair table is small (AQE decides on the
-  measured size), else a sort-merge join that shuffles the attempts, with
-  AQE splitting a pair that dominates.
-* ``narrow``: normalize and compare on every row; no shuffle at all.
+* ``narrow`` (default): normalize and compare on every row; no shuffle, and
+  the input is evaluated once.
+* ``distinct``: every distinct (gold, model) pair once, joined back. The input
+  is written first, so that it is evaluated once here too; give it keys and
+  answers only, as its rows are shuffled.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxwise.functions import answers as A
+from boxwise.session import cut_lineage
 
 
 def extract_answers(df: DataFrame, output_col: str = "response", out: str = "model_answer",
@@ -99,17 +100,18 @@ def _verdict_columns(df: DataFrame, gold_col: str, model_col: str, out: str,
 
 
 def verify_answers(df: DataFrame, gold_col: str = "answer", model_col: str = "model_answer",
-                   out: str = "correct", plan: str = "distinct",
+                   out: str = "correct", plan: str = "narrow",
                    keep_normalized: bool = False) -> DataFrame:
     """A10: boolean verdict comparing gold and model answers.
 
-    ``distinct`` (default): every distinct pair once, joined back;
-    ``narrow``: per row.
+    ``narrow`` (default): per row; ``distinct``: every distinct pair once,
+    joined back. A null answer on either side is not correct.
     """
     if plan == "narrow":
         return _verdict_columns(df, gold_col, model_col, out, keep_normalized)
     if plan != "distinct":
         raise ValueError(f"unknown plan {plan!r}; use 'distinct' or 'narrow'")
+    df = cut_lineage(df, "verify")
     pairs = df.select(F.col(gold_col).alias("_g"), F.col(model_col).alias("_m")).distinct()
     verdicts = _verdict_columns(pairs, "_g", "_m", out, keep_normalized)
     cond = (F.col(gold_col).eqNullSafe(F.col("_g"))) & (F.col(model_col).eqNullSafe(F.col("_m")))

@@ -6,7 +6,7 @@
   rejection-sample the new problems;
 * iterative composition (V9): one new problem per problem of the previous
   round (the *unverified* output of round k-1 feeds round k); each round is
-  written to the checkpoint folder so lineage does not grow with rounds;
+  written to the shared folder so lineage does not grow with rounds;
 * corpus (V10) and instruction pairs (V11).
 """
 
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxwise.operators import prompts, providers, requests, responses, sampling, verify
@@ -27,7 +27,8 @@ CORPUS_COLUMNS = ["subset", "problem_id", "problem", "solution", "answer", "sour
 def verified_solutions(problems: DataFrame, solver: Solver, model: str, subset: str,
                        num_sample_1q: int = 3, max_valid_1q: int = 3) -> DataFrame:
     """V1 over a problem table: attempts from ``solver`` (problem_id, attempt,
-    response), answers checked against ``answer``, caps applied."""
+    response), answers checked against ``answer``, caps applied. The solver is
+    called once."""
     att = solver(problems)
     att = verify.extract_answers(att, "response", "model_answer")
     att = verify.verify_answers(att, "answer", "model_answer", "correct")
@@ -44,48 +45,78 @@ def answer_augmentation(seeds: DataFrame, solver: Solver, model: str = "gpt-3.5-
 
 def generation_requests(seeds: DataFrame, prompt_name: str, num_example: int, num_generate: int,
                         add_sol: bool, add_ans: bool, task: str, model: str = "gpt-4-1106-preview",
-                        max_tokens: int = 4000, temperature: float = 0.0) -> DataFrame:
+                        max_tokens: int = 4000, temperature: float = 0.0, raw_col: str | None = None) -> DataFrame:
     """P4-P6, P8, P11 for batch generation: (batch_id, first_id, user_prompt,
     messages, request_id, params, body_json)."""
-    b = prompts.batch_seeds(seeds, num_example, add_sol, add_ans)
+    b = prompts.batch_seeds(seeds, num_example, add_sol, add_ans, raw_col=raw_col)
     sysp = prompts.system_prompt(prompt_name, num_example, num_generate)
     t = requests.build_threads(b, "user_prompt", sysp)
     return requests.build_requests(t, task, ["batch_id"], model=model, max_tokens=max_tokens,
                                    temperature=temperature)
 
 
-def generated_problems(reqs: DataFrame, provider: providers.Provider, add_sol: bool, add_ans: bool,
-                       key: str = "first_id") -> DataFrame:
-    """C3-C4 on provider output: one row per valid generated line with its
-    parent id, raw line and typed fields; id = parent * 100 + line number."""
-    resp = provider(reqs.select(key, "request_id"))
-    lines = responses.validate_candidates(resp, add_sol, add_ans, "content").where("valid")
+MAX_LINES = 1 << 20  # lines of one response that ids have room for
+
+
+def line_id(parent: str, line_no: str = "line_no") -> Column:
+    """The id of a generated line: its own for every (parent, line). A response
+    with more lines than there is room for fails the job."""
+    room = F.when(F.col(line_no) < MAX_LINES, F.col(line_no)).otherwise(
+        F.raise_error(F.lit(f"a response has more than {MAX_LINES} lines")).cast("int"))
+    return (F.col(parent) * MAX_LINES + room).cast("bigint")
+
+
+def generated_problems(resp: DataFrame, add_sol: bool, add_ans: bool, key: str = "first_id",
+                       keep: tuple[str, ...] = ()) -> DataFrame:
+    """C3-C4 on responses (``key``, ``content``): one row per valid generated line
+    with its parent id, raw line and typed fields."""
+    lines = responses.validate_candidates(resp.select(key, *keep, "content"), add_sol, add_ans, "content").where("valid")
     lines = responses.problem_fields(lines, "line")
-    return lines.select(F.col(key).alias("parent_id"), "line_no", "line",
-                        (F.col(key) * 100 + F.col("line_no")).alias("problem_id"),
+    return lines.select(F.col(key).alias("parent_id"), "line_no", "line", line_id(key).alias("problem_id"),
                         F.col("gen_problem").alias("problem"), F.col("gen_solution").alias("solution"),
-                        F.col("gen_answer").alias("answer"))
+                        F.col("gen_answer").alias("answer"), *keep)
+
+
+def _bootstrapped(seeds: DataFrame, prompt_name: str, subset: str, log: Callable[[DataFrame], DataFrame],
+                  solver: Solver, num_example: int, num_generate: int, add_sol: bool, model: str,
+                  max_retry: int, raw_col: str | None) -> DataFrame:
+    reqs = generation_requests(seeds, prompt_name, num_example, num_generate, add_sol, True, subset, raw_col=raw_col)
+    outcomes = responses.resolve_attempts(cut_lineage(log(reqs), "attempt-log"), max_retry).select("request_id", "content")
+    resp = responses.join_responses(reqs.select("first_id", "request_id", "body_json"), outcomes, how="inner")
+    gen = cut_lineage(generated_problems(resp, add_sol, True, keep=("body_json",)), "generated")
+    solved = verified_solutions(gen, solver, model, subset)
+    return solved.join(gen.select("problem_id", "parent_id", "line", "body_json"), "problem_id")
+
 
+def question_bootstrapping(seeds: DataFrame, log: Callable[[DataFrame], DataFrame], solver: Solver,
+                           num_example: int = 1, num_generate: int = 5, model: str = "gpt-3.5-turbo",
+                           max_retry: int = 30, raw_col: str | None = None) -> DataFrame:
+    """V7: verified solutions of new problems made from ``num_example`` examples
+    whose solutions are not shown (P4-P6, P8, P11, C1-C4, V1).
 
-def question_bootstrapping(seeds: DataFrame, provider: providers.Provider, num_example: int = 1,
-                           num_generate: int = 5) -> DataFrame:
-    """V7: new problems from ``num_example`` examples, solutions not shown."""
-    reqs = generation_requests(seeds, "qb", num_example, num_generate, False, True, "question_bootstrapping")
-    return generated_problems(reqs, provider, False, True)
+    ``log`` maps request rows to their attempt log (request_id, attempt_seq,
+    status, body); each result carries its parent, generated line and request
+    body."""
+    return _bootstrapped(seeds, "qb", "question_bootstrapping", log, solver, num_example, num_generate, False, model,
+                         max_retry, raw_col)
 
 
-def similar_problems(seeds: DataFrame, provider: providers.Provider, num_example: int = 1,
-                     num_generate: int = 3) -> DataFrame:
-    """V8: new problems from examples with their solutions shown."""
-    reqs = generation_requests(seeds, "similar", num_example, num_generate, True, True, "similar_problems")
-    return generated_problems(reqs, provider, True, True)
+def similar_problems(seeds: DataFrame, log: Callable[[DataFrame], DataFrame], solver: Solver, num_example: int = 1,
+                     num_generate: int = 3, model: str = "gpt-3.5-turbo", max_retry: int = 30,
+                     raw_col: str | None = None) -> DataFrame:
+    """V8: the same from examples with their solutions shown."""
+    return _bootstrapped(seeds, "similar", "similar_problems", log, solver, num_example, num_generate, True, model,
+                         max_retry, raw_col)
 
 
 def compose_round(problems: DataFrame, provider: providers.Provider, iteration: int,
                   add_sol: bool = True, add_ans: bool = True, model: str = "gpt-4-1106-preview") -> DataFrame:
     """One round of V9 (1:1 generation, whole response = one JSON document)."""
     name = "compose_init" if iteration == 0 else "compose_iter"
-    s = prompts.seed_json(problems, add_sol, add_ans, out="user_prompt")
+    if "line" in problems.columns:  # a generated problem goes back with all its keys
+        s = problems.withColumn("user_prompt", prompts.raw_seed_json("line", add_sol, add_ans))
+    else:
+        s = prompts.seed_json(problems, add_sol, add_ans, out="user_prompt")
     t = requests.build_threads(s, "user_prompt", prompts.system_prompt(name))
     r = requests.build_requests(t, f"compose_{iteration}", ["problem_id"], model=model, max_tokens=4000)
     out = provider(r.select("problem_id", "problem", "solution", "answer", "request_id"))
@@ -96,16 +127,13 @@ def compose_round(problems: DataFrame, provider: providers.Provider, iteration:
                     F.col("gen_answer").alias("answer"), F.col("doc").alias("line"))
 
 
-def compose_iterations(seeds: DataFrame, provider: providers.Provider, rounds: int = 2,
-                       checkpoint: bool = True) -> list[DataFrame]:
-    """V9: a driver loop over rounds; each round's output is checkpointed."""
-    out, cur = [], seeds.select("problem_id", "problem", "solution", "answer")
+def compose_iterations(seeds: DataFrame, provider: providers.Provider, rounds: int = 2) -> list[DataFrame]:
+    """V9: a driver loop over rounds; each round's output is written once."""
+    out, cur = [], seeds
     for k in range(rounds):
-        gen = compose_round(cur, provider, k)
-        if checkpoint:
-            gen = cut_lineage(gen)
+        gen = cut_lineage(compose_round(cur, provider, k), f"compose{k}")
         out.append(gen)
-        cur = gen.select("problem_id", "problem", "solution", "answer")
+        cur = gen.select("problem_id", "problem", "solution", "answer", "line")
     return out
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from boxwise.functions import answers as A
 from boxwise.operators import evaluate, sampling, verify
 from boxwise.plans import oracle as O
+from boxwise.session import cut_lineage, scratch_path
 from boxwise.sources import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,8 +150,31 @@ def q_verify(spark, sf_dir):
 @register("verify_answers_distinct", _with(**_SCORED_CTES) + "SELECT problem_id, attempt, correct FROM scored")
 def q_verify_distinct(spark, sf_dir):
     a = verify.extract_answers(T.attempts(spark, sf_dir), "response", "model_answer")
-    a = verify.verify_answers(a, "answer", "model_answer", "correct", plan="distinct")
-    return a.select("problem_id", "attempt", "correct")
+    a = a.select("problem_id", "attempt", "answer", "model_answer")
+    return verify.verify_answers(a, "answer", "model_answer", "correct", plan="distinct").select(
+        "problem_id", "attempt", "correct")
+
+
+# Missing answers, and numbers that are no ASCII digits, on either side of a slash.
+_ODD_ANSWERS = {0: None, 1: "x\u00b2/2", 2: "\u00bd/3", 3: "3\u00b2/4", 4: "x=\u00e9/2"}
+
+
+@register("verify_odd_answers", _with(attempts=O.ATTEMPTS, extracted="SELECT problem_id, attempt, CASE problem_id % 9 "
+          + " ".join(f"WHEN {k} THEN {'NULL' if v is None else O.lit(v)}" for k, v in _ODD_ANSWERS.items())
+          + " ELSE answer END AS answer, CASE (problem_id + attempt) % 8 "
+          + " ".join(f"WHEN {k} THEN {'NULL' if v is None else O.lit(v)}" for k, v in _ODD_ANSWERS.items())
+          + " ELSE response END AS model_answer FROM attempts", normed=_NORMED)
+          + "SELECT problem_id, attempt, model_norm, coalesce(" + O.verdict("gold_norm", "model_norm") + ", false) AS correct FROM normed")
+def q_verify_odd(spark, sf_dir):
+    def odd(key, other):
+        out = F.when(F.lit(False), F.lit(""))
+        for k, v in _ODD_ANSWERS.items():
+            out = out.when(key == k, F.lit(v).cast("string"))
+        return out.otherwise(F.col(other))
+    a = T.attempts(spark, sf_dir).withColumn("answer", odd(F.col("problem_id") % 9, "answer")) \
+        .withColumn("model_answer", odd((F.col("problem_id") + F.col("attempt")) % 8, "response"))
+    a = verify.verify_answers(a, "answer", "model_answer", "correct", keep_normalized=True)
+    return a.select("problem_id", "attempt", "model_norm", "correct")
 
 
 # ---------------------------------------------------------------------------
@@ -197,14 +221,12 @@ def q_attempts_consumed(spark, sf_dir):
 
 
 @register("eval_rows", _with(seeds=O.SEEDS, **_SCORED_CTES) +
-          "SELECT s.problem_id, a.correct, s.answer, a.model_answer, s.problem, s.solution, "
-          "a.response AS model_solution FROM seeds s JOIN scored a ON s.problem_id = a.problem_id "
-          "WHERE a.attempt = 0")
+          "SELECT s.problem_id, a.attempt, a.correct, s.answer, a.model_answer, s.problem, s.solution, "
+          "a.response AS model_solution FROM seeds s JOIN scored a ON s.problem_id = a.problem_id")
 def q_eval_rows(spark, sf_dir):
     items = T.seeds(spark, sf_dir).select("problem_id", "problem", "solution", "answer")
-    outs = T.attempts(spark, sf_dir).where(F.col("attempt") == 0) \
-        .select("problem_id", F.col("response").alias("model_solution"))
-    return evaluate.eval_rows(items.join(outs, "problem_id"), keys=("problem_id",))
+    outs = T.attempts(spark, sf_dir).select("problem_id", "attempt", F.col("response").alias("model_solution"))
+    return evaluate.eval_rows(items.join(outs, "problem_id"), keys=("problem_id", "attempt"))
 
 
 # ---------------------------------------------------------------------------
@@ -253,7 +275,7 @@ def q_render_template(spark, sf_dir):
 
 
 @register("serialize_user_prompt", _with(seeds=O.SEEDS) +
-          "SELECT problem_id, " + O.json_object([("problem", "problem"), ("answer", "answer")]) +
+          "SELECT problem_id, " + O.json_object([("problem", "problem"), ("answer", "answer"), ("subject", "subject")]) +
           " AS user_prompt FROM seeds")
 def q_serialize(spark, sf_dir):
     s = P.seed_json(T.seeds(spark, sf_dir), add_sol=False, add_ans=True, out="user_prompt")
@@ -269,7 +291,8 @@ def q_serialize_pairs(spark, sf_dir):
                                                                ("output", "output")])).alias("line"))
 
 
-_SEED_JSON3 = O.json_object([("problem", "problem"), ("solution", "solution"), ("answer", "answer")])
+_SEED_JSON3 = O.json_object([("problem", "problem"), ("solution", "solution"), ("answer", "answer"),
+                             ("subject", "subject")])
 
 
 @register("batch_seeds", _with(seeds=O.SEEDS) +
@@ -320,11 +343,18 @@ def q_reset_threads(spark, sf_dir):
 
 
 @register("role_sequence_check",
-          "SELECT conv_id, turn, role, coalesce(role = lag(role) OVER (PARTITION BY conv_id ORDER BY turn), false) "
-          "AS repeated_role FROM conversations WHERE NOT (role = 'user' AND turn = 2)")
+          "WITH c AS (SELECT false AS doctored, * FROM conversations UNION ALL "
+          "SELECT true AS doctored, * FROM conversations WHERE NOT (role = 'user' AND turn = 2)) "
+          "SELECT doctored, conv_id, turn, role, coalesce(role = lag(role) OVER (PARTITION BY doctored, conv_id "
+          "ORDER BY turn), false) AS repeated_role FROM c")
 def q_role_check(spark, sf_dir):
-    c = T.load(spark, sf_dir, "conversations").where(~((F.col("role") == "user") & (F.col("turn") == 2)))
-    return R.role_repeats(c).select("conv_id", "turn", "role", "repeated_role")
+    """The whole table, and a copy without the user turns numbered 2, whose
+    assistant turns then follow each other."""
+    c = T.load(spark, sf_dir, "conversations")
+    cut = c.where(~((F.col("role") == "user") & (F.col("turn") == 2)))
+    both = c.withColumn("doctored", F.lit(False)).unionByName(cut.withColumn("doctored", F.lit(True)))
+    both = both.withColumn("thread", F.struct("doctored", "conv_id"))
+    return R.role_repeats(both, conv="thread").select("doctored", "conv_id", "turn", "role", "repeated_role")
 
 
 _BODY_HEAD = ('{"model": "gpt-3.5-turbo", "frequency_penalty": 0.0, "presence_penalty": 0.0, '
@@ -333,8 +363,8 @@ _THREAD2 = _thread_json_sql([("'system'", O.lit(_COT)), ("'user'", "problem")])
 
 
 @register("build_requests", _with(attempts=O.ATTEMPTS) +
-          "SELECT problem_id, attempt, substr(md5(concat_ws('|', 'reject_sample', CAST(problem_id AS VARCHAR), "
-          f"CAST(attempt AS VARCHAR))), 1, 10) AS request_id, {O.lit(_BODY_HEAD)} || {_THREAD2} || '}}' AS body_json "
+          "SELECT problem_id, attempt, md5(concat_ws('|', 'reject_sample', CAST(problem_id AS VARCHAR), "
+          f"CAST(attempt AS VARCHAR))) AS request_id, {O.lit(_BODY_HEAD)} || {_THREAD2} || '}}' AS body_json "
           "FROM attempts")
 def q_build_requests(spark, sf_dir):
     a = R.build_threads(T.attempts(spark, sf_dir), "problem", _COT)
@@ -362,7 +392,7 @@ def q_resolve(spark, sf_dir):
 
 
 @register("join_responses", _with(attempts=O.ATTEMPTS) +
-          "SELECT substr(md5(concat_ws('|', 'reject_sample', CAST(problem_id AS VARCHAR), CAST(attempt AS VARCHAR))), 1, 10) "
+          "SELECT md5(concat_ws('|', 'reject_sample', CAST(problem_id AS VARCHAR), CAST(attempt AS VARCHAR))) "
           "AS request_id, problem_id, attempt, response FROM attempts")
 def q_join_responses(spark, sf_dir):
     a = T.attempts(spark, sf_dir)
@@ -381,18 +411,45 @@ def q_split(spark, sf_dir):
     return C.split_candidates(T.candidates(spark, sf_dir))
 
 
-@register("validate_candidates", _with(candidates=O.CANDIDATES, lines=_LINES) +
+# Responses as models also give them: a missing one, lines wrapped in an array,
+# text after the object, and one of 120 lines.
+_ODD_LINES = ['{"problem": "p", "answer": "1"}]', '{"problem": "p", "answer": "1"}] junk', '{"problem": "p", "answer": "1"}}',
+              '{"problem": "p", "answer": "1"},', '[{"problem": "p", "answer": "1"}', '{"problem": "p", "answer": "1"}, 0',
+              '{"problem": "p", "answer": "1"}],[0', '{"problem": "x\u00b2/2", "answer": "1"}']
+_ODD_SQL = ("SELECT batch_id, CASE WHEN batch_id % 11 = 0 THEN NULL "
+            "WHEN batch_id % 50 = 1 THEN (SELECT string_agg('{\"problem\": \"P' || batch_id || '-' || i || '\", \"answer\": \"' "
+            "|| i || '\"}', chr(10) ORDER BY i) FROM range(120) q(i)) "
+            + " ".join(f"WHEN batch_id % 13 = {i} THEN content || chr(10) || {O.lit(x)}" for i, x in enumerate(_ODD_LINES))
+            + " ELSE content END AS content FROM candidates")
+
+
+def _odd_candidates(spark, sf_dir):
+    c = T.candidates(spark, sf_dir)
+    b = F.col("batch_id")
+    many = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(119)), lambda i: F.concat(
+        F.lit('{"problem": "P'), b.cast("string"), F.lit("-"), i.cast("string"), F.lit('", "answer": "'),
+        i.cast("string"), F.lit('"}'))), "\n")
+    out = F.when(b % 11 == 0, F.lit(None).cast("string")).when(b % 50 == 1, many)
+    for i, x in enumerate(_ODD_LINES):
+        out = out.when(b % 13 == i, F.concat("content", F.lit("\n" + x)))
+    return c.withColumn("content", out.otherwise(F.col("content")))
+
+
+_ODD = dict(candidates=O.CANDIDATES, odd=_ODD_SQL, lines=_LINES.replace("FROM candidates", "FROM odd"))
+
+
+@register("validate_candidates", _with(**_ODD) +
           f"SELECT batch_id, line_no, line FROM lines WHERE {O.json_reason('line', True, True)} IS NULL")
 def q_validate(spark, sf_dir):
-    v = C.validate_candidates(T.candidates(spark, sf_dir), add_sol=True, add_ans=True)
+    v = C.validate_candidates(_odd_candidates(spark, sf_dir), add_sol=True, add_ans=True)
     return v.where("valid").select("batch_id", "line_no", "line")
 
 
-@register("rejects", _with(candidates=O.CANDIDATES, lines=_LINES) +
+@register("rejects", _with(**_ODD) +
           f"SELECT batch_id, line_no, line, {O.json_reason('line', False, True)} AS reason FROM lines "
           f"WHERE {O.json_reason('line', False, True)} IS NOT NULL")
 def q_rejects(spark, sf_dir):
-    v = C.validate_candidates(T.candidates(spark, sf_dir), add_sol=False, add_ans=True)
+    v = C.validate_candidates(_odd_candidates(spark, sf_dir), add_sol=False, add_ans=True)
     return v.where(~F.col("valid")).select("batch_id", "line_no", "line", "reason")
 
 
@@ -408,13 +465,13 @@ def q_validate_single(spark, sf_dir):
     return C.validate_single(c).select("batch_id", "valid", "reason")
 
 
-@register("generation_yield", _with(candidates=O.CANDIDATES, lines=_LINES) +
+@register("generation_yield", _with(**_ODD) +
           f"SELECT sum(CASE WHEN {O.json_reason('line', False, True)} IS NULL THEN 1 ELSE 0 END)::BIGINT AS valid, "
-          "(count(DISTINCT batch_id) * 5)::BIGINT AS max_valid, "
+          "((SELECT count(*) FROM odd) * 5)::BIGINT AS max_valid, "
           f"round(sum(CASE WHEN {O.json_reason('line', False, True)} IS NULL THEN 1 ELSE 0 END) / "
-          "(count(DISTINCT batch_id) * 5), 4) AS yield FROM lines")
+          "((SELECT count(*) FROM odd) * 5), 4) AS yield FROM lines")
 def q_yield(spark, sf_dir):
-    v = C.validate_candidates(T.candidates(spark, sf_dir), add_sol=False, add_ans=True)
+    v = C.validate_candidates(_odd_candidates(spark, sf_dir), add_sol=False, add_ans=True, outer=True)
     return C.generation_yield(v, 5, "batch_id")
 
 
@@ -426,22 +483,21 @@ from boxwise.operators import packing as PK  # noqa: E402
 from boxwise.operators import sft  # noqa: E402
 from boxwise.operators import tokens as TK  # noqa: E402
 
-VOCAB = 2000
-MAXLEN = 64
+MAXLEN = sft.DEFAULT_MAX_LEN
 PAT = O.lit(TK.TOKEN_PATTERN)
 
 
 def _pairs(spark, sf_dir, blank_every=None):
     sp = T.sft_pairs(spark, sf_dir, blank_every)
-    return sp.select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), "instruction", "output")
+    return sp.select(F.concat_ws("-", "conv_id", "turn").alias("pair_id"), "instruction", "output")
 
 
 def _vocab(spark, sf_dir):
-    return TK.build_vocab(_pairs(spark, sf_dir), ["instruction", "output"], VOCAB)
+    return cut_lineage(TK.build_vocab(_pairs(spark, sf_dir), ["instruction", "output"]), "vocab")
 
 
 def _src_sql(blank_every=None):
-    return (f"SELECT conv_id * 1000 + turn AS pair_id, instruction, output FROM ({O.sft_pairs(blank_every)}) s0")
+    return (f"SELECT concat_ws('-', conv_id, turn) AS pair_id, instruction, output FROM ({O.sft_pairs(blank_every)}) s0")
 
 
 _VOCAB_SQL = (
@@ -449,7 +505,7 @@ _VOCAB_SQL = (
     "SELECT token, count(*)::BIGINT AS n FROM ("
     f"SELECT unnest(regexp_extract_all(instruction, {PAT})) AS token FROM src UNION ALL "
     f"SELECT unnest(regexp_extract_all(output, {PAT})) AS token FROM src) w "
-    f"GROUP BY token ORDER BY n DESC, token LIMIT {VOCAB - 3}) v")
+    "GROUP BY token) v")
 
 
 def _rendered_sql(text_expr: str) -> str:
@@ -498,7 +554,7 @@ def q_build_vocab(spark, sf_dir):
 @register("encode", _t_with("prompt", MAXLEN) + "SELECT pair_id, ids AS input_ids FROM enc")
 def q_encode(spark, sf_dir):
     r = P.render_template(_pairs(spark, sf_dir))
-    e = TK.encode(r, "prompt", _vocab(spark, sf_dir), "pair_id", "input_ids", MAXLEN, vocab_size=VOCAB)
+    e = TK.encode(r, "prompt", _vocab(spark, sf_dir), "pair_id", "input_ids", MAXLEN)
     return e.select("pair_id", "input_ids")
 
 
@@ -506,16 +562,14 @@ def q_encode(spark, sf_dir):
           f"SELECT pair_id, {_eos('ids', MAXLEN)} AS input_ids, {_ones(_eos('ids', MAXLEN))} AS attention_mask, "
           f"{_eos('ids', MAXLEN)} AS labels FROM enc")
 def q_labels_full(spark, sf_dir):
-    return sft.map_dataset(_pairs(spark, sf_dir), _vocab(spark, sf_dir), "pair_id", "wo_ignore", MAXLEN,
-                           vocab_size=VOCAB)
+    return sft.map_dataset(_pairs(spark, sf_dir), _vocab(spark, sf_dir), "pair_id", "wo_ignore", MAXLEN)
 
 
 @register("labels_masked", _t_with("prompt", MAXLEN) +
           f"SELECT pair_id, x AS input_ids, {_ones('x')} AS attention_mask, {_mask('x', _K)} AS labels "
           f"FROM (SELECT *, {_eos('ids', MAXLEN)} AS x FROM enc) e")
 def q_labels_masked(spark, sf_dir):
-    return sft.map_dataset(_pairs(spark, sf_dir), _vocab(spark, sf_dir), "pair_id", "ignore", MAXLEN,
-                           vocab_size=VOCAB)
+    return sft.map_dataset(_pairs(spark, sf_dir), _vocab(spark, sf_dir), "pair_id", "ignore", MAXLEN)
 
 
 _MIX_SQL = (_t_with("CASE WHEN instruction = '' THEN output ELSE prompt END", MAXLEN, blank_every=5) +
@@ -527,16 +581,15 @@ _MIX_SQL = (_t_with("CASE WHEN instruction = '' THEN output ELSE prompt END", MA
 
 @register("labels_mix", _MIX_SQL)
 def q_labels_mix(spark, sf_dir):
-    return sft.map_dataset(_pairs(spark, sf_dir, 5), _vocab(spark, sf_dir), "pair_id", "mix", MAXLEN,
-                           vocab_size=VOCAB)
+    return sft.map_dataset(_pairs(spark, sf_dir, 5), _vocab(spark, sf_dir), "pair_id", "mix", MAXLEN)
 
 
 @register("encode_concat", _t_with("prompt", None) + f"SELECT pair_id, {_eos('ids', None)} AS input_ids FROM enc")
 def q_encode_concat(spark, sf_dir):
-    return sft.encode_concat(_pairs(spark, sf_dir), _vocab(spark, sf_dir), "pair_id", vocab_size=VOCAB)
+    return sft.encode_concat(_pairs(spark, sf_dir), _vocab(spark, sf_dir), "pair_id")
 
 
-PACK_ROWS = 50
+PACK_ROWS = PK.BATCH_ROWS
 _PACK_SQL = (_t_with("prompt", None) + f""",
 rows AS (SELECT pair_id, {_eos('ids', None)} AS x, row_number() OVER (ORDER BY pair_id) - 1 AS ord FROM enc),
 rb AS (SELECT *, CAST(floor(ord / {PACK_ROWS}) AS BIGINT) AS batch_id, len(x) AS n FROM rows),
@@ -549,10 +602,19 @@ FROM st GROUP BY batch_id, floor(p / {MAXLEN})""")
 
 @register("pack_blocks", _PACK_SQL)
 def q_pack_blocks(spark, sf_dir):
-    e = sft.encode_concat(_pairs(spark, sf_dir), _vocab(spark, sf_dir), "pair_id", vocab_size=VOCAB)
+    e = sft.encode_concat(_pairs(spark, sf_dir), _vocab(spark, sf_dir), "pair_id")
     return PK.pack_blocks(e, "input_ids", "pair_id", MAXLEN, PACK_ROWS)
 
 
+_SHUFFLED_SQL = _PACK_SQL.replace("row_number() OVER (ORDER BY pair_id)",
+                                  "row_number() OVER (ORDER BY md5('7|' || pair_id), pair_id)")
+
+
+@register("map_concat", _SHUFFLED_SQL)
+def q_map_concat(spark, sf_dir):
+    return sft.map_dataset(_pairs(spark, sf_dir), _vocab(spark, sf_dir), "pair_id", "concat", MAXLEN, shuffle=7)
+
+
 @register("chunk_overflow", _t_with("prompt", None) +
           f"SELECT pair_id, c AS chunk_no, CASE WHEN c = (len(ids) - 1) // {MAXLEN} AND len(ch) < {MAXLEN} "
           f"AND ch[-1] <> 2 THEN list_append(ch, 2) ELSE ch END AS chunk FROM ("
@@ -560,7 +622,7 @@ def q_pack_blocks(spark, sf_dir):
           f"range(0, (len(ids) - 1) // {MAXLEN} + 1) q(c)) t")
 def q_chunk_overflow(spark, sf_dir):
     r = P.render_template(_pairs(spark, sf_dir))
-    e = TK.encode(r, "prompt", _vocab(spark, sf_dir), "pair_id", "ids", None, vocab_size=VOCAB)
+    e = TK.encode(r, "prompt", _vocab(spark, sf_dir), "pair_id", "ids", None)
     return PK.chunk_overflow(e, "ids", MAXLEN, keep=("pair_id",))
 
 
@@ -576,8 +638,7 @@ SELECT pair_id, batch_id,
   list_concat(list_transform(range(w - len(x)), lambda z: 0), list_transform(x, lambda z: 1)) AS attention_mask,
   list_concat(list_transform(range(w - len(x)), lambda z: -100), x) AS labels FROM bw""")
 def q_pad_batches(spark, sf_dir):
-    rows = sft.map_dataset(_pairs(spark, sf_dir), _vocab(spark, sf_dir), "pair_id", "wo_ignore", MAXLEN,
-                           vocab_size=VOCAB)
+    rows = sft.map_dataset(_pairs(spark, sf_dir), _vocab(spark, sf_dir), "pair_id", "wo_ignore", MAXLEN)
     rows = ordinal.with_ordinal(rows, ["pair_id"], "_o").withColumn(
         "batch_id", F.floor(F.col("_o") / 8).cast("bigint")).drop("_o")
     return PK.pad_batches(rows, "batch_id")
@@ -589,8 +650,7 @@ def q_pad_batches(spark, sf_dir):
           .replace("SELECT pair_id, len(x)::INT AS length, CAST", "SELECT pair_id, length, batch_id FROM (SELECT pair_id, len(x)::INT AS length, CAST", 1)
           + ") lb")
 def q_length_batches(spark, sf_dir):
-    rows = sft.map_dataset(_pairs(spark, sf_dir, 5), _vocab(spark, sf_dir), "pair_id", "mix", MAXLEN,
-                           vocab_size=VOCAB)
+    rows = sft.map_dataset(_pairs(spark, sf_dir, 5), _vocab(spark, sf_dir), "pair_id", "mix", MAXLEN)
     return PK.length_batches(rows, "pair_id", "length", 8).select("pair_id", "length", "batch_id")
 
 
@@ -628,28 +688,69 @@ from boxwise.plans import augment as AG  # noqa: E402
 GEN_MODEL = "gpt-4-1106-preview"
 
 
-def _replay_candidates(spark, sf_dir):
-    return PV.replay(T.candidates(spark, sf_dir), "first_id", "batch_id", "content")
+def _generation_log(spark, sf_dir, replay=T.candidates):
+    """Recorded attempts of the generation requests: every seventh request always
+    fails, every fifth one is answered at the second attempt."""
+    def log(reqs):
+        c = replay(spark, sf_dir).select(F.col("batch_id").alias("first_id"), "content")
+        a = reqs.select("first_id", "request_id").join(c, "first_id").select(
+            "*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("attempt_seq"))
+        fails = (F.col("first_id") % 7 == 0) | ((F.col("first_id") % 5 == 0) & (F.col("attempt_seq") == 0))
+        return a.select("request_id", "attempt_seq", F.when(fails, 500).otherwise(200).alias("status"),
+                        F.when(fails, F.lit("server error")).otherwise(F.col("content")).alias("body"))
+    return log
 
 
 def _composer():
     return PV.synthetic(lambda: PV.compose_one_step("problem", "answer"))
 
 
-def _gen_sql(add_sol: bool) -> str:
-    return (f"SELECT batch_id AS parent_id, line_no, line, batch_id * 100 + line_no AS problem_id, "
+def _solver(problems):
+    return T.synthetic_attempts(problems)
+
+
+_PARTS = [("problem", "problem"), ("solution", "solution"), ("answer", "answer"), ("subject", "subject")]
+
+
+def _gen_sql(add_sol: bool, lines: str = "lines") -> str:
+    return (f"SELECT batch_id AS parent_id, line_no, line, batch_id * {AG.MAX_LINES} + line_no AS problem_id, "
             "json_extract_string(line, '$.problem') AS problem, json_extract_string(line, '$.solution') AS solution, "
-            f"json_extract_string(line, '$.answer') AS answer FROM lines WHERE {O.json_reason('line', add_sol, True)} IS NULL")
+            f"json_extract_string(line, '$.answer') AS answer FROM {lines} WHERE {O.json_reason('line', add_sol, True)} IS NULL")
+
+
+def _bootstrap_ctes(p: str, name: str, n: int, add_sol: bool) -> dict[str, str]:
+    """The lines of requests answered within three attempts, solved and verified."""
+    return {f"{p}p": _gen_sql(add_sol) + " AND batch_id % 7 <> 0", **O.scored_ctes(p, f"SELECT * FROM {p}p")}
+
 
+def _bootstrap_sql(p: str, subset: str, prompt: str, n: int, add_sol: bool) -> str:
+    head = _BODY_HEAD.replace("gpt-3.5-turbo", GEN_MODEL)
+    seed = O.json_object([x for x in _PARTS if add_sol or x[0] != "solution"])
+    body = (f"{O.lit(head)} || " + _thread_json_sql([("'system'", O.lit(P.system_prompt(prompt, 1, n))), ("'user'", seed)])
+            + " || '}'")
+    return (f"SELECT k.*, g.parent_id, g.line, b.body_json FROM ({O.kept_sql(p, subset, MODEL)}) k "
+            f"JOIN {p}p g ON g.problem_id = k.problem_id JOIN (SELECT problem_id AS seed_id, {body} AS body_json FROM seeds) b "
+            "ON b.seed_id = g.parent_id")
 
-@register("question_bootstrapping", _with(candidates=O.CANDIDATES, lines=_LINES) + _gen_sql(False))
+
+@register("question_bootstrapping", _with(candidates=O.CANDIDATES, lines=_LINES, seeds=O.SEEDS,
+                                          **_bootstrap_ctes("qb", "qb", 5, False)) +
+          _bootstrap_sql("qb", "question_bootstrapping", "qb", 5, False))
 def q_qb(spark, sf_dir):
-    return AG.question_bootstrapping(T.seeds(spark, sf_dir), _replay_candidates(spark, sf_dir))
+    return AG.question_bootstrapping(T.seeds(spark, sf_dir), _generation_log(spark, sf_dir), _solver, model=MODEL, max_retry=3)
 
 
-@register("similar_problems", _with(candidates=O.CANDIDATES, lines=_LINES) + _gen_sql(True))
+@register("similar_problems", _with(candidates=O.CANDIDATES, lines=_LINES, seeds=O.SEEDS,
+                                    **_bootstrap_ctes("sim", "similar", 3, True)) +
+          _bootstrap_sql("sim", "similar_problems", "similar", 3, True))
 def q_similar(spark, sf_dir):
-    return AG.similar_problems(T.seeds(spark, sf_dir), _replay_candidates(spark, sf_dir))
+    return AG.similar_problems(T.seeds(spark, sf_dir), _generation_log(spark, sf_dir), _solver, model=MODEL, max_retry=3)
+
+
+@register("generated_problems", _with(**_ODD) + _gen_sql(False))
+def q_generated(spark, sf_dir):
+    """C3-C4 on awkward responses, some of 120 lines: every line has its own id."""
+    return AG.generated_problems(_odd_candidates(spark, sf_dir).withColumnRenamed("batch_id", "first_id"), False, True)
 
 
 def _compose_sql(src: str, it: int) -> str:
@@ -661,19 +762,15 @@ def _compose_sql(src: str, it: int) -> str:
             f"{nxt} AS answer, {doc} AS line FROM {src} WHERE TRY_CAST(answer AS BIGINT) IS NOT NULL")
 
 
-_IQC_CTES = dict(seeds=O.SEEDS, iqc0=_compose_sql("seeds", 0), iqc1=_compose_sql("iqc0", 1))
+_COMPOSE_CTES = dict(seeds=O.SEEDS, comp0=_compose_sql("seeds", 0), comp1=_compose_sql("comp0", 1))
 
 
-@register("compose_iterations", _with(**_IQC_CTES) + "SELECT * FROM iqc0 UNION ALL SELECT * FROM iqc1")
+@register("compose_iterations", _with(**_COMPOSE_CTES) + "SELECT * FROM comp0 UNION ALL SELECT * FROM comp1")
 def q_compose(spark, sf_dir):
     rounds = AG.compose_iterations(T.seeds(spark, sf_dir), _composer(), rounds=2)
     return rounds[0].unionByName(rounds[1])
 
 
-def _solver(problems):
-    return T.synthetic_attempts(problems)
-
-
 @register("answer_augmentation", _with(**O.scored_ctes("aa", O.SEEDS)) +
           O.kept_sql("aa", "answer_augmentation", MODEL))
 def q_answer_aug(spark, sf_dir):
@@ -682,10 +779,10 @@ def q_answer_aug(spark, sf_dir):
 
 _CORPUS_CTES = dict(
     candidates=O.CANDIDATES, lines=_LINES, seeds=O.SEEDS,
-    qbp=_gen_sql(False), simp=_gen_sql(True), iqc0=_compose_sql("seeds", 0), iqc1=_compose_sql("iqc0", 1),
-    **O.scored_ctes("aa", "SELECT * FROM seeds"), **O.scored_ctes("qb", "SELECT * FROM qbp"),
-    **O.scored_ctes("sim", "SELECT * FROM simp"), **O.scored_ctes("i0", "SELECT * FROM iqc0"),
-    **O.scored_ctes("i1", "SELECT * FROM iqc1"))
+    comp0=_compose_sql("seeds", 0), comp1=_compose_sql("comp0", 1),
+    **O.scored_ctes("aa", "SELECT * FROM seeds"), **_bootstrap_ctes("qb", "qb", 5, False),
+    **_bootstrap_ctes("sim", "similar", 3, True), **O.scored_ctes("i0", "SELECT * FROM comp0"),
+    **O.scored_ctes("i1", "SELECT * FROM comp1"))
 _CORPUS_SQL = " UNION ALL ".join([
     O.kept_sql("aa", "answer_augmentation", MODEL), O.kept_sql("qb", "question_bootstrapping", MODEL),
     O.kept_sql("sim", "similar_problems", MODEL), O.kept_sql("i0", "compose_iter0", MODEL),
@@ -694,12 +791,12 @@ _CORPUS_SQL = " UNION ALL ".join([
 
 def _corpus(spark, sf_dir):
     seeds = T.seeds(spark, sf_dir)
-    rep = _replay_candidates(spark, sf_dir)
+    log = _generation_log(spark, sf_dir)
     rounds = AG.compose_iterations(seeds, _composer(), rounds=2)
     parts = [
         AG.answer_augmentation(seeds, _solver, MODEL),
-        AG.verified_solutions(AG.question_bootstrapping(seeds, rep), _solver, MODEL, "question_bootstrapping"),
-        AG.verified_solutions(AG.similar_problems(seeds, rep), _solver, MODEL, "similar_problems"),
+        AG.question_bootstrapping(seeds, log, _solver, model=MODEL, max_retry=3),
+        AG.similar_problems(seeds, log, _solver, model=MODEL, max_retry=3),
         AG.verified_solutions(rounds[0], _solver, MODEL, "compose_iter0"),
         AG.verified_solutions(rounds[1], _solver, MODEL, "compose_iter1"),
     ]
@@ -730,7 +827,6 @@ def q_exam_answers(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # 2.1 Sources and sinks (round trips through the checkpoint folder)
 # ---------------------------------------------------------------------------
-from boxwise.session import scratch_path  # noqa: E402
 from boxwise.sources import exam as EX  # noqa: E402
 from boxwise.sources import jsonl as JL  # noqa: E402
 from boxwise.sources import splits as SP  # noqa: E402
@@ -804,7 +900,6 @@ def q_export_exam(spark, sf_dir):
 # 2.7 Streaming and SQL functions
 # ---------------------------------------------------------------------------
 from boxwise.functions.registry import register_sql_functions  # noqa: E402
-from boxwise.session import cut_lineage  # noqa: E402
 from boxwise.streaming import verify_stream as WS  # noqa: E402
 
 
@@ -820,12 +915,12 @@ def q_stream_verify(spark, sf_dir):
     return spark.read.parquet(sink)
 
 
-@register("stream_yield", _with(candidates=O.CANDIDATES, lines=_LINES) +
+@register("stream_yield", _with(**_ODD) +
           f"SELECT 'question_bootstrapping' AS task, sum(CASE WHEN {O.json_reason('line', False, True)} IS NULL "
-          "THEN 1 ELSE 0 END)::BIGINT AS valid, count(*)::BIGINT AS lines FROM lines")
+          "THEN 1 ELSE 0 END)::BIGINT AS valid, count(*)::BIGINT AS lines, (SELECT count(*) * 5 FROM odd)::BIGINT AS max_valid FROM lines")
 def q_stream_yield(spark, sf_dir):
     src, ck = scratch_path(spark, "yield-src"), scratch_path(spark, "yield-ckpt")
-    c = T.candidates(spark, sf_dir).select(F.lit("question_bootstrapping").alias("task"), "batch_id", "content")
+    c = _odd_candidates(spark, sf_dir).select(F.lit("question_bootstrapping").alias("task"), "batch_id", "content")
     c.where(F.col("batch_id") % 2 == 0).write.mode("append").json(src)
     c.where(F.col("batch_id") % 2 == 1).write.mode("append").json(src)
     name = "yield_" + src.rsplit("-", 1)[-1]

@@ -148,7 +148,7 @@ def normalize(x: str) -> str:
     p0 = f"string_split({x}, '=')[1]"
     s = (f"(CASE WHEN (contains({p0}, 'y')::INT + contains({p0}, 'x')::INT + contains({p0}, 'z')::INT) >= 2 "
          f"THEN {x} ELSE string_split({x}, '=')[-1] END)")
-    s = _g(s, r"([\\\w]*)/([\\\w]*)", r"\\frac{\1}{\2}")
+    s = _g(s, r"([\\\p{L}\p{N}_]*)/([\\\p{L}\p{N}_]*)", r"\\frac{\1}{\2}")
     for e in REMOVED_EXPRESSIONS:
         s = f"replace({s}, {lit(e)}, '')"
     for a, b in SUBSTITUTIONS:
@@ -250,7 +250,7 @@ def json_object(fields: list[tuple[str, str]]) -> str:
 
 def json_reason(d: str, add_sol: bool, add_ans: bool) -> str:
     w = f"('[' || {d} || ']')"
-    arms = [f"WHEN NOT coalesce(json_valid({w}), false) OR json_array_length({w}) <> 1 THEN 'not_json'",
+    arms = [f"WHEN NOT coalesce(json_valid({w}) AND json_valid({d}), false) OR json_array_length({w}) <> 1 THEN 'not_json'",
             f"WHEN json_type({d}) <> 'OBJECT' THEN 'not_object'",
             f"WHEN coalesce(json_type({d}, '$.problem'), '') <> 'VARCHAR' THEN 'problem_not_string'"]
     if add_sol:

@@ -100,12 +100,11 @@ EXAM_STYLES = {
     "mammoth": "Below is an instruction that describes a task.\nWrite a response that appropriately completes the request.\n\n### Instruction:\n{question}\n\n### Response:",
     "open_chat": "GPT4 Correct User: {question}<|end_of_turn|>GPT4 Correct Assistant:",
     "direct": "Answer the following question:\n{question}",
-    "mmiqc": INSTRUCTION_PROMPT,
+    "instruction": INSTRUCTION_PROMPT,
 }
 
 # --- Fixed values: training template (prompt format strings) -------------------
 TRAINING_TEMPLATE = {
-    "description": "Template used for MMIQC training.",
     "prompt_wo_response": "{instruction}\n\n",
     "prompt": "{instruction}\n\n{response}",
     "instruction": "{instruction}",
@@ -129,8 +128,20 @@ def few_shot_text(clean: bool = False) -> str:
     return FEW_SHOT_EXAMPLES if clean else python_literal_value(FEW_SHOT_EXAMPLES)
 
 
-def load_template(path: str | None = None) -> dict:
-    if path is None:
-        return dict(TRAINING_TEMPLATE)
-    with open(path) as f:
+TEMPLATES = {"default": TRAINING_TEMPLATE}
+
+
+def register_template(name: str, template: dict) -> None:
+    """Make a template known by name (``load_template(name)``)."""
+    missing = [k for k in ("prompt", "instruction", "response", "prompt_wo_response") if k not in template]
+    if missing:
+        raise KeyError(f"template {name!r} lacks {missing}")
+    TEMPLATES[name] = dict(template)
+
+
+def load_template(name: str | None = None) -> dict:
+    """A registered template, or one from a JSON file's path."""
+    if name is None or name in TEMPLATES:
+        return dict(TEMPLATES[name or "default"])
+    with open(name) as f:
         return json.load(f)

@@ -10,9 +10,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scratch: list[str] = []  # paths handed out by scratch_path
+
 DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -63,10 +67,30 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the checkpoint dir for a written intermediate."""
     base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/boxwise-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/boxwise-{name}-{uuid.uuid4().hex[:12]}"
+    _scratch.append(path)
+    return path
+
+
+def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` evaluated once: written as Parquet to the shared folder and read
+    back. Columnar, prunable, and it survives lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (never a local one): survives executor loss."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes on leaving every intermediate written since entering. Results that
+    are still needed must have been written elsewhere by then."""
+    start = len(_scratch)
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _scratch[start:]:
+            p = hadoop(path)
+            p.getFileSystem(conf).delete(p, True)
+        del _scratch[start:]

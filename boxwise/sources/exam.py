@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boxwise.session import cut_lineage
+
 
 def read_exam_csv(spark: SparkSession, path: str) -> DataFrame:
     """One-column CSV whose cells hold newlines; the column becomes
@@ -21,7 +23,8 @@ def write_exam_csv(df: DataFrame, path: str, col: str = "question", header: str
 
 def export_exam(df: DataFrame, csv_path: str, jsonl_path: str) -> None:
     """CSV (question, prompt, answer) and JSON lines (answer, question),
-    both overwriting earlier output."""
+    both overwriting earlier output. ``df`` is evaluated once for both."""
+    df = cut_lineage(df.select("question", "prompt", "answer"), "exam")
     df.select("question", "prompt", "answer").write.mode("overwrite").csv(
         csv_path, header=True, quote='"', escape='"')
     df.select("answer", "question").write.mode("overwrite").json(jsonl_path)

@@ -36,20 +36,24 @@ def run_verify_stream(spark: SparkSession, source_dir: str, sink_dir: str, check
     q.awaitTermination()
 
 
-def yield_counters(lines: DataFrame, task_col: str = "task") -> DataFrame:
-    """W2 aggregate: running valid / total per task (streaming or batch)."""
+def yield_counters(lines: DataFrame, per_unit: int, task_col: str = "task") -> DataFrame:
+    """W2 aggregate: running valid lines, lines, and the maximum possible per task
+    (streaming or batch). ``lines`` come from ``validate_candidates(outer=True)``:
+    a unit is a response's first line, or its only row where it is missing."""
+    unit = F.coalesce(F.col("line_no"), F.lit(0)) == 0
     return lines.groupBy(task_col).agg(F.sum(F.col("valid").cast("bigint")).alias("valid"),
-                                       F.count(F.lit(1)).alias("lines"))
+                                       F.count("line").alias("lines"),
+                                       (F.sum(unit.cast("bigint")) * per_unit).alias("max_valid"))
 
 
 def run_yield_stream(spark: SparkSession, source_dir: str, checkpoint_dir: str, query_name: str,
-                     add_sol: bool = False, add_ans: bool = True) -> DataFrame:
+                     add_sol: bool = False, add_ans: bool = True, per_unit: int = 5) -> DataFrame:
     """Stream of generation responses (``task``, ``batch_id``, ``content``)
     -> validated lines -> per-task counters in complete mode. The sink is an
     in-memory table holding one row per task (bounded by the task count)."""
     src = spark.readStream.schema("task STRING, batch_id BIGINT, content STRING").json(source_dir)
-    v = responses.validate_candidates(src, add_sol, add_ans, "content")
-    q = (yield_counters(v).writeStream.format("memory").queryName(query_name)
+    v = responses.validate_candidates(src, add_sol, add_ans, "content", outer=True)
+    q = (yield_counters(v, per_unit).writeStream.format("memory").queryName(query_name)
          .option("checkpointLocation", checkpoint_dir).outputMode("complete")
          .trigger(availableNow=True).start())
     q.awaitTermination()

@@ -26,13 +26,14 @@ def test_seed_json_and_batches(spark):
     rows = {r.problem_id: r for r in seeds.collect()}
     got = prompts.seed_json(seeds, add_sol=False, add_ans=True).collect()
     for r in got:
-        assert r.seed_json == json.dumps({"problem": rows[r.problem_id].problem, "answer": rows[r.problem_id].answer})
+        assert r.seed_json == json.dumps({"problem": rows[r.problem_id].problem, "answer": rows[r.problem_id].answer,
+                                          "subject": rows[r.problem_id].subject})
     b = prompts.batch_seeds(seeds, 4, add_sol=True, add_ans=True).orderBy("batch_id").collect()
     ids = sorted(rows)
     assert len(b) == len(ids) // 4
     first = b[0]
     want = "\n".join(json.dumps({"problem": rows[i].problem, "solution": rows[i].solution,
-                                 "answer": rows[i].answer}) for i in ids[:4])
+                                 "answer": rows[i].answer, "subject": rows[i].subject}) for i in ids[:4])
     assert first.user_prompt == want and first.first_id == ids[0]
 
 
@@ -73,9 +74,31 @@ def test_threads_and_requests(spark):
     body = json.loads(r.body_json)
     assert body["messages"] == [{"role": "system", "content": "SYS"}, {"role": "user", "content": "p1"}]
     assert body["model"] == "gpt-4-1106-preview" and body["max_tokens"] == 2048 and body["stream"] is False
-    assert len(r.request_id) == 10
+    assert len(r.request_id) == 32
+    assert req.select(requests.short_id().alias("s")).first().s in {x.request_id[:10] for x in req.collect()}
 
 
 def test_json_null_like_python(spark):
     df = spark.createDataFrame([(None,)], "s string")
     assert df.select(F.expr(json_string("s")).alias("j")).collect()[0].j == json.dumps(None)
+
+
+def test_raw_seed_lines_keep_keys_and_order(spark):
+    seeds = [{"level": "5", "problem": "é?", "type": "x", "solution": "s", "answer": "1"}, {"answer": "2", "problem": "p", "solution": "", "n": 3}]
+    df = spark.createDataFrame([(i, json.dumps(s)) for i, s in enumerate(seeds)], "i int, value string")
+    for add_sol, add_ans in ((True, True), (False, True), (False, False)):
+        got = {r.i: r.j for r in df.select("i", prompts.raw_seed_json("value", add_sol, add_ans).alias("j")).collect()}
+        for i, s in enumerate(seeds):
+            assert got[i] == json.dumps({k: v for k, v in s.items() if (k != "solution" or add_sol) and (k != "answer" or add_ans)})
+
+
+def test_named_templates_and_providers():
+    from boxwise.operators import providers
+    with pytest.raises(KeyError):
+        texts.register_template("half", {"prompt": "x"})
+    texts.register_template("copy", texts.load_template())
+    assert texts.load_template("copy") == texts.load_template()
+    providers.register_provider("same", lambda d: d)
+    assert providers.get_provider("same")(1) == 1
+    with pytest.raises(KeyError):
+        providers.get_provider("missing")

@@ -3,14 +3,15 @@ Spark runs, on random text with Unicode digits/letters, odd spaces and
 newlines (the flags (?U) and (?d) are what make them agree)."""
 import random
 import re
+import unicodedata
 
 from pyspark.sql import functions as F
 
-from boxwise.functions.answers import sql_str
+from boxwise.functions.answers import SLASH, sql_str
 
 # Fixed values: (Python pattern, Python replacement, Java pattern, Java replacement)
 PATTERNS = [
-    (r'([\\\w]*)/([\\\w]*)', r'\\frac{\1}{\2}', r'(?U)([\\\w]*)/([\\\w]*)', r'\\frac{$1}{$2}'),
+    (r'([\\\w]*)/([\\\w]*)', r'\\frac{\1}{\2}', SLASH, r'\\frac{$1}{$2}'),
     (r'(?<!\.)\.$', '', r'(?d)(?<!\.)\.$', ''),
     (r'(\\text\{\()(.*?)(\)\})', '\\2', r'(?d)(\\text\{\()(.*?)(\)\})', '$2'),
     (r'(\\text\{)(.*?)(\})', '\\2', r'(?d)(\\text\{)(.*?)(\})', '$2'),
@@ -20,7 +21,7 @@ PATTERNS = [
     (r'frac{(\d+)}(\d+)', r'frac{\1}{\2}', r'(?U)frac\{(\d+)\}(\d+)', 'frac{$1}{$2}'),
     (r'frac(\d+){(\d+)}', r'frac{\1}{\2}', r'(?U)frac(\d+)\{(\d+)\}', 'frac{$1}{$2}'),
 ]
-ALPHABET = ["1", "2", "٣", "x", "é", "_", "\\", "/", "{", "}", "(", ")", ".", "\n", " ", "\u00a0", "$",
+ALPHABET = ["1", "2", "\u00b2", "\u00bd", "e\u0301", "\u2167", "٣", "x", "é", "_", "\\", "/", "{", "}", "(", ")", ".", "\n", " ", "\u00a0", "$",
             "frac", "sqrt", "\\text{", "\\boxed{", "\\text{(", ")}"]
 
 
@@ -36,3 +37,14 @@ def test_patterns_agree(spark):
         for k, (pp, pr, _, _) in enumerate(PATTERNS):
             assert got[i][f"p{k}"] == re.sub(pp, pr, v), (k, v)
         assert got[i].nums == re.findall(r'-?\d*\.?\d+', v), v
+
+
+def test_word_characters_are_pythons(spark):
+    """Every code point: Spark's class against Python's \\w."""
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    df = spark.createDataFrame([(c, chr(c)) for c in points if unicodedata.category(chr(c)) != "Cn"], "c int, s string")
+    cls = SLASH[1:SLASH.index("]") + 1]
+    got = {r.c for r in df.where(F.expr(f"s RLIKE {sql_str('^' + cls + '$')}")).collect()}
+    old = {c for c in points if unicodedata.category(chr(c)) != "Cn" and re.fullmatch(r"[\\\w]", chr(c))}
+    # characters newer than the JVM's tables are unknown to it
+    assert got <= old and all(unicodedata.category(chr(c))[0] in "LN" and c > 0x250 for c in old - got)

@@ -47,6 +47,8 @@ def test_validate_candidates_matches_python(spark):
     extra = spark.createDataFrame([
         (1, '{"problem": "p", "answer": "1", "extra": [1, 2]}\n  \n{"problem": 3}'),
         (2, "{'problem': 'single quotes'}\n" + '{"problem": "p"}, {"problem": "q"}'),
+        (4, "\n".join('{"problem": "p", "answer": "1"}' + t for t in ("]", "] junk", "}", ",", ",0", "],[0", "],[0,0", ",0],[0"))
+            + '\n[{"problem": "p", "answer": "1"}'),
         (3, '  {"problem": "ok", "answer": "é\\u00e9"}  '),
     ], "batch_id long, content string")
     cands = T.candidates(spark, SF001).unionByName(extra)
@@ -63,3 +65,17 @@ def test_validate_single_whole_document(spark):
                                 (2, '{"problem": "a"}\n{"problem": "b"}')], "batch_id long, content string")
     got = {r.batch_id: r.valid for r in responses.validate_single(df).collect()}
     assert got == {1: True, 2: False}
+
+
+def test_units_without_a_response_count(spark):
+    df = spark.createDataFrame([(1, '{"problem": "a", "answer": "1"}'), (2, None), (3, "x\ny")], "batch_id long, content string")
+    v = responses.validate_candidates(df, outer=True)
+    r = responses.generation_yield(v, 5, "batch_id").collect()[0]
+    assert (r.valid, r.max_valid) == (1, 15)
+
+
+def test_reason_is_parsed_once(spark):
+    df = spark.createDataFrame([(1, "{}")], "batch_id long, content string")
+    v = responses.validate_candidates(df).where("not valid").select("reason")
+    plan = v._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parse_json") + plan.count("parseJson") <= 4

@@ -16,7 +16,7 @@ TOK = regex.compile(tokens.TOKEN_PATTERN)
 
 def pairs(spark, blank_every=None):
     sp = T.sft_pairs(spark, SF001, blank_every)
-    return sp.select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), "instruction", "output")
+    return sp.select(F.concat_ws("-", "conv_id", "turn").alias("pair_id"), "instruction", "output")
 
 
 def py_vocab(rows):
@@ -61,7 +61,7 @@ def test_vocab(spark, vocab_pair):
 def test_modes(spark, vocab_pair, mode):
     v, pv = vocab_pair
     df = pairs(spark, 3 if mode == "mix" else None)
-    got = {r.pair_id: r for r in sft.map_dataset(df, v, "pair_id", mode, MAXLEN, vocab_size=VOCAB).collect()}
+    got = {r.pair_id: r for r in sft.map_dataset(df, v, "pair_id", mode, MAXLEN).collect()}
     for r in df.collect():
         ids, labels = py_row(r.instruction, r.output, pv, mode)
         g = got[r.pair_id]
@@ -81,7 +81,7 @@ def test_bad_mode(spark, vocab_pair):
 def test_pack_blocks_keeps_ids(spark, vocab_pair, batch_rows):
     v, pv = vocab_pair
     df = pairs(spark)
-    enc = sft.encode_concat(df, v, "pair_id", vocab_size=VOCAB)
+    enc = sft.encode_concat(df, v, "pair_id")
     blocks = packing.pack_blocks(enc, "input_ids", "pair_id", MAXLEN, batch_rows).collect()
     rows = sorted(df.collect(), key=lambda r: r.pair_id)
     want = []
@@ -98,13 +98,13 @@ def test_pack_blocks_keeps_ids(spark, vocab_pair, batch_rows):
 def test_chunks_padding_lengths(spark, vocab_pair):
     v, pv = vocab_pair
     df = pairs(spark)
-    r = sft.map_dataset(df, v, "pair_id", "wo_ignore", MAXLEN, vocab_size=VOCAB)
+    r = sft.map_dataset(df, v, "pair_id", "wo_ignore", MAXLEN)
     r = ordinal.with_ordinal(r, ["pair_id"], "o").withColumn("batch_id", F.floor(F.col("o") / 8))
     for row in packing.pad_batches(r, "batch_id").collect():
         assert len(row.input_ids) % 8 == 0
         n_pad = row.attention_mask.count(0)
         assert row.input_ids[:n_pad] == [0] * n_pad and row.labels[:n_pad] == [-100] * n_pad
-    enc = tokens.encode(df, "output", v, "pair_id", "ids", None, vocab_size=VOCAB)
+    enc = tokens.encode(df, "output", v, "pair_id", "ids")
     for row in packing.chunk_overflow(enc, "ids", 7, keep=("pair_id", "ids")).collect():
         start = row.chunk_no * 7
         piece = row.ids[start:start + 7]
@@ -156,3 +156,39 @@ def test_previous_row_matches_lag(spark):
     want = df.withColumn("prev_v", F.lag("v").over(Window.partitionBy("k").orderBy("t")))
     assert sorted(tuple(r) for r in got.select("k", "t", "prev_v").collect()) == \
         sorted(tuple(r) for r in want.select("k", "t", "prev_v").collect())
+
+
+def test_vocabulary_without_a_cap_and_joined_lookup(spark, monkeypatch):
+    df = pairs(spark)
+    v = tokens.build_vocab(df, ["instruction", "output"])
+    c = Counter(t for r in df.collect() for s in (r.instruction, r.output) for t in TOK.findall(s))
+    assert [r.token for r in v.orderBy("id").collect()] == sorted(c, key=lambda t: (-c[t], t))
+    want = {r.pair_id: r.ids for r in tokens.encode(df, "output", v, "pair_id", "ids").collect()}
+    monkeypatch.setattr(tokens, "MAX_BROADCAST_VOCAB", 5)
+    assert {r.pair_id: r.ids for r in tokens.encode(df, "output", v, "pair_id", "ids").collect()} == want
+
+
+def test_composite_keys_and_empty_texts(spark):
+    df = spark.createDataFrame([(1, 1000, "a b"), (2, 0, "c"), (2, 1, ""), (2, 2, None)], "conv int, turn int, t string")
+    v = spark.createDataFrame([("a", 3), ("b", 4), ("c", 5)], "token string, id int")
+    got = {(r.conv, r.turn): r.ids for r in tokens.encode(df, "t", v, ["conv", "turn"], "ids").collect()}
+    assert got == {(1, 1000): [1, 3, 4], (2, 0): [1, 5], (2, 1): [1], (2, 2): [1]}
+
+
+def test_first_n_same_rows_either_way(spark, monkeypatch):
+    df = spark.range(0, 500).select((F.col("id") * 37 % 500).alias("k"))
+    want = sorted(r.k for r in ordinal.first_n(df, [F.col("k")], 60).collect())
+    monkeypatch.setattr(ordinal, "TOP_N_IN_MEMORY", 10)
+    assert sorted(r.k for r in ordinal.first_n(df, [F.col("k")], 60).collect()) == want == list(range(60))
+
+
+def test_shuffled_concat_packs_in_row_order(spark, vocab_pair):
+    v, pv = vocab_pair
+    df = pairs(spark)
+    order = {r.pair_id: r.row_order for r in sft.shuffle_rows(df, 9, "pair_id").collect()}
+    whole = []
+    for r in sorted(df.collect(), key=lambda r: order[r.pair_id]):
+        ids = py_encode(f"{r.instruction}\n\n{r.output}", pv, None)
+        whole += ids + ([2] if ids[-1] != 2 else [])
+    blocks = sft.map_dataset(df, v, "pair_id", "concat", MAXLEN, shuffle=9).orderBy("batch_id", "block_no").collect()
+    assert [i for b in blocks for i in b.input_ids] == whole
