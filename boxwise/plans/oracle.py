@@ -4,7 +4,8 @@ DuckDB's dialect differs from Spark's: string literals keep backslashes,
 regexes are RE2 (no look-around, ASCII ``\\d``/``\\w``), replacement groups
 are ``\\1``, lambdas are ``lambda x: ...`` and lists are 1-based. The answer
 functions are therefore written again here, not generated from the Spark
-templates, so a shared mistake is less likely.
+templates. The removal and substitution lists, the white space and the prompt
+texts are shared with the Spark side: fixed values, which the tests compare.
 """
 
 from __future__ import annotations
