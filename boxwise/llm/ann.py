@@ -138,7 +138,7 @@ def _routed(shared, wanted: int, ratio: float):
     """Rows (vec_id, embedding) -> (vec_id, embedding, list) for every list they go to."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        index = shared.value
+        index = Centroids(*shared.value)
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
@@ -201,7 +201,8 @@ def nearest_neighbours(vectors: DataFrame, queries_every: int = 100, k: int = 10
     if not len(picked):
         picked = rows.select("embedding").limit(1).toPandas()
     lists = int(min(MAX_LISTS, max(1, n // list_rows), max(1, len(picked) // 8)))
-    shared = spark.sparkContext.broadcast(fit_centroids(np.stack(picked["embedding"].to_numpy()), lists))
+    centroids = fit_centroids(np.stack(picked["embedding"].to_numpy()), lists)
+    shared = spark.sparkContext.broadcast((centroids.points, centroids.graph))  # at most MAX_LISTS rows
     kind = "vec_id bigint, embedding array<double>, list int"
     plain = rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding")
     postings = written(plain.mapInArrow(_routed(shared, REPLICAS, REPLICA_RATIO), kind), "ann-postings")

@@ -240,14 +240,19 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
     return lexicon
 
 
+def _shared(docs: DataFrame, lexicon: Lexicon):
+    """The lexicon's plain content as a broadcast; its size is bounded by MAX_ENTRIES."""
+    return docs.sparkSession.sparkContext.broadcast((lexicon.entries, lexicon.exceptions, lexicon.model))
+
+
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, held_out, score, predicted``. Null and
     empty texts get the score of a text without hits; an empty table gives none."""
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # bounded by MAX_ENTRIES
+    shared = _shared(docs, lexicon)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        matcher = Matcher(shared.value)
+        matcher = Matcher(Lexicon(*shared.value))
         for batch in batches:
             scores = [matcher.score(t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())],
@@ -261,12 +266,12 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
 
 def reject_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose score is below ``threshold``, with all columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    shared = _shared(docs, lexicon)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        matcher = Matcher(shared.value)
+        matcher = Matcher(Lexicon(*shared.value))
         for batch in batches:
             yield batch.filter(pa.array([matcher.score(t.as_py()) < threshold for t in batch.column(at)], pa.bool_()))
 
