@@ -64,52 +64,65 @@ class Shingler:
         return np.unique(mixed(out), return_counts=True)
 
 
-def darts(elements: np.ndarray, weights: np.ndarray | None, limit: float, coordinates: int):
-    """(rank, coordinate, identity) of the darts of rank below ``limit``.
+def darts(elements: np.ndarray, weights: np.ndarray | None, limits: np.ndarray, coordinates: int):
+    """(element, rank, coordinate, identity) of the darts of rank up to their
+    element's limit, elements being numbered by position.
 
     The plane of an element is cut into cells of area 1: columns [0,1), [1,2),
     [2,4), [4,8), ... of the weight, and in each column rank steps of the inverse
     width. A cell's darts depend on the element and the cell alone."""
-    ranks, coords, names = [], [], []
+    out = []
     top = 1.0 if weights is None else float(weights.max())
     column, low, width = 0, 0.0, 1.0
     while low < top:
         high = 1.0 / width
-        own = elements if weights is None else elements[weights > low]
-        most = None if weights is None else weights[weights > low]
-        for step in range(int(np.ceil(limit / high))):
-            cell = mixed(own + U((int(GOLDEN) * (1 + column * 1_000_003 + step * 64)) % (1 << 64)))
-            times = np.searchsorted(POISSON, unit(cell), side="right")
-            at = np.repeat(np.arange(len(own)), times)
-            nth = (np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)).astype(U)
-            dart = mixed(cell[at] + GOLDEN * (nth + U(1)))
-            rank = (step + unit(mixed(dart ^ MIX1))) * high
-            keep = rank <= limit
-            if most is not None:
-                keep &= low + unit(mixed(dart ^ MIX2)) * width <= most[at]
-            dart = dart[keep]
-            ranks.append(rank[keep])
-            coords.append((mixed(dart ^ GOLDEN) % U(coordinates)).astype(np.int64))
-            names.append(dart)
+        own = np.arange(len(elements)) if weights is None else np.flatnonzero(weights > low)
+        steps = np.ceil(limits[own] / high).astype(np.int64)
+        element = np.repeat(own, steps)
+        step = np.arange(len(element)) - np.repeat(np.cumsum(steps) - steps, steps)
+        cell = mixed(elements[element] + GOLDEN * (step * 64 + (1 + column * 1_000_003)).astype(U))
+        times = np.searchsorted(POISSON, unit(cell), side="right")
+        at = np.repeat(np.arange(len(cell)), times)
+        nth = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+        dart = mixed(cell[at] + GOLDEN * (nth + 1).astype(U))
+        element = element[at]
+        rank = (step[at] + unit(mixed(dart ^ MIX1))) * high
+        keep = rank <= limits[element]
+        if weights is not None:
+            keep &= low + unit(mixed(dart ^ MIX2)) * width <= weights[element]
+        dart = dart[keep]
+        out.append((element[keep], rank[keep], (mixed(dart ^ GOLDEN) % U(coordinates)).astype(np.int64), dart))
         column, low, width = column + 1, low + width, (1.0 if column == 0 else width * 2)
-    return np.concatenate(ranks), np.concatenate(coords), np.concatenate(names)
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def sketches(sets: list[np.ndarray], coordinates: int, weights: list[np.ndarray] | None = None) -> np.ndarray:
+    """A row for each of the sets (none of them empty): the identity of the
+    earliest dart of every coordinate. ``weights`` None: all 1. A set's rank limit
+    doubles until each coordinate has a dart, which leaves the earliest as they are."""
+    out = np.zeros((len(sets), coordinates), U)
+    totals = np.array([float(len(s)) for s in sets] if weights is None else [float(w.sum()) for w in weights])
+    limits = coordinates * (np.log(coordinates) + 2) / np.maximum(totals, 1e-300)
+    todo = np.arange(len(sets))
+    while len(todo):
+        owner = np.repeat(np.arange(len(todo)), [len(sets[t]) for t in todo])
+        element, rank, coord, name = darts(
+            np.concatenate([sets[t] for t in todo]), None if weights is None else np.concatenate([weights[t] for t in todo]),
+            limits[todo][owner], coordinates)
+        place = owner[element] * coordinates + coord
+        order = np.argsort(rank, kind="stable")[::-1]
+        first, found = np.zeros(len(todo) * coordinates, U), np.zeros(len(todo) * coordinates, bool)
+        first[place[order]] = name[order]
+        found[place] = True
+        done = found.reshape(-1, coordinates).all(1)
+        out[todo[done]] = first.reshape(-1, coordinates)[done]
+        todo = todo[~done]
+        limits[todo] *= 2
+    return out
 
 
 def sketch(elements: np.ndarray, coordinates: int, weights: np.ndarray | None = None) -> np.ndarray:
-    """The identity of the earliest dart of every coordinate. ``weights`` None:
-    all 1. The rank limit doubles until each coordinate has a dart, which leaves
-    the earliest ones as they are."""
-    total = float(len(elements) if weights is None else weights.sum())
-    limit = coordinates * (np.log(coordinates) + 2) / total
-    while True:
-        rank, coord, name = darts(elements, weights, limit, coordinates)
-        order = np.argsort(rank, kind="stable")[::-1]
-        out, found = np.zeros(coordinates, U), np.zeros(coordinates, bool)
-        out[coord[order]] = name[order]
-        found[coord] = True
-        if found.all():
-            return out
-        limit *= 2
+    return sketches([elements], coordinates, None if weights is None else [weights])[0]
 
 
 def bands(signature: np.ndarray, rows: int) -> np.ndarray:

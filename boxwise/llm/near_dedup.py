@@ -4,13 +4,13 @@
    weighted five-word shingles and the hashes of the sketch's bands.
 2. Texts with the same words are one node from there on, however many there are.
 3. Nodes that share a band are candidates: in small buckets all pairs, in larger
-   ones every node with the bucket's least node (a star, one pair per row).
+   ones every node with the bucket's most connected node (a star, one pair per row).
 4. Candidates whose sketches allow it are verified on their whole shingle sets;
    pairs of the wanted similarity are links, their components are the classes.
 5. Large buckets whose nodes ended in several classes are searched again: every
    node outside the bucket's main class against all nodes of other classes, so
-   that no pair the bands brought together is left out. Only pairs whose sketches
-   agree well enough leave that join.
+   that no pair the bands brought together is left out. That is done in blocks of
+   bounded size, which return links only, one for each class that a node reaches.
 
 Copies are never expanded to pairs, no bucket is collected into one task, and
 links and classes stay distributed.
@@ -23,11 +23,13 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, functions as F
 
 from boxwise.llm.common import components, written
-from boxwise.llm.dart_sketch import Shingler, bands, sketch
+from boxwise.llm.dart_sketch import Shingler, bands, sketches
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4     # a pair of similarity 0.8 shares no band with a chance of 3e-6
+SKETCHED_TOGETHER = 100  # texts whose darts are thrown in one go
 SMALL_BUCKET = 8        # nodes up to which a bucket's pairs are all listed
+BLOCK_SHINGLES = 500_000  # shingles on either side of a block that compares the rest of large buckets
 SLACK = 0.18            # more than 4 standard errors of a 96-dart estimate at 0.8
 
 
@@ -38,21 +40,22 @@ def _sketches(words: int, n_bands: int, rows: int, weighted: bool):
         import xxhash
         shingle = Shingler(words)
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                digests, sizes, hashes, signs = [], [], [], []
+            for start in range(0, batch.num_rows, SKETCHED_TOGETHER):
+                part = batch.slice(start, SKETCHED_TOGETHER)
+                digests, sets, counts = [], [], []
                 for t in part.column(2):
                     own = (t.as_py() or "").lower().split()
                     digests.append(xxhash.xxh3_128_hexdigest(" ".join(own)))
                     elements, times = shingle(own)
-                    sizes.append(float(times.sum() if weighted else len(elements)))
-                    if not len(elements):
-                        hashes.append(None)
-                        signs.append(None)
-                        continue
-                    full = sketch(elements, n_bands * rows, times.astype(float) if weighted else None)
-                    hashes.append(bands(full, rows))
-                    signs.append((full & np.uint64(0xFFFF)).astype(np.int16))
+                    sets.append(elements)
+                    counts.append(times.astype(float))
+                sizes = [float(c.sum() if weighted else len(c)) for c in counts]
+                some = [i for i, x in enumerate(sets) if len(x)]
+                full = sketches([sets[i] for i in some], n_bands * rows, [counts[i] for i in some] if weighted else None)
+                hashes, signs = [None] * len(sets), [None] * len(sets)
+                for i, sign in zip(some, full):
+                    hashes[i] = bands(sign, rows)
+                    signs[i] = (sign & np.uint64(0xFFFF)).astype(np.int16)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(digests), pa.array(sizes),
                      pa.array(hashes, pa.list_(pa.int64())), pa.array(signs, pa.list_(pa.int16()))],
@@ -93,18 +96,53 @@ def _similarities(weighted: bool):
             cols = [batch.column(i) for i in range(2, 6)]
             for x, xn, y, yn in zip(*cols):
                 x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-                if weighted:
-                    p, q = np.frombuffer(xn.as_py(), "<u4").astype(float), np.frombuffer(yn.as_py(), "<u4").astype(float)
-                    both = float(np.minimum(p[i], q[j]).sum())
-                    out.append(both / (p.sum() + q.sum() - both))
-                else:
-                    out.append(len(i) / (len(x) + len(y) - len(i)))
+                xn, yn = np.frombuffer(xn.as_py(), "<u4"), np.frombuffer(yn.as_py(), "<u4")
+                out.append(_jaccard(x, xn, y, yn, weighted))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())],
                                              names=["a", "b", "similarity"])
     return run
 
 
+def _jaccard(x, xn, y, yn, weighted: bool) -> float:
+    import numpy as np
+    both, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    if not weighted:
+        return len(both) / (len(x) + len(y) - len(both))
+    same = float(np.minimum(xn[i], yn[j]).sum())
+    return same / (float(xn.sum()) + float(yn.sum()) - same)
+
+
+def _cross_links(similarity: float, weighted: bool):
+    """Open nodes of a bucket against nodes of its other classes: sketches for all,
+    whole sets for those that may do, and one link for each class reached. A pair
+    that shares several bands is looked at in the first of them."""
+    def run(key, some, every):
+        import numpy as np
+        import pandas as pd
+        out = []
+        if len(some) and len(every):
+            band = int(key[0])
+            signs, bands_ = np.stack(every["sign"].to_numpy()), np.stack(every["bands"].to_numpy())
+            node, root, size = (every[c].to_numpy() for c in ("node", "root", "size"))
+            inmain = ~every["open"].to_numpy()
+            sets = [np.frombuffer(bytes(b), np.uint64) for b in every["elements"]]
+            times = [np.frombuffer(bytes(b), "<u4") for b in every["times"]]
+            for a, ra, sa, sign, own, x, xn in zip(*(some[c] for c in (
+                    "node", "root", "size", "sign", "bands", "elements", "times"))):
+                x, xn = np.frombuffer(bytes(x), np.uint64), np.frombuffer(bytes(xn), "<u4")
+                near = (signs == np.asarray(sign)).mean(1)
+                at = np.flatnonzero((near >= similarity - SLACK) & (root != ra) & (inmain | (node > a)) & (
+                    np.minimum(size, sa) >= np.maximum(size, sa) * (similarity - 1e-9)))
+                at = at[(bands_[at] == np.asarray(own)).argmax(1) == band] if len(at) else at
+                reached = set()
+                for t in at[np.argsort(-near[at], kind="stable")]:
+                    if root[t] not in reached and _jaccard(x, xn, sets[t], times[t], weighted) >= similarity - 1e-12:
+                        reached.add(root[t])
+                        out.append((a, node[t]))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+    return run
+
+
 def agreement(a: str, b: str, coordinates: int) -> str:
     """SQL: the share of equal coordinates of two sketches."""
     return f"size(filter(zip_with({a}, {b}, (x, y) -> x = y), z -> z)) / {coordinates}D"
@@ -136,62 +174,76 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, word
     nodes = rows_.where("bands IS NOT NULL").join(
         firsts.select(F.col("node").alias("uid")), "uid", "left_semi").withColumnRenamed("uid", "node")
     member = written(nodes.select("node", "size", F.posexplode("bands").alias("band", "value")), "near-buckets")
-    buckets = written(member.groupBy("band", "value").agg(
-        F.min("node").alias("hub"), F.count("*").alias("m")).where("m > 1"), "near-hubs")
+    counts = member.groupBy("band", "value").agg(F.count("*").alias("m")).where("m > 1")
+    shared = written(member.join(counts, ["band", "value"]), "near-shared")
 
     # candidates: all pairs of small buckets, stars of larger ones
-    few = member.join(buckets.where(F.col("m") <= small), ["band", "value"]).groupBy("band", "value").agg(
+    few = shared.where(F.col("m") <= small).groupBy("band", "value").agg(
         F.sort_array(F.collect_list("node")).alias("own"))  # at most `small` nodes each
     pairs = few.select(F.explode("own").alias("a"), "own").select("a", F.explode("own").alias("b")).where("a < b")
-    stars = member.join(buckets.where(F.col("m") > small), ["band", "value"]).where("node <> hub").select(
-        F.col("hub").alias("a"), F.col("node").alias("b"))
+    # a star's hub is the node that shares most bands with most others: the text
+    # that the others vary, if it is there, and the same one in all its buckets
+    large = shared.where(F.col("m") > small)
+    weight = large.groupBy("node").agg(F.sum("m").alias("weight"))
+    hubs = large.join(weight, "node").groupBy("band", "value").agg(
+        F.max(F.struct("weight", F.negative("node").alias("order"))).alias("best")).select(
+        "band", "value", F.negative("best.order").alias("hub"))
+    stars = large.join(hubs, ["band", "value"]).where("node <> hub").select(
+        F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
+    tried = written(pairs.union(stars).distinct(), "near-tried")
     sign = nodes.select("node", "size", "sign", "digest", "doc_id")
 
+    def shingle_sets(wanted: DataFrame, name: str) -> DataFrame:
+        """(node, elements, times) of some nodes, from their texts."""
+        wanted = sign.select("node", "digest", "doc_id").join(wanted, "node").withColumnRenamed("doc_id", "__id__")
+        texts = docs.select(F.col(id_col).alias("__doc__"), F.col(text_col).alias("text"))
+        return written(texts.join(wanted, F.col("__doc__").eqNullSafe(F.col("__id__"))).select(
+            "node", "digest", "text").mapInArrow(
+            _shingle_sets(words), "node bigint, elements binary, times binary").dropDuplicates(["node"]), f"near-sets-{name}")
+
     def linked(candidates: DataFrame, name: str) -> DataFrame:
         """The candidates (a, b) that have the wanted similarity."""
         one = sign.select(F.col("node").alias("a"), F.col("size").alias("sa"), F.col("sign").alias("ga"))
         two = sign.select(F.col("node").alias("b"), F.col("size").alias("sb"), F.col("sign").alias("gb"))
-        able = written(candidates.distinct().join(one, "a").join(two, "b").where(
+        able = written(candidates.join(one, "a").join(two, "b").where(
             (F.least("sa", "sb") >= F.greatest("sa", "sb") * (similarity - 1e-9)) &
             (F.expr(agreement("ga", "gb", coordinates)) >= similarity - SLACK)).select("a", "b"), f"near-able-{name}")
-        wanted = able.select(F.col("a").alias("node")).union(able.select("b")).distinct()
-        wanted = sign.select("node", "digest", "doc_id").join(wanted, "node").withColumnRenamed("doc_id", "__id__")
-        texts = docs.select(F.col(id_col).alias("__doc__"), F.col(text_col).alias("text"))
-        sets = written(texts.join(wanted, F.col("__doc__").eqNullSafe(F.col("__id__"))).select(
-            "node", "digest", "text").mapInArrow(
-            _shingle_sets(words), "node bigint, elements binary, times binary").dropDuplicates(["node"]), f"near-sets-{name}")
+        sets = shingle_sets(able.select(F.col("a").alias("node")).union(able.select("b")).distinct(), name)
         x = sets.select(F.col("node").alias("a"), F.col("elements").alias("x"), F.col("times").alias("xn"))
         y = sets.select(F.col("node").alias("b"), F.col("elements").alias("y"), F.col("times").alias("yn"))
         verified = able.join(x, "a").join(y, "b").select("a", "b", "x", "xn", "y", "yn").mapInArrow(
             _similarities(weighted), "a bigint, b bigint, similarity double")
         return written(verified.where(F.col("similarity") >= similarity - 1e-12).select("a", "b"), f"near-links-{name}")
 
-    links = linked(pairs.union(stars), "0")
+    links = linked(tried, "0")
     label = components(links, "near0")
     # large buckets with several classes left: the pairs that the stars did not see
-    placed = member.join(buckets.where(F.col("m") > small).select("band", "value"), ["band", "value"]).join(
-        label, "node", "left").select("band", "value", "node", "size", F.coalesce("root", "node").alias("root"))
-    placed = written(placed, "near-placed")
+    placed = written(large.join(label, "node", "left").select(
+        "band", "value", "node", "size", F.coalesce("root", "node").alias("root")), "near-placed")
     per_class = placed.groupBy("band", "value", "root").agg(F.count("*").alias("n"))
     mixed = written(per_class.groupBy("band", "value").agg(
         F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("classes")).where(
         "classes > 1").drop("classes"), "near-mixed")
     if not mixed.isEmpty():
-        inside = written(placed.join(mixed, ["band", "value"]).join(
-            sign.select("node", "sign"), "node"), "near-inside")
-        open_ = inside.where("root <> main").select(
-            "band", "value", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("size").alias("sa"), F.col("sign").alias("ga"))
-        every = inside.select(
-            "band", "value", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb"),
-            F.col("sign").alias("gb"), (F.col("root") == F.col("main")).alias("inmain"))
-        more = open_.join(every, ["band", "value"]).where(
-            "ra <> rb AND (inmain OR a < b)"
-            f" AND least(sa, sb) >= greatest(sa, sb) * {similarity - 1e-9}D"
-            f" AND {agreement('ga', 'gb', coordinates)} >= {similarity - SLACK}D").select(
-            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = written(more.distinct().join(pairs.union(stars).distinct(), ["a", "b"], "left_anti"), "near-more")
+        inside = placed.join(mixed, ["band", "value"])
+        sets = shingle_sets(inside.select("node").distinct(), "1")
+        inside = written(inside.withColumn("open", F.col("root") != F.col("main")), "near-inside")
+        parts = inside.groupBy("band", "value").agg(
+            F.ceil(F.sum(F.when(F.col("open"), F.col("size"))) / BLOCK_SHINGLES).cast("int").alias("rows"),
+            F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("cols"))
+        inside = inside.join(parts, ["band", "value"]).join(nodes.select("node", "sign", "bands"), "node").join(sets, "node")
+        part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+        some = inside.where("open").select("*", part("rows").alias("row"), F.explode(
+            F.sequence(F.lit(0), F.col("cols") - 1)).alias("col"))
+        every = inside.select("*", part("cols").alias("col"), F.explode(
+            F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"))
+        every = every.select(*[F.col(c).alias(c) for c in every.columns])  # columns of its own for the cogroup
+        keys = ["band", "value", "row", "col"]
+        more = some.groupBy(*keys).cogroup(every.groupBy(*keys)).applyInPandas(
+            _cross_links(similarity, weighted), "a bigint, b bigint")
+        more = written(more, "near-more")
         if not more.isEmpty():
-            links = written(links.union(linked(more, "1")), "near-links")
+            links = written(links.union(more), "near-links")
             label = components(links, "near1")
 
     out = of.join(label, "node", "left").select("uid", "doc_id", "tkey", F.coalesce("root", "node").alias("root"))
