@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from boxwise.session import scratch_path
+from boxwise.session import scratch_path, scratch_scope
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +22,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def distilled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The result of ``make`` written once; the intermediates that it wrote on the
+    way are deleted then, as nothing reads them any more."""
+    path = scratch_path(spark, name)
+    with scratch_scope(spark):
+        df = make()
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def text_or_empty(c: str | Column = "text") -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 

@@ -25,12 +25,13 @@ capped or cut short. Digests have 128 bits.
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from boxwise.llm.common import text_or_empty, utf8, written
+from boxwise.llm.common import distilled, text_or_empty, utf8, written
 from boxwise.llm.suffix_array import longest_matches, suffix_array
 
 LENGTH = 400
@@ -99,6 +100,7 @@ def _spans(length: int):
         import pyarrow as pa
         import xxhash
         gram, digest = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest
+        halves = struct.Struct(">qq").unpack
         for batch in batches:
             ids, keys = batch.column(0), batch.column(1).to_pylist()
             texts = [x.as_py() or b"" for x in batch.column(2)]
@@ -127,10 +129,11 @@ def _spans(length: int):
                     at = pa.array([lo + r[0] for r in rows], pa.int64())
                     yield pa.RecordBatch.from_arrays(
                         [ids.take(at), pa.array([keys[lo + r[0]] for r in rows], pa.int64()),
+                         *[pa.array([h[i] for h in (halves(r[2]) for r in rows)], pa.int64()) for i in (0, 1)],
                          *[pa.array([r[i] for r in rows], t) for i, t in (
-                             (1, pa.int64()), (2, pa.binary()), (3, pa.int64()), (4, pa.int32()), (5, pa.int32()),
-                             (6, pa.int64()), (7, pa.int64()))]],
-                        names=["doc_id", "tkey", "anchor", "digest", "start", "size", "at", "times", "stop"])
+                             (1, pa.int64()), (3, pa.int64()), (4, pa.int32()), (5, pa.int32()), (6, pa.int64()),
+                             (7, pa.int64()))]],
+                        names=["doc_id", "tkey", "digest", "digest2", "anchor", "start", "size", "at", "times", "stop"])
     return run
 
 
@@ -292,15 +295,18 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, large_core: int = LAR
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("tkey"),
                         utf8(text_or_empty(text_col)).alias("raw"))
-    spans = written(texts.mapInArrow(_spans(length), f"doc_id {kind}, tkey bigint, anchor bigint, digest binary, "
-                    "start bigint, size int, at int, times bigint, stop bigint"), "suffix-spans")
-    kinds = written(spans.groupBy("anchor", "digest").agg(
-        F.sum("times").alias("n"), F.min(F.struct("doc_id", "tkey", "start", "size", "at")).alias("one")), "suffix-kinds")
-    again = kinds.where("n > 1").select("anchor", "digest")
-    whole = spans.join(again, ["anchor", "digest"], "left_semi").select("doc_id", "tkey", "start", "stop")
+    spans = written(texts.mapInArrow(_spans(length), f"doc_id {kind}, tkey bigint, digest bigint, "
+                    "digest2 bigint, anchor bigint, start bigint, size int, at int, times bigint, stop bigint"), "suffix-spans")
+    # of equal spans any one will do, in all of its columns
+    one = ["doc_id", "tkey", "start", "size", "at", "anchor"]
+    kinds = written(spans.groupBy("digest", "digest2").agg(
+        F.sum("times").alias("n"), *[F.first(c).alias(c) for c in one]), "suffix-kinds")
+    again = kinds.where("n > 1").select("digest", "digest2")
+    whole = spans.select("digest", "digest2", "doc_id", "tkey", "start", "stop").join(
+        again, ["digest", "digest2"], "left_semi").select("doc_id", "tkey", "start", "stop")
 
     mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
-    wanted = kinds.join(mixed, "anchor", "left_semi").select("one.*", "n")
+    wanted = kinds.select(*one).join(mixed, "anchor", "left_semi")
     wanted = wanted.groupBy(F.col("doc_id").alias("__id__"), F.col("tkey").alias("__key__")).agg(
         F.collect_list(F.struct("start", "size", "at")).alias("spans"))  # of one text, few beside its bytes
     # equal rows give equal blocks: one of them is enough, the counts are in `kinds`
@@ -345,7 +351,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     binary, as a cut can part a character. Null and empty texts, and texts
     shorter than ``length``, stay as they are; an empty table gives no rows.
     """
-    ranges = written(repeated_ranges(docs, length, id_col=id_col, text_col=text_col, **options), "suffix-ranges")
+    ranges = distilled(docs.sparkSession, "suffix-ranges", lambda: repeated_ranges(
+        docs, length, id_col=id_col, text_col=text_col, **options))
     per_text = ranges.distinct().groupBy(F.col("doc_id").alias("__id__"), F.col("tkey").alias("__key__")).agg(
         F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     kind = docs.schema[id_col].dataType.simpleString()
