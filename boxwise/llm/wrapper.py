@@ -26,6 +26,7 @@ LEAST_PAGES = 4       # differing pages from which constant text counts as templ
 CONSTANT = 0.9        # share of them that has a template text
 ALIKE = 0.5           # pages that share this much text are copies, not evidence
 REGION = 0.9          # the region is the innermost element with this share of varying text
+SALTS = 32
 DEEPEST = 100         # levels of the layout that are told apart; deeper text counts to level 100
 
 # Elements and class, id or role words that are not main text.
@@ -202,8 +203,11 @@ def wrappers(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, url_col: str =
     rows = pages.select(host_of(url_col).alias("host"), F.col(html_col).alias("html")).where("host <> '' AND html IS NOT NULL")
     counts = rows.groupBy("host").agg(F.count("*").alias("n"))
     draw = F.pmod(F.xxhash64("html"), F.lit(1 << 40))
-    # thinned to about three samples a host before any window sees them
-    thin = rows.join(counts, "host").where(draw * F.col("n") < F.lit((1 << 40) * 3 * sample_pages).cast("decimal(38,0)"))
+    # thinned to about three samples a host before any window sees them; a host's
+    # pages meet its count in SALTS places
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int"))
+    counts = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    thin = rows.join(counts, ["host", "salt"]).where(draw * F.col("n") < F.lit((1 << 40) * 3 * sample_pages).cast("decimal(38,0)"))
     rank = F.row_number().over(W.partitionBy("host").orderBy("draw", "html"))
     sample = thin.withColumn("draw", draw).select("host", "html", "draw").distinct().withColumn("rank", rank).where(
         F.col("rank") <= sample_pages).select("host", "html")
