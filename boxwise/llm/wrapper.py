@@ -198,19 +198,26 @@ def host_of(url: str = "url"):
 
 
 def wrappers(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, wrapper JSON), from at most ``sample_pages`` pages of each host picked
-    by a hash of their text. Pages without a host are left out."""
-    rows = pages.select(host_of(url_col).alias("host"), F.col(html_col).alias("html")).where("host <> '' AND html IS NOT NULL")
-    counts = rows.groupBy("host").agg(F.count("*").alias("n"))
-    draw = F.pmod(F.xxhash64("html"), F.lit(1 << 40))
+    """(host, wrapper JSON), from at most ``sample_pages`` different pages of each
+    host picked by a hash of their text. Pages without a host are left out."""
+    rows = pages.select(host_of(url_col).alias("host"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).where(
+        "host <> '' AND html IS NOT NULL").withColumn("hash", F.xxhash64("html"))
+    # one narrow row for each different page of a host: copies neither count nor draw
+    different = rows.groupBy("host", "hash").agg(F.min("url").alias("url"))
+    counts = different.groupBy("host").agg(F.count("*").alias("n"))
     # thinned to about three samples a host before any window sees them; a host's
     # pages meet its count in SALTS places
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int"))
+    different = different.withColumn("draw", F.pmod("hash", F.lit(1 << 40))).withColumn(
+        "salt", F.pmod("hash", F.lit(SALTS)).cast("int"))
     counts = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    thin = rows.join(counts, ["host", "salt"]).where(draw * F.col("n") < F.lit((1 << 40) * 3 * sample_pages).cast("decimal(38,0)"))
-    rank = F.row_number().over(W.partitionBy("host").orderBy("draw", "html"))
-    sample = thin.withColumn("draw", draw).select("host", "html", "draw").distinct().withColumn("rank", rank).where(
-        F.col("rank") <= sample_pages).select("host", "html")
+    thin = different.join(counts, ["host", "salt"]).where(
+        F.col("draw").cast("decimal(13,0)") * F.col("n").cast("decimal(20,0)")
+        < F.lit((1 << 40) * 3 * sample_pages).cast("decimal(38,0)"))
+    rank = F.row_number().over(W.partitionBy("host").orderBy("draw", "hash"))
+    picked = thin.withColumn("rank", rank).where(F.col("rank") <= sample_pages).select("url", "hash")
+    # the url takes one of the copies; those of the same url too are one row again
+    sample = rows.join(picked, ["url", "hash"]).groupBy("url", "hash").agg(
+        F.first("host").alias("host"), F.first("html").alias("html")).select("host", "html")
 
     def run(key, frame):
         import pandas as pd

@@ -1,5 +1,6 @@
 """Page, url and vector operators on small tables, against brute force."""
 import datetime as dt
+import json
 import random
 
 import numpy as np
@@ -44,6 +45,18 @@ def test_copies_of_one_page_are_no_template():
     assert made["template"] == [] and wrapper.main_text(same, made) == ("long text " * 30).strip()
 
 
+def test_copies_do_not_thin_a_host_out(spark):
+    def words(i):
+        return " ".join("w%d" % (i * 1000 + k) for k in range(30))
+    rows = [(f"http://many.example/{i}", page(f"Title {i}", [words(i)])) for i in range(10)]
+    copied = [(f"http://many.example/copy{i}", page("Copied", [words(99)])) for i in range(4000)]
+    df = spark.createDataFrame(rows + copied + copied[:50], "url string, html string").repartition(4)
+    made = json.loads(wrapper.wrappers(df).collect()[0].wrapper)
+    assert "Subscribe today and save" in {t for _, t in made["template"]}
+    for i, (_, html) in enumerate(rows):
+        assert wrapper.main_text(html, made) == f"Title {i} {words(i)}"
+
+
 def test_tree_matching_is_the_largest_order_preserving_one():
     def tree(spec):
         b = Branch(spec[0])
