@@ -24,7 +24,7 @@ from boxwise.llm.dom import BLOCK, Branch, Node, parse, tree_matching
 SAMPLE_PAGES = 24     # pages of a host that its wrapper is induced from, at most
 LEAST_PAGES = 4       # differing pages from which constant text counts as template
 CONSTANT = 0.9        # share of them that has a template text
-ALIKE = 0.5           # pages that share this much text are copies, not evidence
+ALIKE = 0.95          # pages that share this much of their text outside constant blocks are copies, not evidence
 REGION = 0.9          # the region is the innermost element with this share of varying text
 SALTS = 32
 DEEPEST = 100         # levels of the layout that are told apart; deeper text counts to level 100
@@ -39,6 +39,7 @@ overlay share sharing social related recommended recommendations widget widgets
 copyright""".split())
 MAIN_TAGS = frozenset(("html", "body", "main", "article", "#"))
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+NUMBER = re.compile(r"\b\d+\b")  # views and times, which differ between copies
 
 
 def is_aside(node: Node) -> bool:
@@ -112,43 +113,69 @@ def reduced(items: list[tuple[tuple[str, ...], str]]) -> Branch:
     return root
 
 
+def differing(pages: list[list]) -> list[list]:
+    """The pages without copies. A copy has nearly the same text as a page already
+    taken, apart from numbers and from texts that nearly all different pages have: a
+    long boilerplate makes no copies of short articles, nor does the page that
+    lists an article."""
+    pages = [json.loads(x) for x in {json.dumps(items): None for items in pages if items}]
+    on: dict[str, int] = {}
+    for items in pages:
+        for t in {t for _, t in items}:
+            on[t] = on.get(t, 0) + 1
+    trees: list[tuple[set[str], int, list]] = []
+    for items in pages:
+        own = {NUMBER.sub("0", t) for t in {t for _, t in items} if on[t] < CONSTANT * len(pages)}
+        mass = sum(map(len, own))
+        if all(sum(len(t) for t in own & other) < ALIKE * max(mass, size) for other, size, _ in trees):
+            trees.append((own, mass, items))
+    return [[(tuple(path), text) for path, text in items] for _, _, items in trees]
+
+
+def merge(into: Branch, page: Branch, seen: dict[int, dict[str, int]]) -> None:
+    """Aligns a page's tree with the merged tree: matched nodes count the page and
+    its texts, the others are added beside their matched siblings."""
+    partner = {id(other): mine for mine, other in tree_matching(into, page)[1]}
+    todo = [(into, page)]
+    while todo:
+        mine, other = todo.pop()
+        count = seen.setdefault(id(mine), {})
+        for t in set(other.texts):
+            count[t] = count.get(t, 0) + 1
+        at = 0
+        for child in other.children:
+            match = partner.get(id(child))
+            if match is None:
+                match = Branch(child.label)
+                match.pages = 0
+                mine.children.insert(at, match)
+            at = next(i for i, c in enumerate(mine.children) if c is match) + 1
+            match.pages += 1
+            todo.append((match, child))
+
+
 def induce(pages: list[str]) -> dict:
     """The wrapper of some pages of one host: ``region`` (path) and ``template``
-    (path and text of constant blocks)."""
-    trees = []
-    for items in sorted((blocks(parse(p)) for p in pages), key=lambda x: (-len(x), x)):
-        own = {t for _, t in items}
-        mass = sum(map(len, own)) or 1
-        if items and all(sum(len(t) for t in own & other) < ALIKE * min(mass, size) for other, size, _ in trees):
-            trees.append((own, mass, items))
+    (path and text of constant blocks). A text is constant if nearly all of the
+    pages that have its node have it there, so every layout has its own template,
+    whichever page is the largest."""
+    trees = differing(sorted((blocks(parse(p)) for p in pages), key=lambda x: (-len(x), x)))
     if not trees:
         return {}
-    first = reduced(trees[0][2])
-    # texts of every node of the first page, and on how many pages its match has them
-    seen: dict[int, dict[str, int]] = {}
-    varying: dict[tuple[str, ...], int] = {}
-    paths: dict[int, tuple[str, ...]] = {}
-
-    def walk(branch: Branch, path: tuple[str, ...]):
-        paths[id(branch)] = path
-        seen[id(branch)] = dict.fromkeys(branch.texts, 1)
-        for c in branch.children:
-            walk(c, path + (c.label,))
-
-    walk(first, ("#",))
-    for _, _, items in trees[1:]:
-        for mine, other in tree_matching(first, reduced(items))[1]:
-            count = seen[id(mine)]
-            for t in set(other.texts):
-                if t in count:
-                    count[t] += 1
-    template, enough = [], len(trees) >= LEAST_PAGES
-    for key, count in seen.items():
-        for text, n in count.items():
-            if enough and n >= CONSTANT * len(trees):
-                template.append([list(paths[key]), text])
+    merged, seen = Branch("#"), {}
+    merged.pages = 0
+    for items in trees:
+        merged.pages += 1
+        merge(merged, reduced(items), seen)
+    template, todo = [], [(merged, ("#",))]
+    while todo:
+        branch, path = todo.pop()
+        if branch.pages >= LEAST_PAGES:
+            template += [[list(path), t] for t, n in seen[id(branch)].items() if n >= CONSTANT * branch.pages]
+        todo += [(c, path + (c.label,)) for c in reversed(branch.children)]
     fixed = {(tuple(p), t) for p, t in template}
-    for _, _, items in trees:
+    varying: dict[tuple[str, ...], int] = {}
+    for items in trees:
         for path, text in items:
             if (path, text) not in fixed:
                 for k in range(1, len(path) + 1):

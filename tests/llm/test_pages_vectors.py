@@ -57,6 +57,34 @@ def test_copies_do_not_thin_a_host_out(spark):
         assert wrapper.main_text(html, made) == f"Title {i} {words(i)}"
 
 
+def test_short_articles_under_long_boilerplate_have_a_template():
+    plates = ["Boiler %d " % k + "plate " * 100 for k in range(3)]
+    names = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta"]
+
+    def html(own):
+        return "<body>" + "".join(f"<div><div>{x}</div></div>" for x in plates) + f"<div class='own'><p>{own}</p></div></body>"
+    made = wrapper.induce([html(f"{n} is short") for n in names])
+    assert {t for _, t in made["template"]} == {" ".join(x.split()) for x in plates}
+    assert [wrapper.main_text(html(f"{n} is short"), made) for n in names] == [f"{n} is short" for n in names]
+    # the same text but for a number is still a copy
+    assert wrapper.induce([html(f"read {i} times") for i in range(8)])["template"] == []
+
+
+def test_every_layout_has_its_template():
+    names = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta"]
+
+    def article(n):
+        return f"<body><div class='a'><h1>{n}</h1><div class='x'>Read our magazine</div><p>text of {n} and more</p></div></body>"
+
+    def listing(n):
+        return "<body><div class='l'><h2>All entries</h2>" + "".join(
+            f"<h3>{n} {k}</h3><p>about {n} {k}</p>" for k in range(9)) + "</div></body>"
+    for listed in (1, 6):
+        made = wrapper.induce([article(n) for n in names] + [listing("list " + n) for n in names[:listed]])
+        assert [wrapper.main_text(article(n), made) for n in names] == [f"{n} text of {n} and more" for n in names]
+    assert "All entries" in {t for _, t in made["template"]}
+
+
 def test_tree_matching_is_the_largest_order_preserving_one():
     def tree(spec):
         b = Branch(spec[0])
