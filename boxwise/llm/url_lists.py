@@ -10,7 +10,8 @@ same pattern, the allow entry does.
 The join is on (pattern, month), an interval standing in every month it touches,
 so that a hot host is spread over the months it was fetched in, a pattern with a
 long history is not met by captures of other times, and a skewed partition can be
-split; each capture's own patterns are a handful of its own url.
+split; each capture's own patterns are a handful of its own url, with as many path
+segments as the deepest entry has.
 """
 
 from __future__ import annotations
@@ -19,8 +20,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from boxwise.llm.common import written
 
-PATH_SEGMENTS = 2  # leading path segments that a pattern may have
-
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """The host in lower case, without a leading ``www.`` and trailing dot, and the
@@ -32,9 +31,9 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, path
 
 
-def patterns_of(url: Column, segments: int = PATH_SEGMENTS) -> Column:
+def patterns_of(url: Column, segments: int) -> Column:
     """All patterns that cover a url: its host, the parent domains down to two
-    labels, and the host with its first path segments."""
+    labels, and the host with up to ``segments`` of its first path segments."""
     host, path = host_and_path(url)
     labels = F.split(host, r"\.")
     n = F.size(labels)
@@ -107,8 +106,11 @@ def judge_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page_
     intervals = validity_intervals(entries).where((F.col("since") <= hi) & (F.col("until").isNull() | (F.col("until") > lo)))
     intervals = intervals.withColumn("m", F.explode(F.sequence(
         month(F.greatest("since", lo)), month(F.least(F.coalesce(F.date_sub("until", 1), hi), hi)))))
+    intervals = written(intervals, "url-intervals")
+    # the deepest entry says how many path segments a url is looked up by
+    deepest = intervals.agg(F.max(F.size(F.split("pattern", "/")) - 1)).first()[0] or 0  # one row
     keyed = rows.where("fetched IS NOT NULL").select(
-        "uid", "fetched", month(F.col("fetched")).alias("m"), F.explode(patterns_of(F.col("url"))).alias("pattern"))
+        "uid", "fetched", month(F.col("fetched")).alias("m"), F.explode(patterns_of(F.col("url"), deepest)).alias("pattern"))
     hits = keyed.join(intervals, ["pattern", "m"]).where("fetched >= since AND (until IS NULL OR fetched < until)")
     best = hits.groupBy("uid").agg(F.max(F.struct(
         F.length("pattern").alias("length"), (F.col("list") == "allow").alias("allows"), "list", "pattern", "since")).alias("hit"))

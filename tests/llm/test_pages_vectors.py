@@ -149,6 +149,16 @@ def test_captures_meet_the_entries_of_their_day(spark):
     assert url_lists.block_listed(df, entries).count() == sum(r.verdict == "block" for r in got)
 
 
+def test_entries_of_any_depth_are_met(spark):
+    day = dt.date(2024, 1, 1)
+    entries = spark.createDataFrame([("block", "a.example/x/y/z", "add", day), ("allow", "a.example/x/y/z/1/2/3", "add", day)],
+                                    "list string, pattern string, action string, day date")
+    urls = {"http://a.example/x/y": "none", "http://a.example/x/y/z": "block", "http://a.example/x//y/z/1/2?q": "block",
+            "http://a.example/x/y/z/1/2/3/4": "allow", "http://a.example/": "none", "http://b.example/x/y/z": "none"}
+    df = spark.createDataFrame([(i, u, day) for i, u in enumerate(urls)], "page_id long, url string, fetched date")
+    assert {r.url: r.verdict for r in url_lists.judge_captures(df, entries).collect()} == urls
+
+
 def brute_nearest(rows, every, k):
     ok = [(i, np.array(v, float)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v)]
     out = {}
