@@ -134,8 +134,9 @@ def _matrix(column) -> np.ndarray:
     return values.reshape(len(column), -1)
 
 
-def _routed(shared, wanted: int, ratio: float):
-    """Rows (vec_id, embedding) -> (vec_id, embedding, list) for every list they go to."""
+def _routed(shared, wanted: int, ratio: float, sizes: np.ndarray | None = None, least: int = 0):
+    """Rows (vec_id, embedding) -> (vec_id, embedding, list) for every list they go
+    to: those within the ratio, and the nearest ones until they hold ``least`` rows."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         index = Centroids(*shared.value)
@@ -143,7 +144,9 @@ def _routed(shared, wanted: int, ratio: float):
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
                 best, dist = index.search(_matrix(part.column(1)), wanted)
-                keep = dist <= dist[:, :1] * ratio
+                keep = dist <= dist[:, :1] * ratio if math.isfinite(ratio) else np.ones(dist.shape, bool)
+                if sizes is not None:
+                    keep |= np.cumsum(sizes[best], axis=1) - sizes[best] < least
                 row, col = np.nonzero(keep)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)),
@@ -162,17 +165,21 @@ def _compared(k: int):
             ids, points = ids[order], np.stack(rows["embedding"].to_numpy())[order]
             asked, vectors = queries["query_id"].to_numpy(), np.stack(queries["embedding"].to_numpy())
             square = (points ** 2).sum(1)
+            starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
             for at in range(0, len(asked), 256):
                 near = square - 2 * vectors[at:at + 256] @ points.T + (vectors[at:at + 256] ** 2).sum(1)[:, None]
-                if len(ids) > k + 1:
-                    bound = np.partition(near, k, axis=1)[:, k]
+                if len(starts) > k + 1:
+                    # rows of one id are one candidate
+                    own = near if len(starts) == len(ids) else np.minimum.reduceat(near, starts, axis=1)
+                    bound = np.partition(own, k, axis=1)[:, k]
                 else:
                     bound = np.full(len(near), np.inf)
                 for i, (q, v) in enumerate(zip(asked[at:at + 256], vectors[at:at + 256])):
                     # rounding moves `near` by far less than this margin
                     found = np.flatnonzero((near[i] <= bound[i] + 1e-9 * (1 + square + (v ** 2).sum())) & (ids != q))
                     exact = np.sqrt(((points[found] - v) ** 2).sum(1))
-                    top = np.argsort(exact, kind="stable")[:k]
+                    top = np.argsort(exact, kind="stable")
+                    top = top[np.sort(np.unique(ids[found[top]], return_index=True)[1])[:k]]
                     out += [(q, ids[found[t]], exact[t]) for t in top]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
     return run
@@ -187,8 +194,9 @@ def nearest_neighbours(vectors: DataFrame, queries_every: int = 100, k: int = 10
     the smaller id, and a query is no answer to itself. All vectors are indexed;
     only the centroids come from a sample. Ids that occur on several rows count
     as one candidate, at its least distance, and as one query each, at its first
-    vector by value. Where there are at most k candidates in a query's lists
-    fewer rows come; an empty table gives none.
+    vector by value. A query whose lists hold fewer than k candidates is searched
+    again in more lists, at last in all, so fewer rows come only if the table has
+    fewer candidates; an empty table gives none.
     """
     spark = vectors.sparkSession
     rows = written(usable(vectors, id_col, vector_col), "ann-vectors")
@@ -207,22 +215,44 @@ def nearest_neighbours(vectors: DataFrame, queries_every: int = 100, k: int = 10
     plain = rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding")
     postings = written(plain.mapInArrow(_routed(shared, REPLICAS, REPLICA_RATIO), kind), "ann-postings")
     asked = plain.where(F.col("vec_id") % queries_every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    routed = written(asked.mapInArrow(_routed(shared, probes, probe_ratio), kind), "ann-routed")
-    # parts of each list, and parts of its queries: one row per list
-    parts = postings.groupBy("list").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
-    turns = routed.groupBy("list").agg(F.ceil(F.count("*") / PART_QUERIES).cast("int").alias("turns"))
-    plan = F.broadcast(written(parts.join(turns, "list"), "ann-lists"))  # at most MAX_LISTS rows
-    left = routed.join(plan, "list").select(
-        F.col("vec_id").alias("query_id"), "embedding", "list",
-        F.pmod(F.xxhash64("vec_id"), F.col("turns")).cast("int").alias("turn"),
-        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    right = postings.join(plan, "list").select(
-        "vec_id", "embedding", "list", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"),
-        F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"))
-    keys = ["list", "part", "turn"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        _compared(k), "query_id bigint, vec_id bigint, score double")
-    # a vector of several lists counts once; each (list, part) gave at most k rows
-    once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
-    return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    # rows of each list: at most MAX_LISTS rows
+    counts = written(postings.groupBy("list").agg(F.count("*").alias("n")), "ann-sizes")
+    sizes = np.zeros(len(centroids.points), np.int64)
+    for r in counts.collect():
+        sizes[r["list"]] = r["n"]
+
+    def searched(queries: DataFrame, probes: int, ratio: float) -> DataFrame:
+        """query_id, rank, vec_id, score of the nearest in the lists of each query."""
+        # a vector stands in REPLICAS lists at most, and the query itself is no answer
+        routed = written(queries.mapInArrow(_routed(shared, probes, ratio, sizes, (k + 1) * REPLICAS), kind), "ann-routed")
+        # parts of each list, and parts of its queries: one row per list
+        parts = counts.select("list", F.ceil(F.col("n") / PART_ROWS).cast("int").alias("parts"))
+        turns = routed.groupBy("list").agg(F.ceil(F.count("*") / PART_QUERIES).cast("int").alias("turns"))
+        plan = F.broadcast(written(parts.join(turns, "list"), "ann-lists"))  # at most MAX_LISTS rows
+        left = routed.join(plan, "list").select(
+            F.col("vec_id").alias("query_id"), "embedding", "list",
+            F.pmod(F.xxhash64("vec_id"), F.col("turns")).cast("int").alias("turn"),
+            F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        right = postings.join(plan, "list").select(
+            "vec_id", "embedding", "list", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"),
+            F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"))
+        keys = ["list", "part", "turn"]
+        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
+            _compared(k), "query_id bigint, vec_id bigint, score double")
+        # a vector of several lists counts once
+        once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+        rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
+        return written(once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "ann-found")
+
+    asked = written(asked, "ann-asked")
+    found = searched(asked, probes, probe_ratio)
+    wanted = min(k, plain.select("vec_id").distinct().count() - 1)
+    while probes < len(sizes):
+        full = found.where(F.col("rank") == wanted).select("query_id")
+        short = asked.join(full, F.col("vec_id") == F.col("query_id"), "left_anti") if wanted else asked.limit(0)
+        short = written(short, "ann-short")
+        if short.isEmpty():
+            break
+        probes *= 4
+        found = found.join(full, "query_id", "left_semi").select(found.columns).unionByName(searched(short, probes, math.inf))
+    return found

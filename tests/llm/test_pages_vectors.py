@@ -198,3 +198,20 @@ def test_few_vectors(spark):
     assert got == [(0, 1, 3, 1.0), (0, 2, 100, 1.414214), (100, 1, 3, 1.0), (100, 2, 0, 1.414214)]
     assert ann.nearest_neighbours(df.limit(0)).collect() == []
     assert ann.nearest_neighbours(df.where("vec_id = 0")).collect() == []
+
+
+def test_every_query_has_its_k_rows(spark):
+    rnd = np.random.default_rng(7)
+    rows = [(1 + i, rnd.normal(size=8)) for i in range(1, 2999) if (1 + i) % 100]
+    far, other = np.full(8, 1000.0), np.full(8, -1000.0)
+    rows += [(100, far), (200, other)]  # one alone, one among rows of a single id
+    rows += [(7, other + 0.1 * rnd.normal(size=8)) for _ in range(400)]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in ann.nearest_neighbours(df, list_rows=8, probes=8).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    assert {q: sorted(x) for q, x in got.items()} == {q: list(range(1, 11)) for q in (100, 200)}
+    assert got[200][1] == 7 and all(len(set(x.values())) == 10 for x in got.values())
+    one = spark.createDataFrame([(7, [1.0, float(i)]) for i in range(40)] + [(i, [9.0, float(i)]) for i in range(100, 112)],
+                                "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in ann.nearest_neighbours(one, list_rows=1000).collect()] == [*range(101, 110), 110]
