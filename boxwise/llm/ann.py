@@ -5,7 +5,8 @@ holds with a graph of their nearest neighbours. Every vector is written to the
 posting list of its nearest centroid and, if it lies near a boundary, to further
 lists almost as near. A query finds its nearest centroids by a walk over the
 graph, keeps those within a ratio of the nearest one's distance, and is compared
-with every vector of their lists in double precision. Lists that outgrow a task
+with every vector of their lists in double precision. How many lists and which
+ratio is measured in each run, on some queries compared with all vectors. Lists that outgrow a task
 are dealt out in parts, so a vector that a third of all rows share is no
 bottleneck.
 """
@@ -25,7 +26,8 @@ SAMPLE = 20_000        # vectors that the centroids are fitted on, at most
 LIST_ROWS = 160        # rows of a posting list that the number of lists aims at
 MAX_LISTS = 4_096      # centroids in memory, at most
 REPLICAS, REPLICA_RATIO = 6, 1.06
-PROBES, PROBE_RATIO = 128, 1.2
+PROBES, PROBE_RATIO = 128, 1.2  # at least; more where these miss RECALL
+RECALL, TRIALS = 0.95, 200      # recall wanted, and queries that it is measured on
 DEGREE, BEAM = 24, 32   # of the graph, and of a walk over it at least
 PART_ROWS, PART_QUERIES = 4_000, 2_000
 SEED = 17
@@ -185,6 +187,67 @@ def _compared(k: int):
     return run
 
 
+def _trials(ids: np.ndarray, vectors: np.ndarray, k: int):
+    """Rows (vec_id, embedding) -> the k nearest ids of a task's rows to each trial query."""
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        best: list[dict[int, float]] = [{} for _ in ids]
+        for batch in batches:
+            for start in range(0, batch.num_rows, 4000):
+                part = batch.slice(start, 4000)
+                own, points = np.array(part.column(0)), _matrix(part.column(1))
+                near = (points ** 2).sum(1) - 2 * vectors @ points.T
+                for i, q in enumerate(ids):
+                    held = best[i]
+                    bound = max(held.values()) if len(held) >= k else math.inf
+                    at = np.flatnonzero((near[i] < bound) & (own != q))
+                    for j in at[np.argsort(near[i, at], kind="stable")]:
+                        if len(held) >= k and near[i, j] >= bound:
+                            break
+                        held[int(own[j])] = min(float(near[i, j]), held.get(int(own[j]), math.inf))
+                        if len(held) > k:
+                            del held[max(held, key=held.get)]
+                        bound = max(held.values()) if len(held) >= k else math.inf
+        rows = [(int(q), v, s) for q, held in zip(ids, best) for v, s in held.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in enumerate((pa.int64(), pa.int64(), pa.float64()))],
+                                         names=["query_id", "vec_id", "score"])
+    return run
+
+
+def calibrated(plain: DataFrame, postings: DataFrame, asked: DataFrame, index: Centroids, sizes: np.ndarray, k: int,
+               probes: int, ratio: float) -> tuple[int, float]:
+    """The probes and ratio, at least the given ones, that read the fewest rows
+    among those that find RECALL of the true neighbours of some queries."""
+    trial = asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRIALS).toPandas()  # at most TRIALS rows
+    if not len(trial):
+        return probes, ratio
+    ids, vectors = trial["vec_id"].to_numpy(), np.stack(trial["embedding"].to_numpy())
+    near = plain.mapInArrow(_trials(ids, vectors, k), "query_id bigint, vec_id bigint, score double")
+    near = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
+    true = F.broadcast(near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "vec_id"))  # TRIALS * k rows
+    place = {int(q): i for i, q in enumerate(ids)}
+    # the lists of each true neighbour
+    lists: dict[tuple[int, int], list[int]] = {}
+    for r in postings.select("vec_id", "list").join(true, "vec_id").distinct().collect():
+        lists.setdefault((place[r["query_id"]], r["vec_id"]), []).append(r["list"])
+    best, rows = None, 0.0
+    while True:
+        order, dist = index.search(vectors, probes)
+        for r in (ratio, *(x for x in (1.25, 1.3, 1.4, 1.5, 2.0) if x > ratio), math.inf):
+            keep = dist <= dist[:, :1] * r if math.isfinite(r) else np.ones(dist.shape, bool)
+            keep |= np.cumsum(sizes[order], axis=1) - sizes[order] < (k + 1) * REPLICAS
+            read = np.zeros((len(ids), len(sizes)), bool)
+            np.put_along_axis(read, order, keep, 1)
+            hit = sum(bool(read[q, own].any()) for (q, _), own in lists.items())
+            cost = float((sizes * read).sum())
+            if hit >= RECALL * len(lists) and (best is None or cost < rows):
+                best, rows = (probes, r), cost
+        if probes >= len(sizes):
+            return best or (probes, math.inf)
+        probes = min(len(sizes), probes * 2)
+
+
 def nearest_neighbours(vectors: DataFrame, queries_every: int = 100, k: int = 10, sample: int = SAMPLE,
                        list_rows: int = LIST_ROWS, probes: int = PROBES, probe_ratio: float = PROBE_RATIO,
                        id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -194,7 +257,8 @@ def nearest_neighbours(vectors: DataFrame, queries_every: int = 100, k: int = 10
     the smaller id, and a query is no answer to itself. All vectors are indexed;
     only the centroids come from a sample. Ids that occur on several rows count
     as one candidate, at its least distance, and as one query each, at its first
-    vector by value. A query whose lists hold fewer than k candidates is searched
+    vector by value. ``probes`` and ``probe_ratio`` are the least; they grow until
+    RECALL of the true neighbours is found. A query whose lists hold fewer than k candidates is searched
     again in more lists, at last in all, so fewer rows come only if the table has
     fewer candidates; an empty table gives none.
     """
@@ -245,6 +309,7 @@ def nearest_neighbours(vectors: DataFrame, queries_every: int = 100, k: int = 10
         return written(once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "ann-found")
 
     asked = written(asked, "ann-asked")
+    probes, probe_ratio = calibrated(plain, postings, asked, centroids, sizes, k, probes, probe_ratio)
     found = searched(asked, probes, probe_ratio)
     wanted = min(k, plain.select("vec_id").distinct().count() - 1)
     while probes < len(sizes):

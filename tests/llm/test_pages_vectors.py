@@ -212,6 +212,17 @@ def test_every_query_has_its_k_rows(spark):
         got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
     assert {q: sorted(x) for q, x in got.items()} == {q: list(range(1, 11)) for q in (100, 200)}
     assert got[200][1] == 7 and all(len(set(x.values())) == 10 for x in got.values())
-    one = spark.createDataFrame([(7, [1.0, float(i)]) for i in range(40)] + [(i, [9.0, float(i)]) for i in range(100, 112)],
+    one = spark.createDataFrame([(7, [9.0, 100 + i / 100]) for i in range(40)] + [(i, [9.0, float(i)]) for i in range(100, 112)],
                                 "vec_id long, embedding array<double>")
-    assert [r.vec_id for r in ann.nearest_neighbours(one, list_rows=1000).collect()] == [*range(101, 110), 110]
+    assert [r.vec_id for r in ann.nearest_neighbours(one, list_rows=1000).collect()] == [7, *range(101, 110)]
+
+
+def test_probes_follow_the_recall(spark):
+    rnd = np.random.default_rng(9)
+    points = rnd.normal(size=(6000, 32))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(points)], "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in ann.nearest_neighbours(df, list_rows=10, probes=4).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute_nearest([(i, list(v)) for i, v in enumerate(points)], 100, 10)
+    assert sum(len(got[q] & {i for _, i in near}) for q, near in want.items()) >= 0.9 * 10 * len(want)
