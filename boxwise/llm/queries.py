@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from boxwise.llm import ann, bpe, exact_dedup, mixing, near_dedup, sharding, suffix_dedup, toxicity, url_lists, wrapper
+from boxwise.llm import (
+    ann, bpe, exact_dedup, merkle, mixing, near_dedup, sharding, suffix_dedup, toxicity, url_lists, wrapper)
 from boxwise.llm.common import table
 
 QUERIES = {}
@@ -151,3 +152,57 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
   row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST) = 1 AS kept, text_sha256
 FROM n WINDOW g AS (PARTITION BY text_sha256)
 """
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audited(table(spark, sf_dir, "documents")).drop("proof")
+
+
+# Levels as lists of digests, one row a tree; a proof walks them from its leaf.
+_TREE = """
+{name}(g, level, d) AS (
+  SELECT g, 0, list(digest ORDER BY place) FROM {leaves} GROUP BY g
+  UNION ALL
+  SELECT g, level + 1, list_transform(range((len(d) + 7) // 8), lambda i: sha256(array_to_string(d[i * 8 + 1:i * 8 + 8], '')))
+  FROM {name} WHERE len(d) > 1)"""
+_PROOF = """
+  SELECT p.uid, p.g, p.level + 1, p.place // 8, p.proof || array_to_string(t.d[r + 1:p.place], '') || array_to_string(t.d[p.place + 2:r + 8], ''),
+    sha256(array_to_string(t.d[r + 1:p.place], '') || p.folded || array_to_string(t.d[p.place + 2:r + 8], ''))
+  FROM (SELECT *, place // 8 * 8 AS r FROM {name}) p JOIN {tree} t ON t.g = p.g AND t.level = p.level WHERE len(t.d) > 1"""
+_FIELD = "CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR END"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_FIELD.format(c=c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+ORACLE["op11_merkle_manifest"] = f"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)),
+      lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c
+    FROM range(256) r(i))),
+raw AS (SELECT doc_id, lang, {_leaf("text")} AS digest, {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS forged,
+    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda c, v: xor(t[(xor(c, v) & 255) + 1], c >> 8))) % 3 = 0 AS hit
+  FROM documents, crc_table),
+leaf AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) AS g,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, digest) - 1 AS place,
+    row_number() OVER () AS uid FROM raw),
+{_TREE.format(name="tree", leaves="leaf")},
+subroot AS (SELECT 0 AS g, g AS own, row_number() OVER (ORDER BY g) - 1 AS place, d[1] AS digest FROM tree WHERE len(d) = 1),
+{_TREE.format(name="over_tree", leaves="subroot")},
+low(uid, g, level, place, proof, folded) AS (
+  SELECT uid, g, 0, place, '', CASE WHEN hit THEN forged ELSE digest END FROM leaf
+  UNION ALL {_PROOF.format(name="low", tree="tree")}),
+high(uid, g, level, place, proof, folded) AS (
+  SELECT l.uid, 0::BIGINT, 0, s.place, l.proof, l.folded
+  FROM (SELECT uid, g, arg_max(proof, level) AS proof, arg_max(folded, level) AS folded FROM low GROUP BY uid, g) l JOIN subroot s ON s.own = l.g
+  UNION ALL {_PROOF.format(name="high", tree="over_tree")}),
+ends AS (SELECT uid, arg_max(proof, level) AS proof, arg_max(folded, level) AS folded FROM high GROUP BY uid),
+root AS (SELECT d[1] AS root FROM over_tree WHERE len(d) = 1)
+SELECT f.doc_id, f.digest AS leaf, s.digest AS subroot, r.root, sha256(e.proof) AS proof_sha256, e.folded AS folded_root,
+  e.folded = r.root AS verified
+FROM leaf f JOIN ends e ON e.uid = f.uid JOIN subroot s ON s.own = f.g, root r
+"""
