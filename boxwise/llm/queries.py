@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from boxwise.llm import (
-    ann, bpe, exact_dedup, merkle, mixing, near_dedup, sharding, suffix_dedup, toxicity, url_lists, wrapper)
+    ann, bpe, exact_dedup, merkle, mixing, near_dedup, sharding, suffix_dedup, toxicity, url_lists, whitening, wrapper)
 from boxwise.llm.common import table
 
 QUERIES = {}
@@ -206,3 +206,11 @@ SELECT f.doc_id, f.digest AS leaf, s.digest AS subroot, r.root, sha256(e.proof)
   e.folded = r.root AS verified
 FROM leaf f JOIN ends e ON e.uid = f.uid JOIN subroot s ON s.own = f.g, root r
 """
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return rows.select("vec_id", "n", F.col("deviation").try_cast("bigint").alias("deviation"), "identity_error",
+                       F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c")).select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error")
