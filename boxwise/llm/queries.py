@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from boxwise.llm import (
-    ann, bpe, exact_dedup, merkle, mixing, near_dedup, sharding, suffix_dedup, toxicity, url_lists, whitening, wrapper)
+    ann, bpe, exact_dedup, merkle, mixing, near_dedup, parity_join, sharding, suffix_dedup, toxicity, url_lists, whitening, wrapper)
 from boxwise.llm.common import table
 
 QUERIES = {}
@@ -208,6 +208,11 @@ FROM leaf f JOIN ends e ON e.uid = f.uid JOIN subroot s ON s.own = f.g, root r
 """
 
 
+@query
+def op12_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.linked_components(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
