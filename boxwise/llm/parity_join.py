@@ -33,9 +33,11 @@ from boxwise.llm.dart_sketch import GOLDEN, MIX1, MIX2, Shingler, U, mixed
 
 WORDS, PERCENT = 5, 80
 FACTOR = 4           # of the sizes of a band
+CACHED = 200_000     # words whose hashes a task keeps
 SPARE = 1.35         # chunks per unit of the largest budget of a band
 SMALL_CHUNK = 8      # nodes up to which all pairs are listed
 BLOCK_ROWS, BLOCK_COLS = 1_000, 4_000  # nodes of a block of sketches
+BLOCK_BYTES = 16 << 20  # of sketches compared in one go
 TOGETHER = 256       # pairs of one node that share a copy of its payload
 
 
@@ -91,7 +93,7 @@ def _sketches(words: int, percent: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import xxhash
-        shingle = Shingler(words)
+        shingle = Shingler(words, cache=CACHED)
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
@@ -107,7 +109,7 @@ def _sketches(words: int, percent: int):
                         at.append(i)
                         out.append((digest, len(elements), band, dense_sketch(elements, band),
                                     kept_chunks(elements, band, percent).tobytes()))
-                rows = part.take(pa.array(at, pa.int64()))
+                rows = part.select(["uid", "doc_id", "tkey"]).take(pa.array(at, pa.int64()))
                 digests, sizes, bands, dense, chunks = zip(*out)
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0), rows.column(1), rows.column(2), pa.array(digests, pa.string()), pa.array(sizes, pa.int64()),
@@ -125,7 +127,7 @@ def _chunk_rows(batches: Iterator) -> Iterator:
         for start in range(0, batch.num_rows, 500):
             part = batch.slice(start, 500)
             chunks = [np.frombuffer(c.as_py(), np.int64) for c in part.column(3)]
-            rows = part.take(pa.array(np.repeat(np.arange(len(chunks)), [len(c) for c in chunks])))
+            rows = part.select(["node", "band", "own"]).take(pa.array(np.repeat(np.arange(len(chunks)), [len(c) for c in chunks])))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(chunks)), rows.column(0), rows.column(1), rows.column(2)],
                 names=["chunk", "node", "band", "own"])
@@ -157,7 +159,7 @@ def _elements(words: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import xxhash
-        shingle = Shingler(words)
+        shingle = Shingler(words, cache=CACHED)
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
@@ -204,25 +206,31 @@ def _similar(percent: int):
 
 def _apart(percent: int, closest: bool):
     """Pairs of nodes of different components in a block that the sketches allow: all,
-    or for every node the closest one of each other component."""
+    or for every node the closest one of each other component (``again``: there are
+    more)."""
     def run(key, some, every):
         import numpy as np
         import pandas as pd
         out = []
         if len(some) and len(every):
-            dense = np.stack([np.frombuffer(bytes(d), np.uint64) for d in every["dense"]])
-            node, root, size, own, inmain = (every[c].to_numpy() for c in ("node", "root", "size", "own", "inmain"))
-            for a, ra, na, mine, d in zip(*(some[c] for c in ("node", "root", "size", "own", "dense"))):
-                at = np.flatnonzero((root != ra) & (inmain | (node > a)) & (own | mine) & (
-                    100 * np.minimum(size, na) >= percent * np.maximum(size, na)))
-                apart = np.bitwise_count(dense[at] ^ np.frombuffer(bytes(d), np.uint64)).sum(1)
-                able = apart <= (size[at] + na) * (100 - percent) // (100 + percent)
-                at, apart = at[able], apart[able]
-                if closest:
-                    at = at[np.argsort(apart, kind="stable")]
-                    at = at[np.unique(root[at], return_index=True)[1]]
-                out += [(min(a, b), max(a, b)) for b in node[at]]
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+            ours, theirs = (np.stack([np.frombuffer(bytes(d), np.uint64) for d in t["dense"]]) for t in (some, every))
+            mine, yours = ({c: t[c].to_numpy() for c in ("node", "root", "size", "own", "inmain")} for t in (some, every))
+            step = max(1, BLOCK_BYTES // theirs.nbytes)
+            for start in range(0, len(some), step):
+                m = {c: v[start:start + step, None] for c, v in mine.items()}
+                i, j = np.nonzero((m["root"] != yours["root"]) & (yours["inmain"] | (yours["node"] > m["node"])) & (
+                    yours["own"] | m["own"]) & (100 * np.minimum(yours["size"], m["size"]) >= percent * np.maximum(yours["size"], m["size"])))
+                i += start
+                apart = np.bitwise_count(ours[i] ^ theirs[j]).sum(1)
+                able = apart <= (mine["size"][i] + yours["size"][j]) * (100 - percent) // (100 + percent)
+                pairs = pd.DataFrame({"a": mine["node"][i[able]], "b": yours["node"][j[able]], "root": yours["root"][j[able]],
+                                      "apart": apart[able]})
+                if len(pairs):
+                    pairs["again"] = pairs.duplicated(["a", "root"], keep=False) if closest else False
+                    out.append(pairs.sort_values("apart").drop_duplicates(["a", "root"]) if closest else pairs)
+        found = pd.concat(out, ignore_index=True) if out else pd.DataFrame({"a": [], "b": [], "again": []})
+        return pd.DataFrame({"chunk": np.full(len(found), key[0], np.int64), "a": np.minimum(found["a"], found["b"]).astype("int64"),
+                             "b": np.maximum(found["a"], found["b"]).astype("int64"), "again": found["again"].astype(bool)})
     return run
 
 
@@ -325,9 +333,13 @@ def linked_components(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
         every = every.select(*[F.col(c).alias(c) for c in every.columns])  # columns of its own for the cogroup
         keys = ["chunk", "row", "col"]
         more = written(some.groupBy(*keys).cogroup(every.groupBy(*keys)).applyInPandas(
-            _apart(percent, closest), "a bigint, b bigint").distinct(), "parity-apart")
-        links = written(links.union(linked(more, f"more-{closest}")), "parity-links")
-        label = components(links, f"parity-{closest}")
+            _apart(percent, closest), "chunk bigint, a bigint, b bigint, again boolean"), "parity-apart")
+        found = linked(more.select("a", "b").distinct(), f"more-{closest}")
+        if not found.isEmpty():
+            links = written(links.union(found), "parity-links")
+            label = components(links, f"parity-{closest}")
+        # only chunks in which a node had several partners in a component go on
+        large = large.join(more.where("again").select("chunk").distinct(), "chunk", "left_semi")
 
     out = of.join(label, "node", "left").select(
         "doc_id", F.col("size").alias("n_shingles"), F.coalesce("root", "node").alias("root"))
