@@ -26,6 +26,9 @@ COLUMNS = {
     "op8": {"doc_id", "size", "source_size", "target", "taken"},
     "op9": {"query_id", "rank", "vec_id", "score"},
     "op10": {"doc_id", "keep_id", "group_size", "kept", "text_sha256"},
+    "op11": {"doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"},
+    "op12": {"doc_id", "n_shingles", "component_id"},
+    "op13": {"vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"},
 }
 
 
@@ -43,7 +46,7 @@ def test_query(spark, name):
     docs, pages = rows_of("documents"), rows_of("pages")
     if n in ("op1", "op2"):
         assert sorted(r.page_id for r in rows) == sorted(p["page_id"] for p in pages)
-    elif n != "op9":
+    elif n not in ("op9", "op13"):
         assert sorted(r.doc_id for r in rows) == sorted(d["doc_id"] for d in docs)
     CHECKS.get(n, lambda rows, docs: None)(rows, docs)
 
@@ -109,7 +112,78 @@ def check_toxic(rows, docs):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
 
 
-CHECKS = {"op5": check_repeats, "op8": check_mix, "op6": check_near, "op7": check_toxic}
+def check_manifest(rows, docs):
+    """The trees rebuilt level by level, and every proof from its leaf."""
+    def field(v):
+        return "-" if v is None else f"{len(str(v).encode())}:{v}"
+
+    def sha(s):
+        return hashlib.sha256(s.encode()).hexdigest()
+
+    def leaf(d, text):
+        return sha("".join(map(field, (d["doc_id"], d["source"], d["lang"], d["n_chars"], text))))
+
+    def grow(level):
+        levels = [level]
+        while len(levels[-1]) > 1:
+            levels.append([sha("".join(levels[-1][i:i + 8])) for i in range(0, len(levels[-1]), 8)])
+        return levels
+
+    def climb(levels, at, node, proof):
+        for level in levels[:-1]:
+            run, own = level[at // 8 * 8:at // 8 * 8 + 8], at % 8
+            proof += run[:own] + run[own + 1:]
+            node, at = sha("".join(run[:own] + [node] + run[own + 1:])), at // 8
+        return node
+
+    trees, members = {}, defaultdict(list)
+    for d in sorted(docs, key=lambda d: d["doc_id"]):
+        members[d["lang"]].append(d)
+    langs = sorted(members, key=lambda v: (v is not None, (v or "").encode()))
+    for lang in langs:
+        trees[lang] = grow([leaf(d, d["text"]) for d in members[lang]])
+    over = grow([trees[lang][-1][0] for lang in langs])
+    want = {}
+    for g, lang in enumerate(langs):
+        for at, d in enumerate(members[lang]):
+            hit = zlib.crc32(str(d["doc_id"]).encode()) % 3 == 0 and d["text"] is not None
+            text = re.sub("[A-Z]", lambda m: m[0].lower(), d["text"]) if hit else d["text"]
+            proof = []
+            top = climb(over, g, climb(trees[lang], at, leaf(d, text), proof), proof)
+            want[d["doc_id"]] = (trees[lang][0][at], trees[lang][-1][0], over[-1][0], sha("".join(proof)), top, top == over[-1][0])
+    assert {r.doc_id: (r.leaf, r.subroot, r.root, r.proof_sha256, r.folded_root, r.verified) for r in rows} == want
+    assert {r.verified for r in rows} == {True, False}
+
+
+def check_join(rows, docs):
+    from test_parity_join import brute
+    assert sorted((tuple(r[c] for c in ("doc_id", "n_shingles", "component_id")) for r in rows), key=repr) == brute(
+        [(d["doc_id"], d["text"]) for d in docs])
+
+
+def check_white(rows, docs):
+    """Against a decomposition of the whole matrix."""
+    import numpy as np
+    own = [(v["vec_id"], v["embedding"]) for v in rows_of("embeddings") if v["embedding"]
+           and all(c is not None and np.isfinite(c) for c in v["embedding"])]
+    x = np.floor(64 * np.array([v for _, v in own], float)).astype(np.int64) + 1000000
+    n, at = len(own), {v: i for i, (v, _) in enumerate(own)}
+    centred = x - x.sum(0) / n
+    values, units = np.linalg.eigh(centred.T @ centred / n)
+    share, units, values = (values / values.sum())[::-1], units[:, ::-1], values[::-1]
+    exact = [sum((n * int(c) - int(s)) ** 2 for c, s in zip(v, x.sum(0))) for v in x]
+    got = np.zeros((n, 32))
+    assert Counter(r.component for r in rows) == {c: n for c in range(1, 33)}
+    for r in rows:
+        got[at[r.vec_id], r.component - 1] = r.whitened
+        assert r.n == n and r.deviation == exact[at[r.vec_id]] and r.identity_error < 1e-4
+        assert abs(r.explained / share[r.component - 1] - 1) < 1e-4
+    want = centred @ units[:, :32] / np.sqrt(values[:32])
+    signs = np.sign((want * got).sum(0))
+    assert np.abs(want * signs - got).max() < 1e-6
+
+
+CHECKS = {"op11": check_manifest, "op12": check_join, "op13": check_white, "op5": check_repeats, "op8": check_mix, "op6": check_near, "op7": check_toxic}
 
 
 def test_pipeline_stages(spark):
