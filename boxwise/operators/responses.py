@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxwise.functions.answers import py_strip
@@ -23,13 +23,11 @@ def resolve_attempts(log: DataFrame, max_retry: int = 30, request_col: str = "re
                      body_col: str = "body") -> DataFrame:
     """Outcome of each request from its attempt log.
 
-    Two aggregations instead of a window per request, so a request with a
-    huge log is combined map-side instead of sorted in one task:
-
-    1. per request: the first terminal attempt (``min`` of a struct led by
-       the sequence number) and the number of logged attempts;
-    2. attempts logged before that terminal one (join on the request key, then
-       a partial count).
+    The log is read once. An attempt counts if fewer than ``max_retry`` attempts
+    of its request come before it; the rank limit is applied on each side of the
+    exchange, so that a request with a huge log sends at most ``max_retry``
+    attempts (and ties) from each partition. Only deciding attempts carry their
+    body, and the aggregate that follows keeps the window's partitioning.
 
     outcome: ``ok`` (first 200 within ``max_retry`` attempts; content = body,
     ``''`` when absent), ``client_error`` (content ``\\boxed{text}``),
@@ -37,25 +35,22 @@ def resolve_attempts(log: DataFrame, max_retry: int = 30, request_col: str = "re
     (the log ends earlier).
     """
     rid, seq = F.col(request_col), F.col(seq_col)
-    marked = log.select(rid.alias("request_id"), seq.alias("seq"), F.col(status_col).alias("status"),
-                        F.col(body_col).alias("body"), _terminal(status_col, body_col).alias("term"))
-    first = marked.groupBy("request_id").agg(
-        F.min(F.when(F.col("term"), F.struct("seq", "status", "body"))).alias("t"),
-        F.count(F.lit(1)).alias("n_logged"))
-    before = (marked.select("request_id", "seq")
-              .join(first.select("request_id", F.col("t.seq").alias("t_seq")), "request_id")
-              .where(F.col("t_seq").isNull() | (F.col("seq") < F.col("t_seq")))
-              .groupBy("request_id").agg(F.count(F.lit(1)).alias("n_before")))
-    r = first.join(before, "request_id", "left").withColumn("n_before", F.coalesce("n_before", F.lit(0)))
-    resolved = F.col("t").isNotNull() & (F.col("n_before") < max_retry)
+    term = _terminal(status_col, body_col)
+    marked = log.select(rid.alias("request_id"), seq.alias("seq"), term.alias("term"),
+                        *[F.when(term, F.col(c)).alias(n) for c, n in ((status_col, "status"), (body_col, "body"))])
+    nth = F.rank().over(Window.partitionBy("request_id").orderBy("seq"))
+    tried = marked.withColumn("nth", nth).where(F.col("nth") <= max_retry)
+    r = tried.groupBy("request_id").agg(
+        F.min(F.when(F.col("term"), F.struct("nth", "status", "body"))).alias("t"),
+        F.least(F.count(F.lit(1)), F.lit(max_retry)).alias("n_tried"))
+    resolved = F.col("t").isNotNull()
     outcome = (F.when(resolved & (F.col("t.status") == 200), F.lit("ok"))
                .when(resolved, F.lit("client_error"))
-               .when(F.col("n_logged") >= max_retry, F.lit("failed"))
+               .when(F.col("n_tried") >= max_retry, F.lit("failed"))
                .otherwise(F.lit("incomplete")))
     content = (F.when(resolved & (F.col("t.status") == 200), F.coalesce(F.col("t.body"), F.lit("")))
                .when(resolved, F.concat(F.lit("\\boxed{"), F.col("t.body"), F.lit("}"))))
-    used = (F.when(resolved, F.col("n_before") + 1)
-            .otherwise(F.least(F.col("n_logged"), F.lit(max_retry)))).cast("bigint")
+    used = F.when(resolved, F.col("t.nth")).otherwise(F.col("n_tried")).cast("bigint")
     return r.select(F.col("request_id").alias(request_col), outcome.alias("outcome"), content.alias("content"),
                     used.alias("attempts_used"),
                     F.when(resolved, F.col("t.status")).cast("int").alias("final_status"))

@@ -4,15 +4,19 @@ The reference loads a pretrained subword tokenizer. Here tokens are regex
 words and single symbols, counted over the corpus: ids 0 (pad/unknown),
 1 (BOS), 2 (EOS), then 3... by (count desc, token asc) up to ``vocab_size``.
 
-Encoding plan: tokens are exploded with their position; only the key and the
-few narrow columns a caller asks for travel with them. They are looked up in
-the vocabulary -- broadcast when its counted rows are few enough, else a join
-whose frequent tokens are spread over salted copies of their vocabulary rows --
-and regrouped by key. The text itself is never shuffled or joined back.
+Encoding plan: a vocabulary of bounded, counted size is sent to every task and
+probed in place, one lookup of the flattened tokens for each Arrow batch, so a row
+is encoded where it is read: nothing is exploded, shuffled or joined back. A larger
+vocabulary is joined: tokens are exploded with their position, the frequent ones
+spread over salted copies of their vocabulary rows, and regrouped by key; only the
+key and the few narrow columns a caller asks for travel with them.
 """
 
 from __future__ import annotations
 
+from typing import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +31,9 @@ FIRST_ID = 3
 IGNORE_INDEX = -100
 # Letters/digits/underscore runs, or one other non-space character.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_ \t\n\x0B\f\r]"
-# Largest vocabulary (rows, counted) shipped to every task; a larger one is joined.
+# Largest vocabulary (rows and bytes, counted) shipped to every task; a larger one is joined.
 MAX_BROADCAST_VOCAB = 500_000
+MAX_BROADCAST_BYTES = 64 << 20
 SALTS = 16  # copies of each vocabulary row in that join
 
 
@@ -68,28 +73,58 @@ def build_vocab(df: DataFrame, text_cols: list[str], vocab_size: int | None = No
     return top.select("token", (F.row_number().over(w) + FIRST_ID - 1).cast("int").alias("id"), "n")
 
 
-def _looked_up(toks: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Tokens with their vocabulary id (null if unknown)."""
-    v = vocab.select("token", "id")
-    if v.limit(MAX_BROADCAST_VOCAB + 1).count() <= MAX_BROADCAST_VOCAB:
-        return toks.join(F.broadcast(v), "token", "left")
-    v = v.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+def _fits(vocab: DataFrame) -> bool:
+    """Whether the vocabulary is small enough to be sent to every task."""
+    size = vocab.limit(MAX_BROADCAST_VOCAB + 1).agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("token")), F.lit(0)).alias("bytes")).first()
+    return size.n <= MAX_BROADCAST_VOCAB and size.bytes <= MAX_BROADCAST_BYTES
+
+
+def _lookup(vocab: DataFrame):
+    """A function of a token array column that gives the ids, unknown tokens as
+    ``UNK_ID``; for a vocabulary that ``_fits``."""
+    entries = vocab.sparkSession.sparkContext.broadcast(vocab.toArrow().combine_chunks().to_pydict())
+
+    @F.arrow_udf("array<int>")
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import pyarrow.compute as pc
+        known = pa.array(entries.value["token"], pa.string())
+        # the id of an unknown token stands behind those of the known ones
+        numbers = pa.array([*entries.value["id"], UNK_ID], pa.int32())
+        for column in batches:
+            place = pc.fill_null(pc.index_in(column.flatten().cast(pa.string()), known), len(known))
+            ends = pc.cumulative_sum(pc.list_value_length(column).cast(pa.int32()))
+            yield pa.ListArray.from_arrays(pa.concat_arrays([pa.array([0], pa.int32()), ends]), numbers.take(place))
+
+    return ids
+
+
+def _joined_ids(rows: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``rows`` (key and narrow columns, ``_tokens``) with ``_ids`` for ``_tokens``, by a join."""
+    more = [c for c in rows.columns if c != "_tokens"]
+    salted = vocab.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    toks = rows.select(*more, F.posexplode_outer("_tokens").alias("_pos", "token"))
     toks = toks.withColumn("_salt", F.pmod(F.coalesce(F.col("_pos"), F.lit(0)), F.lit(SALTS)))
-    return toks.join(v, ["token", "_salt"], "left").drop("_salt")
+    found = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce(F.col("id"), F.lit(UNK_ID)).alias("id")))
+    grouped = toks.join(salted, ["token", "_salt"], "left").groupBy(*more).agg(F.array_sort(F.collect_list(found)).alias("_found"))
+    return grouped.select(*more, F.transform("_found", lambda x: x["id"]).alias("_ids"))
 
 
 def encode(df: DataFrame, text_col: str, vocab: DataFrame, key: str | list[str], out: str = "input_ids",
            max_len: int | None = None, add_bos: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """T5: (key columns, ``keep`` columns, ``out`` = [BOS] + token ids, truncated
-    to ``max_len`` ids). The key columns together identify a row; ``keep`` is for
-    narrow columns of it."""
+    to ``max_len`` ids). A null text has no tokens. With a vocabulary too large to
+    send, the key columns together must identify a row; ``keep`` is for narrow
+    columns of it."""
     keys = [key] if isinstance(key, str) else list(key)
-    rows = df.select(*keys, *keep, tokens(text_col).alias("_tokens"))
+    words = F.coalesce(tokens(text_col), F.array().cast("array<string>"))
     if max_len is not None:
-        rows = rows.withColumn("_tokens", F.slice("_tokens", 1, max_len - (1 if add_bos else 0)))
-    toks = rows.select(*keys, *keep, F.posexplode_outer("_tokens").alias("_pos", "token"))
-    known = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce(F.col("id"), F.lit(UNK_ID)).alias("id")))
-    grouped = _looked_up(toks, vocab).groupBy(*keys, *keep).agg(F.array_sort(F.collect_list(known)).alias("_ids"))
-    body = F.transform("_ids", lambda x: x["id"])
-    full = F.concat(F.array(F.lit(BOS_ID)), body) if add_bos else body
-    return grouped.select(*keys, *keep, full.cast("array<int>").alias(out))
+        words = F.slice(words, 1, max_len - (1 if add_bos else 0))
+    rows = df.select(*keys, *keep, words.alias("_tokens"))
+    vocab = vocab.select("token", "id")
+    if _fits(vocab):
+        rows = rows.withColumn("_ids", _lookup(vocab)("_tokens"))
+    else:
+        rows = _joined_ids(rows, vocab)
+    full = F.concat(F.array(F.lit(BOS_ID)), F.col("_ids")) if add_bos else F.col("_ids")
+    return rows.select(*keys, *keep, full.cast("array<int>").alias(out))

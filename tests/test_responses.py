@@ -79,3 +79,16 @@ def test_reason_is_parsed_once(spark):
     v = responses.validate_candidates(df).where("not valid").select("reason")
     plan = v._jdf.queryExecution().optimizedPlan().toString()
     assert plan.lower().count("parse_json") + plan.count("parseJson") <= 4
+
+
+def test_resolve_attempts_reads_the_log_once(spark):
+    """A long log against a walk over its attempts, with attempts of equal numbers."""
+    rows = [("long", i, 200 if i == 777 else 500, "b777" if i == 777 else "busy") for i in range(1000)]
+    rows += [("tied", 1, 500, "x"), ("tied", 1, 200, "y"), ("tied", 2, 200, "z"), ("late", 1, None, None), ("late", 3, 200, None)]
+    log = spark.createDataFrame(rows, "request_id string, attempt_seq int, status int, body string")
+    got = {r.request_id: tuple(r)[1:] for r in responses.resolve_attempts(log, 5).collect()}
+    assert got == {"long": ("failed", None, 5, None), "tied": ("ok", "y", 1, 200), "late": ("ok", "", 2, 200)}
+    got = {r.request_id: tuple(r)[1:] for r in responses.resolve_attempts(log, 800).collect()}
+    assert got["long"] == ("ok", "b777", 778, 200)
+    plan = responses.resolve_attempts(log, 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("WindowGroupLimit") == 2 and "Join" not in plan

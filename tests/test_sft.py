@@ -192,3 +192,14 @@ def test_shuffled_concat_packs_in_row_order(spark, vocab_pair):
         whole += ids + ([2] if ids[-1] != 2 else [])
     blocks = sft.map_dataset(df, v, "pair_id", "concat", MAXLEN, shuffle=9).orderBy("batch_id", "block_no").collect()
     assert [i for b in blocks for i in b.input_ids] == whole
+
+
+def test_encoding_in_place_moves_no_rows(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "b zz"), (None, "a"), (2, None)], "k int, t string")
+    v = spark.createDataFrame([("a", 3), ("b", 4)], "token string, id int")
+    e = tokens.encode(df, "t", v, "k", "ids", max_len=3)
+    assert sorted(((r.k or 0), r.ids) for r in e.collect()) == [(0, [1, 3]), (1, [1, 3, 4]), (1, [1, 4, 0]), (2, [1])]
+    plan = e._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert tokens.encode(df.limit(0), "t", v, "k").count() == 0
+    assert {tuple(r.ids) for r in tokens.encode(df, "t", v.limit(0), "k", "ids", add_bos=False).collect()} == {(0, 0), (0,), ()}
