@@ -32,6 +32,11 @@ ENTRY_RULES = [  # list, pattern, action, day after 2024-01-01, condition; r is
     ("allow", "concat(host, '/en')", "add", "r % 400", "r % 2 = 0"),
     ("allow", "concat(host, '/en')", "remove", "r % 400 + 200", "r % 4 = 0"),
     ("block", "concat(host, '/de')", "add", "r % 100", "r % 7 < 3"),
+    # other forms: capitals, www. and a trailing dot in the host, capitals in the path, a top-level domain
+    ("block", "concat('WWW.', upper(host), '.')", "add", "r % 450", "r % 11 = 0"),
+    ("allow", "concat(host, '//EN/')", "add", "r % 400", "r % 5 = 1"),
+    ("block", "split_part(host, '.', -1)", "add", "r % 600", "r % 13 = 0"),
+    ("block", "split_part(host, '.', -1)", "remove", "r % 600 + 5", "r % 13 = 0"),
 ]
 
 
@@ -56,7 +61,9 @@ h AS (SELECT host, ('0x' || substr(md5(host), 1, 6))::INT AS r FROM (SELECT DIST
 e AS (""" + " UNION ALL ".join(
     f"SELECT '{name}' AS list, {pattern.format(dot='strpos(host, chr(46))')} AS pattern, '{action}' AS action, "
     f"DATE '2024-01-01' + ({day})::INT AS day FROM h WHERE {when}" for name, pattern, action, day, when in ENTRY_RULES) + r"""),
-d AS (SELECT list, pattern, day, bool_or(action = 'add') AS is_on FROM e GROUP BY ALL),
+f AS (SELECT list, action, day, regexp_replace(rtrim(lower(split_part(pattern, '/', 1)), '.'), '^www\.', '') ||
+    rtrim(regexp_replace(regexp_replace(pattern, '^[^/]*', ''), '/+', '/', 'g'), '/') AS pattern FROM e),
+d AS (SELECT list, pattern, day, bool_or(action = 'add') AS is_on FROM f GROUP BY ALL),
 s AS (SELECT *, coalesce(lag(is_on) OVER w, false) AS was FROM d WINDOW w AS (PARTITION BY list, pattern ORDER BY day)),
 i AS (SELECT list, pattern, day AS since, lead(day) OVER (PARTITION BY list, pattern ORDER BY day) AS until, is_on FROM s WHERE is_on <> was),
 m AS (SELECT c.uid, i.list, i.pattern, i.since, row_number() OVER (PARTITION BY c.uid ORDER BY length(i.pattern) DESC, i.list) AS k

@@ -7,8 +7,8 @@ its subdomains too) or a host with leading path segments (``example.com/news``).
 The longest pattern that is active decides; of an allow and a block entry for the
 same pattern, the allow entry does.
 
-The join is on (pattern, month), an interval standing in every month it touches,
-so that a hot host is spread over the months it was fetched in, a pattern with a
+The join is on (pattern, month), an interval standing in every month that it touches
+and captures have, so that a hot host is spread over the months it was fetched in, a pattern with a
 long history is not met by captures of other times, and a skewed partition can be
 split; each capture's own patterns are a handful of its own url, with as many path
 segments as the deepest entry has.
@@ -32,12 +32,12 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def patterns_of(url: Column, segments: int) -> Column:
-    """All patterns that cover a url: its host, the parent domains down to two
-    labels, and the host with up to ``segments`` of its first path segments."""
+    """All patterns that cover a url: its host, the parent domains down to the
+    last label, and the host with up to ``segments`` of its first path segments."""
     host, path = host_and_path(url)
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    domains = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
+    domains = F.transform(F.sequence(F.lit(1), n),
                           lambda i: F.array_join(F.slice(labels, i, n), "."))
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
     depth = F.least(F.size(parts), F.lit(segments))
@@ -46,6 +46,16 @@ def patterns_of(url: Column, segments: int) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(domains, prefixes)))
 
 
+def normal_pattern(pattern: Column) -> Column:
+    """An entry's pattern as urls are looked up by: blanks around it are cut, the
+    host is in lower case without a leading ``www.`` and trailing dots, path segments
+    keep their case, slashes are single and none is last. Null without a host."""
+    parts = F.split(F.trim(pattern), "/")
+    host = F.regexp_replace(F.regexp_replace(F.lower(F.get(parts, 0)), r"\.+$", ""), r"^www\.", "")
+    path = F.filter(F.slice(parts, 2, F.size(parts)), lambda x: x != "")
+    return F.when(host != "", F.array_join(F.concat(F.array(host), path), "/"))
+
+
 def month(day: Column) -> Column:
     return F.year(day) * 12 + F.month(day)
 
@@ -54,16 +64,16 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
     """(list, pattern, since, until) from dated entries (list, pattern, action,
     day): active from an ``add`` to the day before the next ``remove``; ``until``
     is null while it lasts. Repeated adds or removes change nothing; where a day
-    has both, the ``add`` is taken to come last. Entries without a day, pattern
-    or list are left out.
+    has both, the ``add`` is taken to come last. Patterns are normalised as urls
+    are (``normal_pattern``). Entries without a day, list or host are left out.
 
     The state after each day is compared with the state before it. The history of
     a pattern is cut into months, each a bounded window; the last state of a month
     reaches the next one through one row per month.
     """
-    daily = entries.where("list IS NOT NULL AND pattern IS NOT NULL AND day IS NOT NULL AND action IN ('add', 'remove')").groupBy(
-        "list", F.lower("pattern").alias("pattern"), F.col("day").cast("date").alias("day")).agg(
-        F.max(F.col("action") == "add").alias("on"))
+    named = entries.select("list", normal_pattern(F.col("pattern")).alias("pattern"), F.col("day").cast("date").alias("day"), "action")
+    daily = named.where("list IS NOT NULL AND pattern IS NOT NULL AND day IS NOT NULL AND action IN ('add', 'remove')").groupBy(
+        "list", "pattern", "day").agg(F.max(F.col("action") == "add").alias("on"))
     daily = daily.withColumn("m", month(F.col("day")))
     key = ["list", "pattern"]
 
@@ -104,8 +114,10 @@ def judge_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page_
             ("list", "string"), ("pattern", "string"), ("since", "date"))])
     lo, hi = F.lit(span.lo), F.lit(span.hi)
     intervals = validity_intervals(entries).where((F.col("since") <= hi) & (F.col("until").isNull() | (F.col("until") > lo)))
-    intervals = intervals.withColumn("m", F.explode(F.sequence(
-        month(F.greatest("since", lo)), month(F.least(F.coalesce(F.date_sub("until", 1), hi), hi)))))
+    # at most one number for each month of the calendar
+    months = sorted(r.m for r in rows.where("fetched IS NOT NULL").select(month(F.col("fetched")).alias("m")).distinct().collect())
+    intervals = intervals.withColumn("m", F.explode(F.filter(F.lit(months), lambda m: m.between(
+        month(F.greatest("since", lo)), month(F.least(F.coalesce(F.date_sub("until", 1), hi), hi))))))
     intervals = written(intervals, "url-intervals")
     # the deepest entry says how many path segments a url is looked up by
     deepest = intervals.agg(F.max(F.size(F.split("pattern", "/")) - 1)).first()[0] or 0  # one row

@@ -149,6 +149,23 @@ def test_captures_meet_the_entries_of_their_day(spark):
     assert url_lists.block_listed(df, entries).count() == sum(r.verdict == "block" for r in got)
 
 
+def test_entries_are_read_as_urls_are(spark):
+    """Case of hosts and paths, ``www.``, trailing dots, top-level domains, entries
+    without a host; a capture far in the future adds no interval rows."""
+    import datetime as dt
+    day = dt.date(2024, 1, 1)
+    entries = spark.createDataFrame([("block", p, "add", day) for p in (
+        "A.example/News", "www.B.example", " c.example. ", "zip", "d.example//x/", "/nohost", "", None)],
+        "list string, pattern string, action string, day date")
+    urls = {"http://a.example/News/x": "block", "http://A.EXAMPLE/news/x": "none", "http://www.b.example/": "block",
+            "http://c.example/y": "block", "http://x.zip/": "block", "http://d.example/x/y": "block",
+            "http://d.example/xy": "none", "http://e.example/nohost": "none"}
+    rows = [(i, u, dt.date(2024, 2, 1)) for i, u in enumerate(urls)] + [(99, "http://x.zip/", dt.date(9999, 12, 31))]
+    got = url_lists.judge_captures(spark.createDataFrame(rows, "page_id int, url string, fetched date"), entries).collect()
+    assert {r.url: r.verdict for r in got if r.id != 99} == urls
+    assert [r.verdict for r in got if r.id == 99] == ["block"]
+
+
 def test_entries_of_any_depth_are_met(spark):
     day = dt.date(2024, 1, 1)
     entries = spark.createDataFrame([("block", "a.example/x/y/z", "add", day), ("allow", "a.example/x/y/z/1/2/3", "add", day)],
