@@ -191,13 +191,14 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, word
     stars = large.join(hubs, ["band", "value"]).where("node <> hub").select(
         F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
     tried = written(pairs.union(stars).distinct(), "near-tried")
-    sign = nodes.select("node", "size", "sign", "digest", "doc_id")
+    sign = nodes.select("node", "size", "sign", "digest", "doc_id", "tkey")
 
     def shingle_sets(wanted: DataFrame, name: str) -> DataFrame:
         """(node, elements, times) of some nodes, from their texts."""
-        wanted = sign.select("node", "digest", "doc_id").join(wanted, "node").withColumnRenamed("doc_id", "__id__")
-        texts = docs.select(F.col(id_col).alias("__doc__"), F.col(text_col).alias("text"))
-        return written(texts.join(wanted, F.col("__doc__").eqNullSafe(F.col("__id__"))).select(
+        wanted = sign.select("node", "digest", "doc_id", "tkey").join(wanted, "node").withColumnRenamed("doc_id", "__id__")
+        texts = docs.select(F.col(id_col).alias("__doc__"), F.xxhash64(F.col(text_col)).alias("__key__"),
+                            F.col(text_col).alias("text"))
+        return written(texts.join(wanted, F.col("__doc__").eqNullSafe(F.col("__id__")) & (F.col("__key__") == F.col("tkey"))).select(
             "node", "digest", "text").mapInArrow(
             _shingle_sets(words), "node bigint, elements binary, times binary").dropDuplicates(["node"]), f"near-sets-{name}")
 

@@ -304,3 +304,16 @@ def test_exception_phrases_spare_a_hit():
     m = toxicity.Matcher(toxicity.Lexicon({" trash": 5.0}, [" trash can "]))
     assert m.hits(m.fold("Trash day")) and m.hits(m.fold("TR4SH!")) and not m.hits(m.fold("a trash can stood"))
     assert m.measure("trash " * 10)[1] > m.measure("trash " + "word " * 200)[1]
+
+
+def test_many_rows_of_one_id_fetch_their_own_texts(spark):
+    """Texts of candidates come by id and text, so rows of one id (nulls) stay linear;
+    pairs of near copies without ids are still found."""
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(150):
+        base = [f"{w}x{i}" for w in words[:60]]
+        rows += [(None, " ".join(base)), (None, " ".join([*base[:-1], "end"]))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = near_dedup.near_duplicate_classes(df).collect()
+    assert len(got) == 300 and all(r.class_size == 2 for r in got) and sum(r.kept for r in got) == 150
