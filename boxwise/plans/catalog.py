@@ -900,6 +900,8 @@ def q_export_exam(spark, sf_dir):
 # 2.7 Streaming and SQL functions
 # ---------------------------------------------------------------------------
 from boxwise.functions.registry import register_sql_functions  # noqa: E402
+from boxwise.streaming import line_sinks as LS  # noqa: E402
+from boxwise.streaming import reply_stream as RS  # noqa: E402
 from boxwise.streaming import verify_stream as WS  # noqa: E402
 
 
@@ -927,6 +929,48 @@ def q_stream_yield(spark, sf_dir):
     return WS.run_yield_stream(spark, src, ck, name)
 
 
+_REPLY_LIMIT = "6 hours"
+
+
+@register("stream_join_responses", _with(log=O.ATTEMPT_LOG) + """
+, q AS (SELECT request_id, min(attempt_ts) AS requested_at FROM log GROUP BY request_id)
+SELECT q.request_id, l.attempt_seq, l.body FROM q LEFT JOIN log l ON l.request_id = q.request_id AND l.status = 200
+  AND l.attempt_ts >= q.requested_at AND l.attempt_ts <= q.requested_at + INTERVAL 6 HOURS""")
+def q_stream_join(spark, sf_dir):
+    """Requests and replies land as two drops each; a last pair of rows far ahead
+    moves the watermark over all that still wait."""
+    log = T.attempt_log(spark, sf_dir).withColumn("attempt_ts", F.col("attempt_ts").cast("timestamp"))
+    asked = log.groupBy("request_id").agg(F.min("attempt_ts").alias("requested_at"))
+    replies = log.where("status = 200").select("request_id", "attempt_seq", "body", F.col("attempt_ts").alias("answered_at"))
+    src, sink, ck = (scratch_path(spark, n) for n in ("reply-src", "reply-sink", "reply-ckpt"))
+    for drop in (0, 1, 2):
+        for rows, name, at in ((asked, "asked", "requested_at"), (replies, "replies", "answered_at")):
+            if drop < 2:
+                part = rows.where(F.pmod(F.xxhash64("request_id"), F.lit(2)) == drop)
+            else:
+                part = spark.range(1).select(F.timestamp_seconds(F.lit(4102444800)).alias(at))
+                # with a key, as rows without one don't reach the watermark of the replies
+                part = part.select(*[F.col(c) if c == at else F.lit("" if c == "request_id" else None).cast(
+                    rows.schema[c].dataType).alias(c) for c in rows.columns])
+            part.write.mode("append").parquet(f"{src}/{name}")
+        RS.run_reply_stream(spark, f"{src}/asked", f"{src}/replies", sink, ck, asked.schema, replies.schema,
+                            _REPLY_LIMIT, "3650 days")
+    return spark.read.parquet(sink).where("request_id <> ''").select("request_id", "attempt_seq", "body")
+
+
+@register("stream_rejects", _with(**_ODD) +
+          f"SELECT batch_id, line_no, line, {O.json_reason('line', False, True)} AS reason FROM lines "
+          f"WHERE {O.json_reason('line', False, True)} IS NOT NULL")
+def q_stream_rejects(spark, sf_dir):
+    """The rejects sink of a stream of responses in two drops."""
+    src, root, ck = (scratch_path(spark, n) for n in ("sinks-src", "sinks", "sinks-ckpt"))
+    c = _odd_candidates(spark, sf_dir).select(F.lit("question_bootstrapping").alias("task"), "batch_id", "content")
+    for odd in (0, 1):
+        c.where(F.col("batch_id") % 2 == odd).write.mode("append").json(src)
+        LS.run_line_sinks(spark, src, root, ck)
+    return LS.read_sink(spark, root, "rejects").select("batch_id", "line_no", "line", "reason")
+
+
 @register("sql_functions", _with(**_SCORED_CTES) + "SELECT problem_id, attempt, model_answer, correct FROM scored")
 def q_sql_functions(spark, sf_dir):
     register_sql_functions(spark)
