@@ -82,10 +82,11 @@ def _bootstrapped(seeds: DataFrame, prompt_name: str, subset: str, log: Callable
                   max_retry: int, raw_col: str | None) -> DataFrame:
     reqs = generation_requests(seeds, prompt_name, num_example, num_generate, add_sol, True, subset, raw_col=raw_col)
     outcomes = responses.resolve_attempts(cut_lineage(log(reqs), "attempt-log"), max_retry).select("request_id", "content")
-    resp = responses.join_responses(reqs.select("first_id", "request_id", "body_json"), outcomes, how="inner")
+    # merge joins: by the size of its compressed files, a table may be broadcast that the driver can't hold
+    resp = responses.join_responses(reqs.select("first_id", "request_id", "body_json"), outcomes.hint("merge"), how="inner")
     gen = cut_lineage(generated_problems(resp, add_sol, True, keep=("body_json",)), "generated")
     solved = verified_solutions(gen, solver, model, subset)
-    return solved.join(gen.select("problem_id", "parent_id", "line", "body_json"), "problem_id")
+    return solved.join(gen.select("problem_id", "parent_id", "line", "body_json").hint("merge"), "problem_id")
 
 
 def question_bootstrapping(seeds: DataFrame, log: Callable[[DataFrame], DataFrame], solver: Solver,
@@ -138,10 +139,13 @@ def compose_iterations(seeds: DataFrame, provider: providers.Provider, rounds: i
 
 
 def assemble_corpus(parts: list[DataFrame]) -> DataFrame:
-    """Union of the verified subsets (columns aligned by name)."""
-    corpus = parts[0].select(*CORPUS_COLUMNS)
-    for p in parts[1:]:
-        corpus = corpus.unionByName(p.select(*CORPUS_COLUMNS), allowMissingColumns=True)
+    """Union of the verified subsets (columns aligned by name). Each part is
+    written to the shared folder by a job of its own, as one plan of all their
+    answer checks takes more of the driver's memory with every part."""
+    written = [cut_lineage(p.select(*CORPUS_COLUMNS), "corpus") for p in parts]
+    corpus = written[0]
+    for p in written[1:]:
+        corpus = corpus.unionByName(p, allowMissingColumns=True)
     return corpus
 
 

@@ -147,3 +147,20 @@ def test_scratch_scope_deletes(spark):
         files = df.inputFiles()
         assert df.count() == 5 and files
     assert not any(os.path.exists(f.replace("file://", "")) for f in files)
+
+
+def test_corpus_plan_holds_none_of_its_parts(spark):
+    from boxwise.plans import augment
+    seeds = T.seeds(spark, SF001)
+    part = augment.answer_augmentation(seeds, T.synthetic_attempts)
+    corpus = augment.assemble_corpus([part, part])
+    plan = corpus._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "regexp" not in plan
+    assert corpus.count() == 2 * part.count() > 0
+
+
+def test_generated_problems_are_not_broadcast(spark):
+    from boxwise.plans import augment, catalog
+    rows = augment.question_bootstrapping(T.seeds(spark, SF001), catalog._generation_log(spark, SF001),
+                                          T.synthetic_attempts, max_retry=3)
+    assert "SortMergeJoin" in (plan := rows._jdf.queryExecution().sparkPlan().toString()) and "BroadcastHashJoin" not in plan
