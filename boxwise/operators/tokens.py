@@ -4,12 +4,12 @@ The reference loads a pretrained subword tokenizer. Here tokens are regex
 words and single symbols, counted over the corpus: ids 0 (pad/unknown),
 1 (BOS), 2 (EOS), then 3... by (count desc, token asc) up to ``vocab_size``.
 
-Encoding plan: a vocabulary of bounded, counted size is sent to every task and
-probed in place, one lookup of the flattened tokens for each Arrow batch, so a row
-is encoded where it is read: nothing is exploded, shuffled or joined back. A larger
-vocabulary is joined: tokens are exploded with their position, the frequent ones
-spread over salted copies of their vocabulary rows, and regrouped by key; only the
-key and the few narrow columns a caller asks for travel with them.
+Encoding plan: the most frequent tokens of the vocabulary, a fixed number of them,
+are sent to every task and looked up in place, one lookup of the flattened tokens
+for each Arrow batch. They cover nearly all of a text, and what is sent doesn't
+grow with the vocabulary. A vocabulary with more entries is joined for the rest:
+rows are written with the ids found and the tokens not found; only the latter are
+exploded, joined on the token and regrouped by row.
 """
 
 from __future__ import annotations
@@ -19,9 +19,11 @@ from typing import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from boxwise.functions.answers import sql_str
 from boxwise.operators import ordinal
+from boxwise.session import cut_lineage
 
 PAD_ID = 0
 UNK_ID = 0
@@ -31,10 +33,9 @@ FIRST_ID = 3
 IGNORE_INDEX = -100
 # Letters/digits/underscore runs, or one other non-space character.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_ \t\n\x0B\f\r]"
-# Largest vocabulary (rows and bytes, counted) shipped to every task; a larger one is joined.
-MAX_BROADCAST_VOCAB = 500_000
-MAX_BROADCAST_BYTES = 64 << 20
-SALTS = 16  # copies of each vocabulary row in that join
+# Most entries, and most bytes of one, that are shipped to every task; others are joined.
+MAX_BROADCAST_VOCAB = 50_000
+MAX_BROADCAST_BYTES = 64
 
 
 def tokens(text: str) -> Column:
@@ -73,58 +74,72 @@ def build_vocab(df: DataFrame, text_cols: list[str], vocab_size: int | None = No
     return top.select("token", (F.row_number().over(w) + FIRST_ID - 1).cast("int").alias("id"), "n")
 
 
-def _fits(vocab: DataFrame) -> bool:
-    """Whether the vocabulary is small enough to be sent to every task."""
-    size = vocab.limit(MAX_BROADCAST_VOCAB + 1).agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("token")), F.lit(0)).alias("bytes")).first()
-    return size.n <= MAX_BROADCAST_VOCAB and size.bytes <= MAX_BROADCAST_BYTES
+def _sent() -> Column:
+    """Which vocabulary entries are sent to every task: those of the least ids, hence
+    the most frequent ones of a counted vocabulary."""
+    return (F.col("id") < FIRST_ID + MAX_BROADCAST_VOCAB) & (F.octet_length("token") <= MAX_BROADCAST_BYTES)
 
 
-def _lookup(vocab: DataFrame):
-    """A function of a token array column that gives the ids, unknown tokens as
-    ``UNK_ID``; for a vocabulary that ``_fits``."""
-    entries = vocab.sparkSession.sparkContext.broadcast(vocab.toArrow().combine_chunks().to_pydict())
+def _lookup(sent: DataFrame):
+    """A function of a token array column that gives the ids, null for a token that
+    is not among the ``_sent`` ones."""
+    entries = sent.sparkSession.sparkContext.broadcast(sent.toArrow().combine_chunks().to_pydict())
 
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import pyarrow.compute as pc
         known = pa.array(entries.value["token"], pa.string())
-        # the id of an unknown token stands behind those of the known ones
-        numbers = pa.array([*entries.value["id"], UNK_ID], pa.int32())
+        numbers = pa.array(entries.value["id"], pa.int32())
         for column in batches:
-            place = pc.fill_null(pc.index_in(column.flatten().cast(pa.string()), known), len(known))
+            place = pc.index_in(column.flatten().cast(pa.string()), known)
             ends = pc.cumulative_sum(pc.list_value_length(column).cast(pa.int32()))
             yield pa.ListArray.from_arrays(pa.concat_arrays([pa.array([0], pa.int32()), ends]), numbers.take(place))
 
     return ids
 
 
-def _joined_ids(rows: DataFrame, vocab: DataFrame) -> DataFrame:
-    """``rows`` (key and narrow columns, ``_tokens``) with ``_ids`` for ``_tokens``, by a join."""
-    more = [c for c in rows.columns if c != "_tokens"]
-    salted = vocab.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    toks = rows.select(*more, F.posexplode_outer("_tokens").alias("_pos", "token"))
-    toks = toks.withColumn("_salt", F.pmod(F.coalesce(F.col("_pos"), F.lit(0)), F.lit(SALTS)))
-    found = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce(F.col("id"), F.lit(UNK_ID)).alias("id")))
-    grouped = toks.join(salted, ["token", "_salt"], "left").groupBy(*more).agg(F.array_sort(F.collect_list(found)).alias("_found"))
-    return grouped.select(*more, F.transform("_found", lambda x: x["id"]).alias("_ids"))
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _filled(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Id arrays whose nulls are replaced, in order, by the ids of the second array."""
+    import pyarrow.compute as pc
+    for ids, rest in batches:
+        flat = ids.flatten().cast(pa.int32())
+        ends = pc.cumulative_sum(pc.list_value_length(ids).cast(pa.int32()))
+        full = pc.replace_with_mask(flat, pc.is_null(flat), rest.flatten().cast(pa.int32()))
+        yield pa.ListArray.from_arrays(pa.concat_arrays([pa.array([0], pa.int32()), ends]), full)
+
+
+def _joined_ids(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """``rows`` (``_tokens``, ``_ids`` with nulls) with the ids of ``others`` in place of
+    the nulls, by a join of the tokens that have none."""
+    rest = F.transform(F.filter(F.arrays_zip("_tokens", "_ids"), lambda x: x["_ids"].isNull()), lambda x: x["_tokens"])
+    # written, as the number of a row must stay
+    rows = cut_lineage(rows.withColumn("_rest", rest).drop("_tokens").withColumn("_row", F.monotonically_increasing_id()),
+                       "encode")
+    toks = rows.select("_row", F.posexplode("_rest").alias("_pos", "token"))
+    found = F.struct("_pos", F.coalesce("id", F.lit(UNK_ID)).alias("id"))
+    # merge joins: by the size of its compressed files, a table may be broadcast that the driver can't hold
+    grouped = toks.join(others.hint("merge"), "token", "left").groupBy("_row").agg(F.array_sort(F.collect_list(found)).alias("_found"))
+    ids = F.coalesce(F.transform("_found", lambda x: x["id"]), F.array().cast("array<int>"))
+    return rows.drop("_rest").join(grouped.hint("merge"), "_row", "left").withColumn("_ids", _filled("_ids", ids))
 
 
 def encode(df: DataFrame, text_col: str, vocab: DataFrame, key: str | list[str], out: str = "input_ids",
            max_len: int | None = None, add_bos: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """T5: (key columns, ``keep`` columns, ``out`` = [BOS] + token ids, truncated
-    to ``max_len`` ids). A null text has no tokens. With a vocabulary too large to
-    send, the key columns together must identify a row; ``keep`` is for narrow
-    columns of it."""
+    to ``max_len`` ids). A null text has no tokens; ``keep`` is for narrow columns,
+    as they are written with the row where the vocabulary is too large to send."""
     keys = [key] if isinstance(key, str) else list(key)
     words = F.coalesce(tokens(text_col), F.array().cast("array<string>"))
     if max_len is not None:
         words = F.slice(words, 1, max_len - (1 if add_bos else 0))
     rows = df.select(*keys, *keep, words.alias("_tokens"))
     vocab = vocab.select("token", "id")
-    if _fits(vocab):
-        rows = rows.withColumn("_ids", _lookup(vocab)("_tokens"))
+    others = vocab.where(~_sent())
+    rows = rows.withColumn("_ids", _lookup(vocab.where(_sent()))("_tokens"))
+    if others.isEmpty():
+        rows = rows.withColumn("_ids", F.transform("_ids", lambda i: F.coalesce(i, F.lit(UNK_ID))))
     else:
-        rows = _joined_ids(rows, vocab)
+        rows = _joined_ids(rows, others)
     full = F.concat(F.array(F.lit(BOS_ID)), F.col("_ids")) if add_bos else F.col("_ids")
     return rows.select(*keys, *keep, full.cast("array<int>").alias(out))

@@ -168,6 +168,26 @@ def test_vocabulary_without_a_cap_and_joined_lookup(spark, monkeypatch):
     assert {r.pair_id: r.ids for r in tokens.encode(df, "output", v, "pair_id", "ids").collect()} == want
 
 
+def test_vocabulary_entries_sent_are_bounded(spark, monkeypatch):
+    v = spark.range(60_000).select(F.concat(F.lit("w"), F.col("id")).alias("token"), (F.col("id") + 3).cast("int").alias("id"))
+    v = v.union(spark.createDataFrame([("x" * 100, 4_000_000)], "token string, id int"))
+    sent, collect = [], type(v).toArrow
+
+    def counted(self):
+        table = collect(self)
+        sent.append(table.num_rows)
+        return table
+
+    monkeypatch.setattr(type(v), "toArrow", counted)
+    texts = ["w1 w59999 ? w2 w50000 w59999", "", None, "w49999 " + "x" * 100 + " ? ?", "w59998"]
+    df = spark.createDataFrame([(i % 2, t) for i, t in enumerate(texts)], "k int, t string")
+    got = sorted(r.ids for r in tokens.encode(df, "t", v, "k", "ids", add_bos=False).collect())
+    rows = tokens.encode(df, "t", v, "k", "ids")
+    assert "BroadcastHashJoin" not in rows._jdf.queryExecution().sparkPlan().toString()
+    assert got == [[], [], [4, 60002, 0, 5, 50003, 60002], [50002, 4_000_000, 0, 0], [60001]]
+    assert max(sent) <= 50_000
+
+
 def test_composite_keys_and_empty_texts(spark):
     df = spark.createDataFrame([(1, 1000, "a b"), (2, 0, "c"), (2, 1, ""), (2, 2, None)], "conv int, turn int, t string")
     v = spark.createDataFrame([("a", 3), ("b", 4), ("c", 5)], "token string, id int")
