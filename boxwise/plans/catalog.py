@@ -226,7 +226,8 @@ def q_attempts_consumed(spark, sf_dir):
 def q_eval_rows(spark, sf_dir):
     items = T.seeds(spark, sf_dir).select("problem_id", "problem", "solution", "answer")
     outs = T.attempts(spark, sf_dir).select("problem_id", "attempt", F.col("response").alias("model_solution"))
-    return evaluate.eval_rows(items.join(outs, "problem_id"), keys=("problem_id", "attempt"))
+    # a merge join: by the size of its compressed file, the table may be broadcast although the driver can't hold it
+    return evaluate.eval_rows(items.hint("merge").join(outs, "problem_id"), keys=("problem_id", "attempt"))
 
 
 # ---------------------------------------------------------------------------

@@ -164,3 +164,9 @@ def test_generated_problems_are_not_broadcast(spark):
     rows = augment.question_bootstrapping(T.seeds(spark, SF001), catalog._generation_log(spark, SF001),
                                           T.synthetic_attempts, max_retry=3)
     assert "SortMergeJoin" in (plan := rows._jdf.queryExecution().sparkPlan().toString()) and "BroadcastHashJoin" not in plan
+
+
+def test_evaluated_items_are_not_broadcast(spark):
+    from boxwise.plans import catalog
+    plan = catalog.QUERIES["eval_rows"](spark, SF001)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
