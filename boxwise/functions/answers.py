@@ -320,7 +320,7 @@ def col_rational(name: str) -> Column:
 
 
 def col_verdict(gold_norm: str, model_norm: str) -> Column:
-    return F.expr(verdict(_q(gold_norm), _q(model_norm)))
+    return F.expr(verdict_once(_q(gold_norm), _q(model_norm)))
 
 
 # ---------------------------------------------------------------------------
@@ -330,9 +330,11 @@ def col_verdict(gold_norm: str, model_norm: str) -> Column:
 # * each regex step is guarded by a substring test that any match needs, so
 #   most answers skip most regexes; a guard reads its input twice, which
 #   keeps the step in its own projection (computed once, inside codegen);
-# * higher-order functions (the brace fold, the mixed-number rewrite) are
-#   not code-generated and would pull a whole projection out of codegen, so
-#   they run only behind a Generate, only for rows that need them.
+# * higher-order functions (the brace fold, the normalization) are not
+#   code-generated and would pull a whole projection out of codegen, so they
+#   run behind a Generate or in a projection of their own, only for rows that
+#   need them. In one generated method the 60 replacements of a chain pass the
+#   8,000 bytes up to which the JVM compiles a method, and are interpreted.
 # ---------------------------------------------------------------------------
 
 # A box whose braces nest at most 4 deep, matched without a fold.
@@ -343,8 +345,29 @@ def _guard(x: str, needle: str, expr: str) -> str:
     return f"(CASE WHEN contains({x}, {sql_str(needle)}) THEN {expr} ELSE {x} END)"
 
 
-def normalize_head_steps() -> list:
-    """Steps of ``normalize_head`` as functions of the previous value."""
+def let(x: str, *steps) -> str:
+    """``steps`` applied to ``x`` one after the other, each result computed once."""
+    out = f"array({x})"
+    for i, step in enumerate(steps):
+        out = f"transform({out}, _v{i} -> {step(f'_v{i}')})"
+    return f"element_at({out}, 1)"
+
+
+def _any_of(needles: list[str]) -> str:
+    """A regex that finds any of ``needles``."""
+    least = sorted({n for n in needles if not any(m != n and m in n for m in needles)})
+    first = "".join(sorted({"\\" + n[0] if not n[0].isalnum() else n[0] for n in least}))
+    return f"(?=[{first}])(?:" + "|".join(rf"\Q{n}\E" for n in least) + ")"
+
+
+_REPLACEMENTS = [(e, '') for e in REMOVED_EXPRESSIONS] + SUBSTITUTIONS
+_REPLACED = _any_of([e for e, _ in _REPLACEMENTS])
+# Every step of the chain needs one of these; the backslash stands for all commands.
+_NORMALIZED = _any_of([e for e, _ in _REPLACEMENTS] + ["=", "/", ".", "$", "\\", "frac", "sqrt"])
+
+
+def normalize_steps() -> list:
+    """Steps of ``normalize_answer`` as functions of the previous value."""
     def eq_split(x):
         p0 = f"substring_index({x}, '=', 1)"
         xyz = " + ".join(f"CAST(contains({p0}, '{v}') AS INT)" for v in ("y", "x", "z"))
@@ -352,11 +375,9 @@ def normalize_head_steps() -> list:
 
     def removals(x):
         s = x
-        for expr in REMOVED_EXPRESSIONS:
-            s = f"replace({s}, {sql_str(expr)}, '')"
-        for before, after in SUBSTITUTIONS:
+        for before, after in _REPLACEMENTS:
             s = f"replace({s}, {sql_str(before)}, {sql_str(after)})"
-        return s
+        return f"(CASE WHEN {x} RLIKE {sql_str(_REPLACED)} THEN {s} ELSE {x} END)"
 
     def rx(needle, pattern, repl):
         return lambda x: _guard(x, needle, _rx(x, pattern, repl))
@@ -376,9 +397,28 @@ def normalize_head_steps() -> list:
         rx("sqrt", r'(sqrt)([^{])', 'sqrt{$2}'),
         lambda x: _guard(x, "frac", _rx(_rx(x, r'(?U)frac\{(\d+)\}(\d+)', 'frac{$1}{$2}'),
                                         r'(?U)frac(\d+)\{(\d+)\}', 'frac{$1}{$2}')),
+        lambda x: _guard(x, "\\frac{", mixed_numbers(x)),
+        lambda x: f"replace({x}, '$', '')",
     ]
 
 
+def normalize_once(x: str) -> str:
+    """``normalize_answer`` with every step computed once, and only for a value
+    that has something to normalize. ``x`` is read three times: a column."""
+    return f"(CASE WHEN {x} RLIKE {sql_str(_NORMALIZED)} THEN {let(x, *normalize_steps())} ELSE {x} END)"
+
+
+def verdict_once(gold_norm: str, model_norm: str) -> str:
+    """``verdict`` for columns: equal strings are equal sets, strings without a
+    comma are sets of one, and both rational values are computed once."""
+    g, m = gold_norm, model_norm
+    pair = f"named_struct('m', {rational_value(m)}, 'g', {rational_value(g)})"
+    value = let(pair, lambda p: rational_equal(f"{p}.m", f"{p}.g"))
+    return (f"(CASE WHEN {g} = {m} THEN true "
+            f"WHEN contains({g}, ',') OR contains({m}, ',') THEN {verdict(g, m)} "
+            f"WHEN contains({g}, '=') AND contains({m}, '=') THEN false ELSE coalesce({value}, false) END)")
+
+
 def box_fast(t: str) -> str:
     """Balanced box content for nesting up to 4 deep, else ''."""
     return f"regexp_extract({t}, {sql_str(_BOX_FAST)}, 1)"

@@ -61,34 +61,14 @@ def bind(df: DataFrame, **exprs) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[e.alias(k) for k, e in exprs.items()]))))
 
 
-def _staged_head(df: DataFrame, col: str, tmp: str) -> DataFrame:
-    df = df.withColumn(tmp, F.col(col))
-    for step in A.normalize_head_steps():
-        df = df.withColumn(tmp, F.expr(step(f"`{tmp}`")))
-    return df
-
-
-def _tail_exprs(head: str) -> tuple:
-    """(fast, slow) for the tail: the mixed-number rewrite only where the
-    pattern can match (it needs a HOF, so it runs behind a Generate)."""
-    h = f"`{head}`"
-    needs = f"(contains({h}, '\\\\frac{{') AND {h} RLIKE {A.sql_str(A.MIXED_NUMBER)})"
-    return needs, f"replace(CASE WHEN {needs} THEN {A.mixed_numbers(h)} ELSE {h} END, '$', '')"
-
-
 def normalize(df: DataFrame, col: str, out: str) -> DataFrame:
-    """A5 as staged projections; the tail is bound behind a Generate."""
-    df = _staged_head(df, col, f"_{out}_head")
-    _, tail = _tail_exprs(f"_{out}_head")
-    return bind(df, **{out: F.expr(tail)}).drop(f"_{out}_head")
+    """A5 bound behind a Generate."""
+    return bind(df, **{out: F.expr(A.normalize_once(f"`{col}`"))})
 
 
 def normalize_pair(df: DataFrame, gold_col: str, model_col: str) -> DataFrame:
-    df = _staged_head(_staged_head(df, gold_col, "_g_head"), model_col, "_m_head")
-    _, g_tail = _tail_exprs("_g_head")
-    _, m_tail = _tail_exprs("_m_head")
-    df = bind(df, gold_norm=F.expr(g_tail), model_norm=F.expr(m_tail))
-    return df.drop("_g_head", "_m_head")
+    return bind(df, gold_norm=F.expr(A.normalize_once(f"`{gold_col}`")),
+                model_norm=F.expr(A.normalize_once(f"`{model_col}`")))
 
 
 def _verdict_columns(df: DataFrame, gold_col: str, model_col: str, out: str,

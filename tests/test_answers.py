@@ -1,8 +1,13 @@
 """Golden answers for extraction, normalization and comparison (hand-traced)."""
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from boxwise.functions import answers as A
+from boxwise.functions.registry import register_sql_functions
+from boxwise.operators import verify
 
 EXTRACT = [
     ("$\\boxed{\\frac{1}{2}}$.", "\\frac{1}{2}"),
@@ -121,3 +126,30 @@ def test_locate_box_reference_position(spark):
     assert s[ours.pos - 1:ours.pos - 1 + ours.len] == "22"
     # 0-based: find('\\boxed') + len('\\boxed') + after_box.find(a), with after_box = '{22}'
     assert ref.pos - 1 == s.find("\\boxed") + len("\\boxed") + "{22}".find("22") and ref.len == 2
+
+
+def test_normalize_once_equals_the_nested_chain(spark):
+    """The staged forms give what the nested templates give, on answers put
+    together at random from all that the chain removes, replaces or rewrites."""
+    r = random.Random(3)
+    bits = A.REMOVED_EXPRESSIONS + [b for b, _ in A.SUBSTITUTIONS] + list("0123456789") * 3 + [
+        "=", "x", "y", "/", ".", ",", "$", "\\frac{1}{2}", "1\\frac{1}{2}", "frac12", "sqrt2", "\\text{a}", "\\text{(B)}",
+        "\\textbf{c}", "\\overline{x}", "\\boxed{3}", "(", ")", "[", "]", "-", "{", "}", "\\", "\n", "\u00b2", "lef", "t"]
+    values = [None, "", "-5", "1,2", "2,1", "1,1"] + ["".join(r.choices(bits, k=r.randint(1, 6))) for _ in range(600)]
+    df = spark.createDataFrame([(v, r.choice([v, r.choice(values)])) for v in values], "s string, t string")
+    df = df.select("s", F.expr(A.normalize_answer("s")).alias("a"), F.expr(A.normalize_answer("t")).alias("b"),
+                   F.expr(A.normalize_once("s")).alias("once")).select(
+        "*", F.expr(A.verdict("a", "b")).alias("v"), F.expr(A.verdict_once("a", "b")).alias("v_once"))
+    rows = df.collect()
+    assert {x.v for x in rows} == {True, False}
+    assert [(x.a, x.v) for x in rows] == [(x.once, x.v_once) for x in rows]
+
+
+def test_answer_check_is_compiled(spark, capsys):
+    """No method that Spark generates for the answer check passes the 8,000 bytes
+    up to which the JVM compiles a method: above, every row is interpreted."""
+    df = spark.createDataFrame([("a \\boxed{5}", "5")], "response string, answer string")
+    df = verify.verify_answers(verify.extract_answers(df), "answer", "model_answer")
+    df.explain("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) <= 8000
