@@ -21,9 +21,9 @@ def _definitions() -> dict[str, tuple[str, str, str]]:
         "bw_extract_box": ("s STRING", "STRING", A.extract_box("s")),
         "bw_extract_answer": ("s STRING", "STRING", A.extract_answer("s")),
         "bw_extraction_method": ("s STRING", "STRING", A.extraction_method("s")),
-        "bw_normalize_answer": ("s STRING", "STRING", A.normalize_answer("s")),
+        "bw_normalize_answer": ("s STRING", "STRING", A.normalize_once("s")),
         "bw_set_equal": ("a STRING, b STRING", "BOOLEAN", A.set_equal("a", "b")),
-        "bw_verdict": ("gold_norm STRING, model_norm STRING", "BOOLEAN", A.verdict("gold_norm", "model_norm")),
+        "bw_verdict": ("gold_norm STRING, model_norm STRING", "BOOLEAN", A.verdict_once("gold_norm", "model_norm")),
         "bw_answers_match": ("gold STRING, model STRING", "BOOLEAN",
                              "bw_verdict(bw_normalize_answer(gold), bw_normalize_answer(model))"),
         "bw_json_string": ("s STRING", "STRING", json_string("s")),

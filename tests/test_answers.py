@@ -153,3 +153,14 @@ def test_answer_check_is_compiled(spark, capsys):
     df.explain("codegen")
     sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
     assert sizes and max(sizes) <= 8000
+
+
+def test_sql_functions_compute_each_step_once(spark):
+    register_sql_functions(spark)
+    df = spark.sql("SELECT bw_answers_match(a, b) AS m FROM VALUES ('1\\\\frac{1}{2}', '3/2'), ('7', '8') AS t(a, b)")
+    assert [r.m for r in df.collect()] == [True, False]
+    # the step that ends in this replacement: once for each of the two answers
+    df = spark.range(2).selectExpr("CAST(id AS STRING) AS a", "CAST(id + 1 AS STRING) AS b")
+    df.createOrReplaceTempView("bw_test_pairs")
+    plan = spark.sql("SELECT bw_answers_match(a, b) AS m FROM bw_test_pairs")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sqrt{$2}") == 2
