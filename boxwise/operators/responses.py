@@ -79,8 +79,10 @@ def _wrapped(doc_col: str, tail: str, size: int):
 
 
 def parsed_document(df: DataFrame, doc_col: str) -> DataFrame:
-    """``df`` with ``_one`` and ``_two``, null unless the document is one JSON value."""
-    return bind(df, _one=_wrapped(doc_col, "", 1), _two=_wrapped(doc_col, ",0", 2))
+    """``df`` with ``_one`` and ``_two``, null unless the document is one JSON value.
+    A document without a closing bracket can't close the wrapper, so ``_one`` decides."""
+    two = F.when(F.col(doc_col).contains("]"), _wrapped(doc_col, ",0", 2)).otherwise(F.parse_json(F.lit("0")))
+    return bind(df, _one=_wrapped(doc_col, "", 1), _two=two)
 
 
 def json_reason(one: str, two: str, add_sol: bool, add_ans: bool):

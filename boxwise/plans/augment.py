@@ -49,8 +49,14 @@ def generation_requests(seeds: DataFrame, prompt_name: str, num_example: int, nu
     """P4-P6, P8, P11 for batch generation: (batch_id, first_id, user_prompt,
     messages, request_id, params, body_json)."""
     b = prompts.batch_seeds(seeds, num_example, add_sol, add_ans, raw_col=raw_col)
+    return _with_bodies(b, prompt_name, num_example, num_generate, task, model, max_tokens, temperature)
+
+
+def _with_bodies(batches: DataFrame, prompt_name: str, num_example: int, num_generate: int, task: str,
+                 model: str = "gpt-4-1106-preview", max_tokens: int = 4000, temperature: float = 0.0) -> DataFrame:
+    """P8 and P11 on rows with a ``batch_id`` and its ``user_prompt``."""
     sysp = prompts.system_prompt(prompt_name, num_example, num_generate)
-    t = requests.build_threads(b, "user_prompt", sysp)
+    t = requests.build_threads(batches, "user_prompt", sysp)
     return requests.build_requests(t, task, ["batch_id"], model=model, max_tokens=max_tokens,
                                    temperature=temperature)
 
@@ -82,11 +88,14 @@ def _bootstrapped(seeds: DataFrame, prompt_name: str, subset: str, log: Callable
                   max_retry: int, raw_col: str | None) -> DataFrame:
     reqs = generation_requests(seeds, prompt_name, num_example, num_generate, add_sol, True, subset, raw_col=raw_col)
     outcomes = responses.resolve_attempts(cut_lineage(log(reqs), "attempt-log"), max_retry).select("request_id", "content")
+    # The rows carry the user prompt through the joins; bodies, which hold the whole system prompt too, are built after them.
     # merge joins: by the size of its compressed files, a table may be broadcast that the driver can't hold
-    resp = responses.join_responses(reqs.select("first_id", "request_id", "body_json"), outcomes.hint("merge"), how="inner")
-    gen = cut_lineage(generated_problems(resp, add_sol, True, keep=("body_json",)), "generated")
+    resp = responses.join_responses(reqs.select("first_id", "request_id", "batch_id", "user_prompt"), outcomes.hint("merge"), how="inner")
+    gen = cut_lineage(generated_problems(resp, add_sol, True, keep=("batch_id", "user_prompt")), "generated")
     solved = verified_solutions(gen, solver, model, subset)
-    return solved.join(gen.select("problem_id", "parent_id", "line", "body_json").hint("merge"), "problem_id")
+    rows = solved.join(gen.select("problem_id", "parent_id", "line", "batch_id", "user_prompt").hint("merge"), "problem_id")
+    return _with_bodies(rows, prompt_name, num_example, num_generate, subset).select(
+        "problem_id", *[c for c in CORPUS_COLUMNS if c != "problem_id"], "parent_id", "line", "body_json")
 
 
 def question_bootstrapping(seeds: DataFrame, log: Callable[[DataFrame], DataFrame], solver: Solver,
