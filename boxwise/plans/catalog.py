@@ -694,7 +694,8 @@ def _generation_log(spark, sf_dir, replay=T.candidates):
     fails, every fifth one is answered at the second attempt."""
     def log(reqs):
         c = replay(spark, sf_dir).select(F.col("batch_id").alias("first_id"), "content")
-        a = reqs.select("first_id", "request_id").join(c, "first_id").select(
+        # a merge join: by the size of its compressed file, the table may be broadcast although the driver can't hold it
+        a = reqs.select("first_id", "request_id").join(c.hint("merge"), "first_id").select(
             "*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("attempt_seq"))
         fails = (F.col("first_id") % 7 == 0) | ((F.col("first_id") % 5 == 0) & (F.col("attempt_seq") == 0))
         return a.select("request_id", "attempt_seq", F.when(fails, 500).otherwise(200).alias("status"),
